@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from eventspark.operators import hist
+from eventspark.operators import hist, prefix
 
 
 def add_tag(df: DataFrame, process: str = "process", token: str = "HH", other: str = "background") -> DataFrame:
@@ -121,7 +121,7 @@ def val_split(df: DataFrame, key: Sequence[str], percent: int = 30, seed: int =
 
 def repeat_tail(df: DataFrame, q: float, weight: str = "training_weight") -> DataFrame:
     """Replace rows at or above the ``q`` quantile of the weight by ``int(w / quantile)`` copies of equal total weight."""
-    limit = df.agg(F.percentile(weight, F.lit(q)).alias("limit")).scalar()
+    limit = prefix.exact_quantile(df, weight, q).scalar()
     tagged = df.withColumn("_limit", limit)
     over = F.col(weight) >= F.col("_limit")
     copies = F.when(over, F.floor(F.try_divide(F.col(weight), F.col("_limit"))).cast("int")).otherwise(1)

@@ -66,6 +66,23 @@ def nest_crowded(
     )
 
 
+def nest_items(
+    items: DataFrame,
+    key: str,
+    order: Sequence[str],
+    fields: Sequence[str],
+    crowded: DataFrame | None = None,
+    block: int = BLOCK,
+) -> DataFrame:
+    """Items as one row per ``(key, block)``; ``crowded`` lists the keys that need several blocks (None: no key does)."""
+    fields = list(dict.fromkeys([*order, *fields]))
+    items = items.select(key, *fields)
+    if crowded is None:
+        return nest_ordinary(items, key, order, fields)
+    ordinary = nest_ordinary(items.join(crowded, key, "left_anti"), key, order, fields)
+    return ordinary.unionByName(nest_crowded(items.join(crowded, key, "left_semi"), key, order, fields, block))
+
+
 def nest(
     headers: DataFrame,
     header_key: str,
@@ -76,17 +93,16 @@ def nest(
     crowded: DataFrame | None = None,
     block: int = BLOCK,
 ) -> DataFrame:
-    """Headers with their items as ``(block, items)``; a header without items keeps an empty collection.
-
-    ``crowded`` lists the item keys that need more than one block; None says there are none.
-    """
+    """Headers with their items as ``(block, items)``; a header without items keeps an empty collection."""
+    if crowded is None:
+        nested = nest_items(items, item_key, order, fields, None, block)
+        return _attach(headers, header_key, nested, item_key)
     fields = list(dict.fromkeys([*order, *fields]))
     items = items.select(item_key, *fields)
-    if crowded is None:
-        return _attach(headers, header_key, nest_ordinary(items, item_key, order, fields), item_key)
     as_header = crowded.select(F.col(item_key).alias(header_key))
     ordinary = nest_ordinary(items.join(crowded, item_key, "left_anti"), item_key, order, fields)
     blocks = nest_crowded(items.join(crowded, item_key, "left_semi"), item_key, order, fields, block)
+    # an inner join: adaptive execution may split the many blocks of one key, which it cannot do for a left join
     hot = headers.join(as_header, header_key, "left_semi")
     return _attach(headers.join(as_header, header_key, "left_anti"), header_key, ordinary, item_key).unionByName(
         hot.join(blocks, F.col(header_key) == F.col(item_key)).drop(item_key)

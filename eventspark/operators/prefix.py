@@ -75,3 +75,23 @@ def with_next(sliced: DataFrame, order: str, columns: Sequence[str], by: Sequenc
     return joined.withColumns(
         {f"next_{c}": F.coalesce(F.col("_next"), F.col("_head"))[c] for c in columns}
     ).drop("_next", "_head")
+
+
+def exact_quantile(df: DataFrame, column: str, q: float) -> DataFrame:
+    """Interpolated ``q`` quantile as one row (``value``), without holding the values in one task.
+
+    Values are counted, ranked with :func:`running_totals`, and only the two at the wanted positions are kept.
+    """
+    counted = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    sliced = with_slice(counted, "v", slice_cuts(df.select(F.col(column).alias("v")), "v"))
+    ranked = running_totals(sliced, "v", {"from_top": F.col("n")}, grand=("from_top",))
+    first = F.col("total_from_top") - F.col("from_top")
+    want = F.lit(float(q)) * (F.col("total_from_top") - 1)
+    covers = lambda pos: (pos >= first) & (pos < first + F.col("n"))
+    low, high = F.floor(want), F.ceil(want)
+    ends = ranked.filter(covers(low) | covers(high)).agg(
+        F.max(F.when(covers(low), F.col("v"))).alias("lo"),
+        F.max(F.when(covers(high), F.col("v"))).alias("hi"),
+        F.max(want - low).alias("part"),
+    )
+    return ends.select((F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("value"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from eventspark.functions import coll
 from eventspark.operators import nest as nesting
+from eventspark.sources import catalog as sample_catalog
 
 ITEM_ORDER = ["ln", "pk", "sk", "q", "price"]
 ITEM_FIELDS = {
@@ -52,6 +53,10 @@ def crowded_orders(spark: SparkSession, sf_dir: str) -> DataFrame | None:
 
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event-level columns."""
+    return table(spark, sf_dir, "orders").select(*_header_columns())
+
+
+def _header_columns() -> list[Column]:
     pd = F.element_at(F.array(F.lit("Muon"), F.lit("EGamma"), F.lit("MuonEG")), (F.col("o_custkey") % 3 + 1).cast("int"))
     early = F.col("o_orderdate") < F.lit("1998-05-01").cast("timestamp")
     era = F.when(early, "2022").otherwise("2022EE")
@@ -71,8 +76,8 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("mc")
     )
     sign = F.when(F.col("o_orderkey") % 11 == 0, -1).otherwise(1)
-    return table(spark, sf_dir, "orders").select(
-        "o_orderkey",
+    return [
+        F.col("o_orderkey"),
         era.alias("era"),
         process.alias("sample"),
         kind.alias("type"),
@@ -82,7 +87,7 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_custkey") % 3 == 0).alias("trig_c"),
         (F.col("o_totalprice") / 5000.0).alias("met_pt"),
         ((F.col("o_custkey") % 628) / 100.0 - 3.14).alias("met_phi"),
-    )
+    ]
 
 
 def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,30 +115,80 @@ def _ref(r: Column, at: Column, size: Column) -> Column:
     return F.when((at >= 0) & (at < size), at).otherwise(-1)
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with one collection ``items`` of electrons, muons and jets."""
+def _simple_items() -> Column:
     kind = lambda r: F.when(r["rf"] == "R", "electron").when(r["rf"] == "A", "muon").otherwise("jet")
-    return nested(spark, sf_dir).withColumn(
+    return F.transform(
         "items",
-        F.transform(
-            "items",
-            lambda r, i: F.struct(
-                i.alias("idx"),
-                kind(r).alias("kind"),
-                r["q"].alias("pt"),
-                *_axis(r),
-                r["tax"].alias("mass"),
-                _charge(r).alias("charge"),
-                (r["price"] / 105000.0).alias("btag"),
-                r["sk"].alias("mask"),
-                _ref(r, r["ln"] - 1, F.size("items")).alias("ref"),
-            ),
+        lambda r, i: F.struct(
+            i.alias("idx"),
+            kind(r).alias("kind"),
+            r["q"].alias("pt"),
+            *_axis(r),
+            r["tax"].alias("mass"),
+            _charge(r).alias("charge"),
+            (r["price"] / 105000.0).alias("btag"),
+            r["sk"].alias("mask"),
+            _ref(r, r["ln"] - 1, F.size("items")).alias("ref"),
         ),
     )
 
 
-def of_kind(df: DataFrame, kind: str) -> Column:
-    return coll.select(df["items"], lambda x: x["kind"] == kind)
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with one collection ``items`` of electrons, muons and jets."""
+    return nested(spark, sf_dir).withColumn("items", _simple_items())
+
+
+def item_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collections alone (``o_orderkey, block, items``), for queries that need no event-level column."""
+    lists = nesting.nest_items(
+        raw_items(spark, sf_dir), "l_orderkey", ITEM_ORDER, list(ITEM_FIELDS), crowded_orders(spark, sf_dir)
+    )
+    return lists.withColumn("items", _simple_items()).withColumnRenamed("l_orderkey", "o_orderkey")
+
+
+def of_kind(kind: str) -> Column:
+    return coll.select(F.col("items"), lambda x: x["kind"] == kind)
+
+
+# sample, era, type, group, cross-section, branching ratio of the fixture's catalogue
+SAMPLES = [
+    *[
+        (f"{pd}_Run2022{letter}", era, "data", "Data", None, None)
+        for pd in ("Muon", "EGamma", "MuonEG")
+        for letter, era in (("C", "2022"), ("D", "2022"), ("F", "2022EE"), ("G", "2022EE"))
+    ],
+    *[
+        (f"{name}__{era}", era, kind, group, xs, br)
+        for name, kind, group, xs, br in (
+            ("ggHH", "signal", None, 0.5, 0.25),
+            ("TTbar", "mc", "TTbar", 0.2, None),
+            ("DY", "mc", "DY", 0.5, None),
+            ("WW", "mc", "VV", 0.1, None),
+        )
+        for era in ("2022", "2022EE")
+    ],
+]
+
+
+def catalog(spark: SparkSession) -> DataFrame:
+    samples = {
+        s: {"era": e, "type": t, "group": g, "cross-section": x, "branching-ratio": b} for s, e, t, g, x, b in SAMPLES
+    }
+    return sample_catalog.sample_table(spark, samples)
+
+
+def ml_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat scored rows, one per order: class, weights, a few features and a score with ties."""
+    signal = F.col("o_orderpriority") == "2-HIGH"
+    mixed = (F.col("o_custkey") * 7 + F.col("o_orderkey")) % 500
+    return table(spark, sf_dir, "orders").select(
+        *_header_columns(),
+        (F.col("o_totalprice") / 1000.0).alias("pt"),
+        (F.col("o_totalprice") / 100000.0 - 2.5).alias("leadingLepton_phi"),
+        ((mixed + F.when(signal, 250).otherwise(0) + 1) / 752.0).alias("score"),
+        (1 + F.col("o_custkey") % 5).cast("double").alias("w_roc"),
+        (1 + F.col("o_orderkey") % 3).cast("double").alias("w_sig"),
+    )
 
 
 def _lepton_fields(r: Column, size: Column) -> list[Column]:
