@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventspark.functions import kin
@@ -31,6 +31,16 @@ def with_idx(arr: Column) -> Column:
     return F.transform(arr, lambda x, i: x.withField("idx", i))
 
 
+def rows(df: DataFrame, arr: Column | str, *keep: str) -> DataFrame:
+    """One row per item of a collection, with the ``keep`` columns.
+
+    From a bare array column Catalyst derives a "not empty" filter and pushes it, with every expression the column is
+    built from, to the bottom of the plan. A trivial expression around the column keeps it computed once.
+    """
+    col = F.col(arr) if isinstance(arr, str) else arr
+    return df.select(*keep, F.inline(F.transform(col, lambda x: x)))
+
+
 def sort(arr: Column, key: Callable[[Column], Column], desc: bool = False) -> Column:
     """Sort items by ``key``; equal keys keep the order of ``idx``."""
     ranked = F.transform(

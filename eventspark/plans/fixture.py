@@ -56,20 +56,28 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(*_header_columns())
 
 
-def _header_columns() -> list[Column]:
+def _early() -> Column:
+    return F.col("o_orderdate") < F.lit("1998-05-01").cast("timestamp")
+
+
+def _era() -> Column:
+    return F.when(_early(), "2022").otherwise("2022EE")
+
+
+def _sample() -> Column:
     pd = F.element_at(F.array(F.lit("Muon"), F.lit("EGamma"), F.lit("MuonEG")), (F.col("o_custkey") % 3 + 1).cast("int"))
-    early = F.col("o_orderdate") < F.lit("1998-05-01").cast("timestamp")
-    era = F.when(early, "2022").otherwise("2022EE")
-    letter = F.when(early, F.when(F.col("o_custkey") % 2 == 0, "C").otherwise("D")).otherwise(
-        F.when(F.col("o_custkey") % 2 == 0, "F").otherwise("G")
-    )
-    process = (
+    even = F.col("o_custkey") % 2 == 0
+    letter = F.when(_early(), F.when(even, "C").otherwise("D")).otherwise(F.when(even, "F").otherwise("G"))
+    return (
         F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(pd, F.lit("_Run2022"), letter))
-        .when(F.col("o_orderpriority") == "2-HIGH", F.concat(F.lit("ggHH__"), era))
-        .when(F.col("o_orderpriority") == "3-MEDIUM", F.concat(F.lit("TTbar__"), era))
-        .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.concat(F.lit("DY__"), era))
-        .otherwise(F.concat(F.lit("WW__"), era))
+        .when(F.col("o_orderpriority") == "2-HIGH", F.concat(F.lit("ggHH__"), _era()))
+        .when(F.col("o_orderpriority") == "3-MEDIUM", F.concat(F.lit("TTbar__"), _era()))
+        .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.concat(F.lit("DY__"), _era()))
+        .otherwise(F.concat(F.lit("WW__"), _era()))
     )
+
+
+def _header_columns() -> list[Column]:
     kind = (
         F.when(F.col("o_orderpriority") == "1-URGENT", "data")
         .when(F.col("o_orderpriority") == "2-HIGH", "signal")
@@ -78,8 +86,8 @@ def _header_columns() -> list[Column]:
     sign = F.when(F.col("o_orderkey") % 11 == 0, -1).otherwise(1)
     return [
         F.col("o_orderkey"),
-        era.alias("era"),
-        process.alias("sample"),
+        _era().alias("era"),
+        _sample().alias("sample"),
         kind.alias("type"),
         (sign * (F.lit(0.5) + (F.col("o_custkey") % 10) / 10.0)).alias("weight"),
         (F.col("o_orderstatus") == "F").alias("trig_a"),
@@ -183,6 +191,7 @@ def ml_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = (F.col("o_custkey") * 7 + F.col("o_orderkey")) % 500
     return table(spark, sf_dir, "orders").select(
         *_header_columns(),
+        _sample().alias("process"),
         (F.col("o_totalprice") / 1000.0).alias("pt"),
         (F.col("o_totalprice") / 100000.0 - 2.5).alias("leadingLepton_phi"),
         ((mixed + F.when(signal, 250).otherwise(0) + 1) / 752.0).alias("score"),

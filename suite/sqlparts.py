@@ -361,3 +361,11 @@ def with_ctes(body: str, *names: str, **extra: str) -> str:
         visit(name)
     parts = [f"{n} AS MATERIALIZED ({CTES[n]})" for n in ordered] + [f"{n} AS ({sql})" for n, sql in extra.items()]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
+
+CTES["ml"] = """
+SELECT h.*, h.sample AS process, o.o_totalprice / 1000.0 AS pt, o.o_totalprice / 100000.0 - 2.5::DOUBLE AS phi,
+  ((o.o_custkey * 7 + o.o_orderkey) % 500 + CASE WHEN o.o_orderpriority = '2-HIGH' THEN 250 ELSE 0 END + 1) / 752.0::DOUBLE AS score,
+  CAST(1 + o.o_custkey % 5 AS DOUBLE) AS w_roc, CAST(1 + o.o_orderkey % 3 AS DOUBLE) AS w_sig,
+  CASE WHEN contains(h.sample, 'HH') THEN 'HH' ELSE 'background' END AS tag
+FROM hdr h JOIN orders o USING (o_orderkey)"""
+NEEDS["ml"] = ("hdr",)
