@@ -33,7 +33,7 @@ def energy(a: Column) -> Column:
 
 
 def inv_mass(a: Column, b: Column) -> Column:
-    """Invariant mass of two items; a negative m^2 from rounding counts as zero."""
+    """Invariant mass of two items; a negative m^2 from rounding counts as zero, an absent item gives NULL."""
     transverse = a["pt"] * b["pt"] * F.cos(a["phi"] - b["phi"])
     longitudinal = a["pt"] * F.sinh(a["eta"]) * b["pt"] * F.sinh(b["eta"])
     m2 = (
@@ -41,7 +41,7 @@ def inv_mass(a: Column, b: Column) -> Column:
         + b["mass"] * b["mass"]
         + F.lit(2.0) * (energy(a) * energy(b) - transverse - longitudinal)
     )
-    return F.sqrt(F.greatest(m2, F.lit(0.0)))
+    return F.sqrt(F.abs((m2 + F.abs(m2)) * 0.5))
 
 
 def total_charge(a: Column, b: Column) -> Column:

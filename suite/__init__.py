@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-MODULES = ("collections", "physics")
+MODULES = ("collections", "physics", "reports", "classifier")
 
 
 def load() -> ModuleType:
