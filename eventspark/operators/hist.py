@@ -49,9 +49,15 @@ def _contents(weight: Column) -> list[Column]:
 def fill(
     df: DataFrame, var: Column, n: int, lo: float, hi: float, weight: Column, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Content, squared-weight sum and entries per bin (and per ``by`` columns)."""
-    binned = df.select(*by, bin_index(var, n, lo, hi).alias("bin"), weight.alias("_w"))
-    return binned.filter(F.col("bin").isNotNull()).groupBy(*by, "bin").agg(*_contents(F.col("_w")))
+    """Content, squared-weight sum and entries per bin (and per ``by`` columns).
+
+    Rows without a value are dropped after the aggregation, by a count Catalyst cannot push down; a filter on the bin
+    would be pushed below the projections and evaluate the variable again.
+    """
+    values = df.select(*by, var.cast("double").alias("_v"), weight.alias("_w"))
+    binned = values.select(*by, "_w", bin_index(F.col("_v"), n, lo, hi).alias("bin"))
+    contents = [*_contents(F.col("_w"))[:2], F.count("bin").alias("n")]
+    return binned.groupBy(*by, "bin").agg(*contents).filter(F.col("n") > 0)
 
 
 def fill_many(df: DataFrame, plots: Sequence[Plot], weight: Column, by: Sequence[str] = ()) -> DataFrame:

@@ -18,19 +18,25 @@ def slice_count(df: DataFrame) -> int:
 
 
 def slice_cuts(df: DataFrame, order: str, slices: int | None = None) -> Column:
-    """Approximate quantiles of ``order`` as a one-row scalar subquery (a bounded array of cut points).
+    """Approximate quantiles of ``order``, highest first, as a one-row scalar subquery (a bounded array).
 
     They only decide how rows are spread over tasks; results do not depend on them.
     """
     slices = slices or slice_count(df)
     shares = F.array(*[F.lit(i / slices) for i in range(1, slices)])
-    return df.agg(F.array_distinct(F.percentile_approx(order, shares, 10_000)).alias("cuts")).scalar()
+    cuts = F.array_distinct(F.percentile_approx(order, shares, 10_000))
+    return df.agg(F.sort_array(cuts, asc=False).alias("cuts")).scalar()
 
 
 def with_slice(df: DataFrame, order: str, cuts: Column) -> DataFrame:
-    """``slice`` numbers consecutive value ranges from the highest (0) down."""
+    """``slice`` numbers consecutive value ranges from the highest (0) down: the number of cuts above the value.
+
+    Found by bisection, halving the step from ``MAX_SLICES``.
+    """
+    steps = F.array(*[F.lit(2**i) for i in reversed(range(MAX_SLICES.bit_length()))])
+    climb = lambda at, step: F.when(F.get("_cuts", at + step - 1) > F.col(order), at + step).otherwise(at)
     tagged = df.withColumn("_cuts", cuts)
-    return tagged.withColumn("slice", F.size(F.filter("_cuts", lambda c: c > F.col(order)))).drop("_cuts")
+    return tagged.withColumn("slice", F.aggregate(steps, F.lit(0), climb)).drop("_cuts")
 
 
 def running_totals(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,7 +24,11 @@ class Channel:
     name: str
     events: DataFrame
     selections: list[Selection]
-    plots: list[hist.Plot]
+    make_plots: Callable[[], list[hist.Plot]]
+
+    @property
+    def plots(self) -> list[hist.Plot]:
+        return self.make_plots()
 
     def histograms(self, weight: Column, by: tuple[str, ...] = ("sample",)) -> DataFrame:
         return hist.fill_many(self.events, self.plots, weight, by)
@@ -56,12 +61,12 @@ def channel(df: DataFrame, name: str, score: Column | None = None, cuts: Cuts =
     events = objects.define_objects(df, name, cuts)
     if name == "DL":
         events = selection.dl_columns(events)
-        chosen, drawn = selection.dl_selections(base), plots.dl_plots()
+        chosen, drawn = selection.dl_selections(base), plots.dl_plots
         if score is not None:
             events = events.withColumn("score", score)
             chosen = chosen + categories(next(s for s in chosen if s.name == "DL_resolved_ee"), F.col("score"))
-            drawn = plots.score_plots(F.col("score")) + drawn
+            drawn = lambda: plots.score_plots(F.col("score")) + plots.dl_plots()
     else:
         events = selection.sl_columns(events)
-        chosen, drawn = selection.sl_selections(base), plots.sl_plots()
+        chosen, drawn = selection.sl_selections(base), plots.sl_plots
     return Channel(name, selection.with_flags(events, chosen), chosen, drawn)
