@@ -288,7 +288,7 @@ def _tau(r: Column, size: Column) -> Column:
         ((r["pk"] % 23) / 100.0).alias("dz"),
         (r["sk"] % 10 != 0).alias("idDecayModeOldDMs"),
         mode.alias("decayMode"),
-        (r["sk"] % 32).alias("idDeepTau2017v2p1VSjet"),
+        ((r["sk"] + r["pk"]) % 32).alias("idDeepTau2017v2p1VSjet"),
         F.when(r["ln"] == 4, 2).otherwise(3).alias("idDeepTau2017v2p1VSe"),
         (1 + r["sk"] % 3).alias("idDeepTau2017v2p1VSmu"),
     )

@@ -145,7 +145,7 @@ SELECT * FROM (
   SELECT o_orderkey, block, row_number() OVER (PARTITION BY o_orderkey, block ORDER BY idx) - 1 AS idx,
     q AS pt, eta, phi, (sk % 60) / 1000.0::DOUBLE AS dxy, (pk % 23) / 100.0::DOUBLE AS dz, sk % 10 <> 0 AS old_dm,
     CASE ln WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 5 WHEN 5 THEN 6 WHEN 6 THEN 10 ELSE 11 END AS dm,
-    sk % 32 AS vs_jet, CASE WHEN ln = 4 THEN 2 ELSE 3 END AS vs_e, 1 + sk % 3 AS vs_mu
+    (sk + pk) % 32 AS vs_jet, CASE WHEN ln = 4 THEN 2 ELSE 3 END AS vs_e, 1 + sk % 3 AS vs_mu
   FROM raw WHERE pk % 7 = 0) t
 WHERE pt > 20 AND abs(eta) < 2.3 AND abs(dxy) <= 1000 AND abs(dz) <= 0.2 AND old_dm AND dm IN (0, 1, 2, 10, 11)
   AND (vs_jet >> 4) & 1 = 1 AND vs_e & 1 = 1 AND vs_mu & 1 = 1
