@@ -475,7 +475,7 @@ def _met_sql(source: str, factor: str) -> str:
 @query(
     "met_shift",
     with_ctes(
-        "SELECT o_orderkey, block, round(met_pt, 4) + 0.0 AS met_pt, round(met_phi, 4) + 0.0 AS met_phi FROM met",
+        "SELECT o_orderkey, block, round(met_pt, 7) + 0.0 AS met_pt, round(met_phi, 7) + 0.0 AS met_phi FROM met",
         "ev",
         "jet",
         jec=_JEC_SQL,
@@ -485,7 +485,9 @@ def _met_sql(source: str, factor: str) -> str:
 )
 def met_shift(spark, d):
     pt, phi = weights.met_shift(F.col("met_pt"), F.col("met_phi"), F.col("Jet"), F.col("Jet_corr"))
-    return _corrected(spark, d).select(*KEYS, r4(pt).alias("met_pt"), r4(phi).alias("met_phi"))
+    return _corrected(spark, d).select(
+        *KEYS, F.round(pt, 7).alias("met_pt"), F.round(phi, 7).alias("met_phi")
+    )
 
 
 _VARIED = {"jesTotalup": 1.1, "jesTotaldown": 0.9}
@@ -494,7 +496,7 @@ _VARIED = {"jesTotalup": 1.1, "jesTotaldown": 0.9}
 @query(
     "syst_object",
     with_ctes(
-        """SELECT e.sample, v.variation, sum(n)::BIGINT AS n_jets, round(sum(met), 3) + 0.0 AS met FROM (
+        """SELECT e.sample, v.variation, sum(n)::BIGINT AS n_jets, round(sum(met), 6) + 0.0 AS met FROM (
              SELECT e.o_orderkey, e.block, e.sample, v.variation, v.f, count(*) FILTER (j.pt * v.f >= 25) AS n
              FROM ev e JOIN var v ON e.type <> 'data' OR v.variation = 'nominal'
              LEFT JOIN jet j ON j.o_orderkey = e.o_orderkey AND j.block = e.block GROUP BY ALL) v
@@ -518,5 +520,5 @@ def syst_object(spark, d):
     hard = coll.n(coll.select(F.col("Jet"), lambda x: x["pt"] >= 25))
     per_event = varied.select("sample", "variation", hard.alias("n"), "met_pt")
     return per_event.groupBy("sample", "variation").agg(
-        F.sum("n").alias("n_jets"), F.round(F.sum("met_pt"), 3).alias("met")
+        F.sum("n").alias("n_jets"), F.round(F.sum("met_pt"), 6).alias("met")
     )
