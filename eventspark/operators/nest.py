@@ -30,24 +30,32 @@ def _sorted_items(order: Sequence[str], fields: Sequence[str]):
 
 
 def nest_ordinary(items: DataFrame, key: str, order: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """One row per key; only for input whose keys are known to hold at most ``block`` items each."""
-    return items.groupBy(key).agg(_sorted_items(order, fields).alias("items")).select(
+    """One row per key; only for input whose keys are known to hold at most ``block`` items each.
+
+    The rows are shuffled as they are: collecting lists before the shuffle would not make them fewer.
+    """
+    return items.repartition(key).groupBy(key).agg(_sorted_items(order, fields).alias("items")).select(
         key, F.lit(0).cast("long").alias("block"), "items"
     )
 
 
 def nest_crowded(
-    items: DataFrame, key: str, order: Sequence[str], fields: Sequence[str], block: int = BLOCK
+    items: DataFrame,
+    key: str,
+    order: Sequence[str],
+    fields: Sequence[str],
+    crowded: DataFrame,
+    block: int = BLOCK,
 ) -> DataFrame:
-    """Blocks of ``block`` consecutive items for keys of any size.
+    """Blocks of ``block`` consecutive items for the ``crowded`` keys, however large.
 
     The rows are range partitioned on (key, order, row number), which spreads a hot key and even identical rows over
-    many tasks. Positions inside a slice plus the slice sizes before it give the exact position in the key.
+    many tasks. Positions inside a slice plus the slice sizes before it give the exact position in the key. Rows are
+    numbered on the scan, before any shuffle, so that a repeated task gives them the same numbers.
     """
     numbered = items.select(key, *dict.fromkeys([*order, *fields])).withColumn("row_no", F.monotonically_increasing_id())
-    sliced = pinned(
-        numbered.repartitionByRange(key, *order, "row_no").withColumn("slice", F.spark_partition_id())
-    )
+    hot = numbered.join(crowded, key, "left_semi")
+    sliced = pinned(hot.repartitionByRange(key, *order, "row_no").withColumn("slice", F.spark_partition_id()))
     in_slice = W.partitionBy(key, "slice").orderBy(*order, "row_no")
     before = W.partitionBy(key).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
@@ -80,7 +88,7 @@ def nest_items(
     if crowded is None:
         return nest_ordinary(items, key, order, fields)
     ordinary = nest_ordinary(items.join(crowded, key, "left_anti"), key, order, fields)
-    return ordinary.unionByName(nest_crowded(items.join(crowded, key, "left_semi"), key, order, fields, block))
+    return ordinary.unionByName(nest_crowded(items, key, order, fields, crowded, block))
 
 
 def nest(
@@ -101,7 +109,7 @@ def nest(
     items = items.select(item_key, *fields)
     as_header = crowded.select(F.col(item_key).alias(header_key))
     ordinary = nest_ordinary(items.join(crowded, item_key, "left_anti"), item_key, order, fields)
-    blocks = nest_crowded(items.join(crowded, item_key, "left_semi"), item_key, order, fields, block)
+    blocks = nest_crowded(items, item_key, order, fields, crowded, block)
     # an inner join: adaptive execution may split the many blocks of one key, which it cannot do for a left join
     hot = headers.join(as_header, header_key, "left_semi")
     return _attach(headers.join(as_header, header_key, "left_anti"), header_key, ordinary, item_key).unionByName(

@@ -7,6 +7,7 @@ collection is used by more than one later step, which keeps Catalyst from inlini
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -120,9 +121,10 @@ def _near_vertex(x: Column, c: LeptonCuts) -> Column:
     )
 
 
-def _with_jet_btag(arr: Column, jets: Column) -> Column:
-    """Add ``jetBtag``: the b-tag score of the associated jet, NULL when there is none."""
-    return coll.with_field(arr, "jetBtag", lambda x: coll.follow(jets, x["jetIdx"])["btagDeepFlavB"])
+def _stamped(arr: Column, conept: Callable[[Column], Column]) -> Column:
+    """Add ``jetBtag``, the b-tag score of the associated jet (NULL when there is none), and ``conept``."""
+    btag = lambda x: coll.follow(F.col("Jet"), x["jetIdx"])["btagDeepFlavB"]
+    return F.transform(arr, lambda x: x.withField("jetBtag", btag(x)).withField("conept", conept(x)))
 
 
 def _jet_btag_at_most(x: Column, limit) -> Column:
@@ -138,14 +140,14 @@ def _muon_btag_limit(x: Column, c: LeptonCuts) -> Column:
 
 def muons(df: DataFrame, c: LeptonCuts = DEFAULT.leptons) -> DataFrame:
     """Loose, fakeable and tight muons, hardest cone-pt first."""
-    stamped = coll.with_field(_with_jet_btag(F.col("Muon"), F.col("Jet")), "conept", lambda x: muon_conept(x, c))
     loose = coll.select(
-        stamped,
+        F.col("Muon"),
         lambda x: ops.all_of(
             at_least(x["pt"], c.muon_pt), F.abs(x["eta"]) <= c.muon_eta, _near_vertex(x, c), x["looseId"]
         ),
     )
-    df = df.withColumn("muons", coll.sort(loose, lambda x: x["conept"], desc=True))
+    stamped = _stamped(loose, lambda x: muon_conept(x, c))
+    df = df.withColumn("muons", coll.sort(stamped, lambda x: x["conept"], desc=True))
     fakeable = lambda x: at_least(x["conept"], c.conept_min) & (
         _jet_btag_at_most(x, c.btag_medium)
         | ((x["jetRelIso"] < c.muon_fake_rel_iso) & (x["jetBtag"].isNull() | (x["jetBtag"] < _muon_btag_limit(x, c))))
@@ -177,11 +179,8 @@ def _electron_quality(x: Column, c: LeptonCuts) -> Column:
 
 def electrons(df: DataFrame, c: LeptonCuts = DEFAULT.leptons) -> DataFrame:
     """Loose, muon-cleaned, fakeable and tight electrons, hardest cone-pt first; needs :func:`muons` first."""
-    stamped = coll.with_field(
-        _with_jet_btag(F.col("Electron"), F.col("Jet")), "conept", lambda x: electron_conept(x, c)
-    )
     loose = coll.select(
-        stamped,
+        F.col("Electron"),
         lambda x: ops.all_of(
             at_least(x["pt"], c.electron_pt),
             F.abs(x["eta"]) <= c.electron_eta,
@@ -189,7 +188,8 @@ def electrons(df: DataFrame, c: LeptonCuts = DEFAULT.leptons) -> DataFrame:
             x["lostHits"] <= c.electron_lost_hits,
         ),
     )
-    df = df.withColumn("electrons", coll.sort(loose, lambda x: x["conept"], desc=True))
+    stamped = _stamped(loose, lambda x: electron_conept(x, c))
+    df = df.withColumn("electrons", coll.sort(stamped, lambda x: x["conept"], desc=True))
     df = df.withColumn("clean_electrons", coll.clean(F.col("electrons"), F.col("muons"), c.clean_dr))
     by_mva = lambda x: F.when(
         x["mvaTTH"] < c.electron_mva, _jet_btag_at_most(x, c.btag_tight)
@@ -266,25 +266,22 @@ def fat_jets(df: DataFrame, channel: str, c: JetCuts = DEFAULT.jets) -> DataFram
 
     Sorted by pt for channel DL and by b-tag score for SL; needs :func:`jets` first.
     """
-    attached = F.transform(
-        "FatJet",
-        lambda x: x.withField("subJet1", coll.follow(F.col("SubJet"), x["subJet1Idx"])).withField(
-            "subJet2", coll.follow(F.col("SubJet"), x["subJet2Idx"])
-        ),
-    )
-    sub_ok = lambda s: s.isNotNull() & at_least(s["pt"], c.sub_pt) & (F.abs(s["eta"]) <= c.sub_eta)
-    good = coll.select(
-        attached,
+    own = coll.select(
+        F.col("FatJet"),
         lambda x: ops.all_of(
             at_least(x["pt"], c.fat_pt),
             F.abs(x["eta"]) <= c.fat_eta,
             x["jetId"].bitwiseAND(F.lit(c.jet_id_mask)) != 0,
-            sub_ok(x["subJet1"]),
-            sub_ok(x["subJet2"]),
             at_least(x["msoftdrop"], c.softdrop[0]) & (x["msoftdrop"] <= c.softdrop[1]),
             F.try_divide(x["tau2"], x["tau1"]) <= c.tau21,
         ),
     )
+    sub = lambda x, which: coll.follow(F.col("SubJet"), x[f"{which}Idx"])
+    attached = F.transform(
+        own, lambda x: x.withField("subJet1", sub(x, "subJet1")).withField("subJet2", sub(x, "subJet2"))
+    )
+    sub_ok = lambda s: s.isNotNull() & at_least(s["pt"], c.sub_pt) & (F.abs(s["eta"]) <= c.sub_eta)
+    good = coll.select(attached, lambda x: sub_ok(x["subJet1"]) & sub_ok(x["subJet2"]))
     key = "pt" if channel == "DL" else "btagDeepB"
     ordered = coll.sort(good, lambda x: x[key], desc=True)
     df = df.withColumn("ak8_jets", coll.keep_apart(ordered, F.col("lead_leptons"), c.fat_clean_dr))
