@@ -57,7 +57,7 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _early() -> Column:
-    return F.col("o_orderdate") < F.lit("1998-05-01").cast("timestamp")
+    return F.col("o_orderdate") < F.lit("1998-05-01").cast("timestamp_ntz")
 
 
 def _era() -> Column:
