@@ -1,8 +1,7 @@
-"""Bring item rows into one row per event, with a bound on the size of an event.
+"""Bring item rows into one row per event.
 
-An event holds at most ``block`` items. A key with more items becomes several events ``(key, block 0)``,
-``(key, block 1)``, ... of consecutive items, so that no row, task or group grows with the popularity of one key and no
-item is dropped. Ordinary keys all have a single block 0.
+An event is one key with all its items, whatever their number: counts, pairs, orders and cross references are those of the
+whole event. The row of an event has to fit into memory, as it has for every reader of nested data.
 """
 
 from __future__ import annotations
@@ -10,18 +9,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from eventspark.operators.checkpoints import pinned
-
-BLOCK = 128
-
-
-def crowded_keys(items: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
-    """Keys with more than ``block`` items (map-side combined count of one column)."""
-    return items.groupBy(key).agg(F.count("*").alias("n_items")).filter(F.col("n_items") > block).select(key)
-
 
 def _sorted_items(order: Sequence[str], fields: Sequence[str]):
     """Collected structs sorted by ``order``, then by whatever else they carry."""
@@ -29,98 +18,22 @@ def _sorted_items(order: Sequence[str], fields: Sequence[str]):
     return F.sort_array(F.collect_list(F.struct(*cols)))
 
 
-def nest_ordinary(items: DataFrame, key: str, order: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """One row per key; only for input whose keys are known to hold at most ``block`` items each.
+def nest_items(items: DataFrame, key: str, order: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """Items as one row per key.
 
     The rows are shuffled as they are: collecting lists before the shuffle would not make them fewer.
     """
-    return items.repartition(key).groupBy(key).agg(_sorted_items(order, fields).alias("items")).select(
-        key, F.lit(0).cast("long").alias("block"), "items"
-    )
-
-
-def nest_crowded(
-    items: DataFrame,
-    key: str,
-    order: Sequence[str],
-    fields: Sequence[str],
-    crowded: DataFrame,
-    block: int = BLOCK,
-) -> DataFrame:
-    """Blocks of ``block`` consecutive items for the ``crowded`` keys, however large.
-
-    The rows are range partitioned on (key, order, row number), which spreads a hot key and even identical rows over
-    many tasks. Positions inside a slice plus the slice sizes before it give the exact position in the key. Rows are
-    numbered on the scan, before any shuffle, so that a repeated task gives them the same numbers.
-    """
-    numbered = items.select(key, *dict.fromkeys([*order, *fields])).withColumn("row_no", F.monotonically_increasing_id())
-    hot = numbered.join(crowded, key, "left_semi")
-    sliced = pinned(hot.repartitionByRange(key, *order, "row_no").withColumn("slice", F.spark_partition_id()))
-    in_slice = W.partitionBy(key, "slice").orderBy(*order, "row_no")
-    before = W.partitionBy(key).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        sliced.groupBy(key, "slice")
-        .agg(F.count("*").alias("n"))
-        .withColumn("skip", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .drop("n")
-    )
-    position = F.col("skip") + F.col("rank") - 1
-    return (
-        sliced.withColumn("rank", F.row_number().over(in_slice))
-        .join(offsets, [key, "slice"])
-        .withColumn("block", F.floor(position / block).cast("long"))
-        .groupBy(key, "block")
-        .agg(_sorted_items(order, fields).alias("items"))
-    )
-
-
-def nest_items(
-    items: DataFrame,
-    key: str,
-    order: Sequence[str],
-    fields: Sequence[str],
-    crowded: DataFrame | None = None,
-    block: int = BLOCK,
-) -> DataFrame:
-    """Items as one row per ``(key, block)``; ``crowded`` lists the keys that need several blocks (None: no key does)."""
     fields = list(dict.fromkeys([*order, *fields]))
-    items = items.select(key, *fields)
-    if crowded is None:
-        return nest_ordinary(items, key, order, fields)
-    ordinary = nest_ordinary(items.join(crowded, key, "left_anti"), key, order, fields)
-    return ordinary.unionByName(nest_crowded(items, key, order, fields, crowded, block))
+    rows = items.select(key, *fields).repartition(key)
+    return rows.groupBy(key).agg(_sorted_items(order, fields).alias("items"))
 
 
 def nest(
-    headers: DataFrame,
-    header_key: str,
-    items: DataFrame,
-    item_key: str,
-    order: Sequence[str],
-    fields: Sequence[str],
-    crowded: DataFrame | None = None,
-    block: int = BLOCK,
+    headers: DataFrame, header_key: str, items: DataFrame, item_key: str, order: Sequence[str], fields: Sequence[str]
 ) -> DataFrame:
-    """Headers with their items as ``(block, items)``; a header without items keeps an empty collection."""
-    if crowded is None:
-        nested = nest_items(items, item_key, order, fields, None, block)
-        return _attach(headers, header_key, nested, item_key)
-    fields = list(dict.fromkeys([*order, *fields]))
-    items = items.select(item_key, *fields)
-    as_header = crowded.select(F.col(item_key).alias(header_key))
-    ordinary = nest_ordinary(items.join(crowded, item_key, "left_anti"), item_key, order, fields)
-    blocks = nest_crowded(items, item_key, order, fields, crowded, block)
-    # an inner join: adaptive execution may split the many blocks of one key, which it cannot do for a left join
-    hot = headers.join(as_header, header_key, "left_semi")
-    return _attach(headers.join(as_header, header_key, "left_anti"), header_key, ordinary, item_key).unionByName(
-        hot.join(blocks, F.col(header_key) == F.col(item_key)).drop(item_key)
-    )
-
-
-def _attach(headers: DataFrame, header_key: str, nested: DataFrame, item_key: str) -> DataFrame:
+    """Headers with their ``items``; a header without items keeps an empty collection."""
+    nested = nest_items(items, item_key, order, fields)
     # both sides grow with the data: a sort-merge join on the key the items are already partitioned by
     joined = headers.join(nested.hint("merge"), F.col(header_key) == F.col(item_key), "left")
     empty = F.slice(F.array(F.lit(None).cast(nested.schema["items"].dataType.elementType)), 1, 0)
-    return joined.drop(item_key).withColumns(
-        {"block": F.coalesce("block", F.lit(0).cast("long")), "items": F.coalesce("items", empty)}
-    )
+    return joined.drop(item_key).withColumn("items", F.coalesce("items", empty))

@@ -24,11 +24,17 @@ def scales(catalog: DataFrame, sums: DataFrame) -> DataFrame:
     return catalog.join(sums, "sample", "left").withColumn("scale", scale)
 
 
+def known_scale(sample: str = "sample", scale: str = "scale") -> Column:
+    """The scale of a row's sample; a sample that is not listed, or lacks luminosity or cross-section, fails by name."""
+    lost = F.concat(F.lit("no scale for sample "), F.coalesce(sample, F.lit("NULL")))
+    return F.coalesce(F.col(scale), F.raise_error(lost).cast("double"))
+
+
 def apply_scale(df: DataFrame, scale_table: DataFrame, n_samples: int, columns: tuple[str, ...] = ("weight",)) -> DataFrame:
-    """Multiply ``columns`` by the scale of the row's sample.
+    """Multiply ``columns`` by the scale of the row's sample (see :func:`known_scale`).
 
     ``n_samples`` is the known length of the catalogue; only a short one is broadcast.
     """
     s = scale_table.select("sample", "scale")
-    joined = df.join(F.broadcast(s) if n_samples <= MAX_BROADCAST_ROWS else s, "sample")
-    return joined.withColumns({c: F.col(c) * F.col("scale") for c in columns}).drop("scale")
+    joined = df.join(F.broadcast(s) if n_samples <= MAX_BROADCAST_ROWS else s, "sample", "left")
+    return joined.withColumns({c: F.col(c) * known_scale() for c in columns}).drop("scale")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from eventspark.operators.norm import known_scale
 from eventspark.operators.selection import Selection, expanded
 
 
@@ -48,8 +49,8 @@ def by_group(hist: DataFrame, catalog: DataFrame, by: Sequence[str]) -> DataFram
     its own name; group names are compared without case.
     """
     info = catalog.select("sample", F.lower(F.coalesce("grp", "sample")).alias("grp"), F.lower("type").alias("type"), "scale")
-    joined = hist.join(info, "sample")
-    scale = F.col("scale")
+    joined = hist.join(info, "sample", "left")
+    scale = known_scale()
     return joined.groupBy(*by, "grp", "type", "bin").agg(
         F.sum(F.col("sumw") * scale).alias("sumw"),
         F.sum(F.col("sumw2") * scale * scale).alias("sumw2"),
@@ -102,9 +103,9 @@ def blind(hist: DataFrame, n: int, lo: float, hi: float, blinded: tuple[float, f
 def yields(flow: DataFrame, catalog: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Selection x process-group table of scaled yields from a per-sample cut-flow."""
     info = catalog.select("sample", F.lower(F.coalesce("grp", "sample")).alias("grp"), "scale")
-    total = F.sum(F.col("sumw") * F.col("scale"))
+    total = F.sum(F.col("sumw") * known_scale())
     return (
-        flow.join(info, "sample")
+        flow.join(info, "sample", "left")
         .groupBy("selection")
         .pivot("grp", [g.lower() for g in groups])
         .agg(total)

@@ -78,11 +78,15 @@ def jec_table(spark: SparkSession, factors: dict[str, float]) -> DataFrame:
 
 
 def with_jec(df: DataFrame, table: DataFrame, era: str = "era", run_era: str = "run_era") -> DataFrame:
-    """Attach ``jec_tag`` and ``jec_factor`` (NULL for an unknown run letter)."""
+    """Attach ``jec_tag`` and ``jec_factor``; an event whose era and run letter have none fails when its factor is used."""
     t = table.select(
         F.col("era").alias("_era"), F.col("run_era").alias("_run_era"), "jec_tag", "jec_factor"
     )
-    return df.join(t, (df[era] == t["_era"]) & (df[run_era] == t["_run_era"]), "left").drop("_era", "_run_era")
+    joined = df.join(t, (df[era] == t["_era"]) & (df[run_era] == t["_run_era"]), "left")
+    name = lambda c: F.coalesce(c, F.lit("NULL"))
+    lost = F.concat(F.lit("no jet correction for era "), name(df[era]), F.lit(" and run "), name(df[run_era]))
+    factor = F.coalesce(F.col("jec_factor"), F.raise_error(lost).cast("double"))
+    return joined.withColumn("jec_factor", factor).drop("_era", "_run_era")
 
 
 def scale_items(arr: Column, factor: Callable[[Column], Column], fields: Sequence[str] = ("pt", "mass")) -> Column:

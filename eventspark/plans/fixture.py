@@ -1,6 +1,6 @@
 """Event frames derived from the order and line-item tables.
 
-One event is one order (or a block of at most 128 items of a very large one); its items are the order's lines. The
+One event is one order, whatever its size; its items are the order's lines. The
 ``items`` frame has one simple collection; the ``collisions`` frame has the collections the object definitions read.
 """
 
@@ -26,9 +26,6 @@ ITEM_FIELDS = {
     "ls": "l_linestatus",
 }
 
-_no_crowd: set[tuple[str, str]] = set()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,18 +36,6 @@ def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def crowded_orders(spark: SparkSession, sf_dir: str) -> DataFrame | None:
-    """Orders that need several blocks, or None when the (once per session) check finds none."""
-    seen = (spark.sparkContext.applicationId, sf_dir)
-    if seen in _no_crowd:
-        return None
-    crowded = nesting.crowded_keys(table(spark, sf_dir, "lineitem"), "l_orderkey")
-    if crowded.isEmpty():
-        _no_crowd.add(seen)
-        return None
-    return crowded
-
-
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event-level columns."""
     return table(spark, sf_dir, "orders").select(*_header_columns())
@@ -107,7 +92,6 @@ def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey",
         ITEM_ORDER,
         list(ITEM_FIELDS),
-        crowded_orders(spark, sf_dir),
     )
 
 
@@ -147,9 +131,9 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def item_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The collections alone (``o_orderkey, block, items``), for queries that need no event-level column."""
+    """The collections alone (``o_orderkey, items``), for queries that need no event-level column."""
     lists = nesting.nest_items(
-        raw_items(spark, sf_dir), "l_orderkey", ITEM_ORDER, list(ITEM_FIELDS), crowded_orders(spark, sf_dir)
+        raw_items(spark, sf_dir), "l_orderkey", ITEM_ORDER, list(ITEM_FIELDS)
     )
     return lists.withColumn("items", _simple_items()).withColumnRenamed("l_orderkey", "o_orderkey")
 

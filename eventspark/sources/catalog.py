@@ -89,35 +89,3 @@ def sample_table(spark: SparkSession, samples: Mapping[str, Mapping], luminosity
             )
         )
     return literal_table(spark, SAMPLE_SCHEMA, rows)
-
-
-def expand_config(templates: Mapping[str, Mapping], eras: Sequence[str] | None = None) -> dict[str, dict]:
-    """Same as :func:`expand` for a catalogue that is still a mapping read from a file."""
-    out: dict[str, dict] = {}
-    for name, entry in templates.items():
-        if "dbs" not in entry:
-            out[name] = dict(entry)
-            continue
-        for era, db in entry["dbs"].items():
-            if eras is not None and str(era) not in eras:
-                continue
-            sample = {k: v for k, v in entry.items() if k != "dbs"} | {"db": db, "era": str(era)}
-            key = f"{name}__{era}"
-            if "syst" in entry:
-                variation, nominal = entry["syst"]
-                sample["syst"] = [variation, key]
-                key = f"{nominal}__{era}__{variation}"
-            out[key] = sample
-    return out
-
-
-def load_config(path: str) -> dict:
-    """Catalogue file: JSON, or YAML where a YAML reader is installed."""
-    with open(path) as f:
-        if path.endswith(".json"):
-            return json.load(f)
-        try:
-            import yaml
-        except ImportError as e:
-            raise RuntimeError("reading YAML needs the yaml package; convert the catalogue to JSON") from e
-        return yaml.safe_load(f)

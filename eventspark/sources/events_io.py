@@ -52,9 +52,12 @@ def zip_collections(df: DataFrame, fields: Mapping[str, Sequence[str]] = FIELDS)
 
 
 def read_sample(spark: SparkSession, name: str, paths: Sequence[str], max_files: int | None = None) -> DataFrame:
-    """All files of one sample (main dataset and extensions), tagged with the sample name."""
+    """All files of one sample (main dataset and extensions), tagged with the sample name.
+
+    The columns are those of all files together; where a file lacks one, it is NULL.
+    """
     chosen = list(paths)[:max_files] if max_files is not None else list(paths)
-    return spark.read.parquet(*chosen).withColumn("sample", F.lit(name))
+    return spark.read.option("mergeSchema", "true").parquet(*chosen).withColumn("sample", F.lit(name))
 
 
 def read_events(spark: SparkSession, samples: Mapping[str, Mapping], max_files: int | None = None) -> DataFrame:

@@ -43,9 +43,10 @@ def sl_features() -> dict[str, Column]:
 
 def merge(df: DataFrame, scales: DataFrame, n_samples: int, include_data: bool = True) -> DataFrame:
     """Scaled weights and the process (group, or the sample itself when ungrouped) of every skim row."""
-    info = scales.select("sample", F.coalesce("grp", "sample").alias("process"), F.lower("type").alias("_type"))
+    info = scales.select("sample", "scale", F.coalesce("grp", "sample").alias("process"), F.lower("type").alias("_type"))
     small = F.broadcast(info) if n_samples <= norm.MAX_BROADCAST_ROWS else info
-    scaled = norm.apply_scale(df, scales, n_samples).join(small, "sample")
+    joined = df.join(small, "sample", "left")
+    scaled = joined.withColumn("weight", F.col("weight") * norm.known_scale()).drop("scale")
     if not include_data:
         scaled = scaled.filter(F.col("_type") != "data")
     return scaled.drop("_type", "sample")

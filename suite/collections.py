@@ -12,7 +12,7 @@ from eventspark.sources import catalog, events_io
 from suite.registry import query
 from suite.sqlparts import dr, invm, with_ctes
 
-KEYS = ("o_orderkey", "block")
+KEYS = ("o_orderkey",)
 
 
 def r4(c):
@@ -118,7 +118,7 @@ def class_tag(spark, d):
 @query(
     "bit_test",
     with_ctes(
-        """SELECT o_orderkey, block, idx, (mask >> 0) & 1 = 1 AS bit0, (mask >> 3) & 1 = 1 AS bit3,
+        """SELECT o_orderkey, idx, (mask >> 0) & 1 = 1 AS bit0, (mask >> 3) & 1 = 1 AS bit3,
                   (mask >> 6) & 1 = 1 AS bit6 FROM items""",
         "items",
     ),
@@ -131,8 +131,8 @@ def bit_test(spark, d):
 @query(
     "delta_r",
     with_ctes(
-        f"""SELECT b.o_orderkey, b.block, b.idx, round({dr('a.', 'b.')}, 4) + 0.0 AS dr
-            FROM items a JOIN items b ON a.o_orderkey = b.o_orderkey AND a.block = b.block AND a.idx = 0 AND b.idx > 0""",
+        f"""SELECT b.o_orderkey, b.idx, round({dr('a.', 'b.')}, 4) + 0.0 AS dr
+            FROM items a JOIN items b ON a.o_orderkey = b.o_orderkey AND a.idx = 0 AND b.idx > 0""",
         "items",
     ),
 )
@@ -148,8 +148,8 @@ def delta_r(spark, d):
 @query(
     "inv_mass",
     with_ctes(
-        f"""SELECT b.o_orderkey, b.block, b.idx, round({invm('a.', 'b.')}, 3) + 0.0 AS m
-            FROM items a JOIN items b ON a.o_orderkey = b.o_orderkey AND a.block = b.block AND a.idx = 0 AND b.idx > 0""",
+        f"""SELECT b.o_orderkey, b.idx, round({invm('a.', 'b.')}, 3) + 0.0 AS m
+            FROM items a JOIN items b ON a.o_orderkey = b.o_orderkey AND a.idx = 0 AND b.idx > 0""",
         "items",
     ),
 )
@@ -164,8 +164,8 @@ def inv_mass(spark, d):
 @query(
     "pair_charge",
     with_ctes(
-        """SELECT o_orderkey, block, sum(charge)::INTEGER AS total_charge FROM items WHERE idx < 2
-           GROUP BY o_orderkey, block HAVING count(*) = 2""",
+        """SELECT o_orderkey, sum(charge)::INTEGER AS total_charge FROM items WHERE idx < 2
+           GROUP BY o_orderkey HAVING count(*) = 2""",
         "items",
     ),
 )
@@ -178,14 +178,14 @@ def pair_charge(spark, d):
 @query(
     "lead_sublead",
     with_ctes(
-        """SELECT e.o_orderkey, e.block, CASE WHEN e.pt >= m.pt THEN e.pt ELSE m.pt END AS lead_pt,
+        """SELECT e.o_orderkey, CASE WHEN e.pt >= m.pt THEN e.pt ELSE m.pt END AS lead_pt,
              CASE WHEN e.pt >= m.pt THEN m.pt ELSE e.pt END AS sub_pt,
              round(CASE WHEN e.pt >= m.pt THEN e.eta ELSE m.eta END, 4) + 0.0 AS lead_eta, e.pt >= m.pt AS electron_leads
            FROM (SELECT * FROM items WHERE kind = 'electron'
-                 QUALIFY row_number() OVER (PARTITION BY o_orderkey, block ORDER BY idx) = 1) e
+                 QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY idx) = 1) e
            JOIN (SELECT * FROM items WHERE kind = 'muon'
-                 QUALIFY row_number() OVER (PARTITION BY o_orderkey, block ORDER BY idx) = 1) m
-             ON e.o_orderkey = m.o_orderkey AND e.block = m.block""",
+                 QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY idx) = 1) m
+             ON e.o_orderkey = m.o_orderkey""",
         "items",
     ),
 )
@@ -209,7 +209,7 @@ def lead_sublead(spark, d):
 
 @query(
     "coll_select",
-    with_ctes("SELECT o_orderkey, block, idx, pt FROM items WHERE pt >= 25 AND abs(eta) <= 2.4", "items"),
+    with_ctes("SELECT o_orderkey, idx, pt FROM items WHERE pt >= 25 AND abs(eta) <= 2.4", "items"),
 )
 def coll_select(spark, d):
     kept = coll.select(F.col("items"), lambda x: (x["pt"] >= 25) & (F.abs(x["eta"]) <= 2.4))
@@ -219,7 +219,7 @@ def coll_select(spark, d):
 @query(
     "coll_map",
     with_ctes(
-        """SELECT o_orderkey, block, idx, CASE WHEN kind = 'muon' AND btag < 0.5 THEN pt
+        """SELECT o_orderkey, idx, CASE WHEN kind = 'muon' AND btag < 0.5 THEN pt
              WHEN kind = 'jet' THEN pt * 2 ELSE 0.9 * pt * (1 + btag) END AS conept FROM items""",
         "items",
     ),
@@ -237,7 +237,7 @@ def coll_map(spark, d):
 @query(
     "coll_sort",
     with_ctes(
-        """SELECT o_orderkey, block, idx, CAST(row_number() OVER (PARTITION BY o_orderkey, block ORDER BY pt DESC, idx) - 1
+        """SELECT o_orderkey, idx, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY pt DESC, idx) - 1
              AS INTEGER) AS pos FROM items""",
         "items",
     ),
@@ -251,8 +251,7 @@ def coll_sort(spark, d):
 @query(
     "coll_any",
     with_ctes(
-        """SELECT e.o_orderkey, e.block, EXISTS (SELECT 1 FROM items i WHERE i.o_orderkey = e.o_orderkey
-             AND i.block = e.block AND i.pt > 45) AS has_hard FROM ev e""",
+        """SELECT e.o_orderkey, EXISTS (SELECT 1 FROM items i WHERE i.o_orderkey = e.o_orderkey AND i.pt > 45) AS has_hard FROM ev e""",
         "ev",
         "items",
     ),
@@ -264,9 +263,9 @@ def coll_any(spark, d):
 @query(
     "coll_size",
     with_ctes(
-        """SELECT e.o_orderkey, e.block, (count(*) FILTER (kind = 'electron'))::INTEGER AS n_el, (count(*) FILTER (kind = 'muon'))::INTEGER AS n_mu,
+        """SELECT e.o_orderkey, (count(*) FILTER (kind = 'electron'))::INTEGER AS n_el, (count(*) FILTER (kind = 'muon'))::INTEGER AS n_mu,
              (count(*) FILTER (kind = 'jet'))::INTEGER AS n_jet
-           FROM ev e LEFT JOIN items USING (o_orderkey, block) GROUP BY e.o_orderkey, e.block""",
+           FROM ev e LEFT JOIN items USING (o_orderkey) GROUP BY e.o_orderkey""",
         "ev",
         "items",
     ),
@@ -279,8 +278,8 @@ def coll_size(spark, d):
 @query(
     "coll_at",
     with_ctes(
-        """SELECT e.o_orderkey, e.block, i.pt AS third_pt FROM ev e LEFT JOIN (SELECT * FROM items WHERE idx = 2) i
-           USING (o_orderkey, block)""",
+        """SELECT e.o_orderkey, i.pt AS third_pt FROM ev e LEFT JOIN (SELECT * FROM items WHERE idx = 2) i
+           USING (o_orderkey)""",
         "ev",
         "items",
     ),
@@ -306,8 +305,8 @@ def _opposite(a, b):
 @query(
     "os_pairs_same",
     with_ctes(
-        f"""SELECT a.o_orderkey, a.block, a.idx AS i, b.idx AS j, round({invm('a.', 'b.')}, 3) + 0.0 AS m
-            FROM items a JOIN items b ON a.o_orderkey = b.o_orderkey AND a.block = b.block AND a.idx < b.idx
+        f"""SELECT a.o_orderkey, a.idx AS i, b.idx AS j, round({invm('a.', 'b.')}, 3) + 0.0 AS m
+            FROM items a JOIN items b ON a.o_orderkey = b.o_orderkey AND a.idx < b.idx
             WHERE a.kind = 'electron' AND b.kind = 'electron' AND a.charge <> b.charge""",
         "items",
     ),
@@ -320,8 +319,8 @@ def os_pairs_same(spark, d):
 @query(
     "os_pairs_cross",
     with_ctes(
-        f"""SELECT a.o_orderkey, a.block, a.idx AS i, b.idx AS j, round({invm('a.', 'b.')}, 3) + 0.0 AS m
-            FROM items a JOIN items b ON a.o_orderkey = b.o_orderkey AND a.block = b.block
+        f"""SELECT a.o_orderkey, a.idx AS i, b.idx AS j, round({invm('a.', 'b.')}, 3) + 0.0 AS m
+            FROM items a JOIN items b ON a.o_orderkey = b.o_orderkey
             WHERE a.kind = 'electron' AND b.kind = 'muon' AND a.charge <> b.charge""",
         "items",
     ),
@@ -334,8 +333,8 @@ def os_pairs_cross(spark, d):
 @query(
     "coll_follow",
     with_ctes(
-        """SELECT a.o_orderkey, a.block, a.idx, b.idx AS ref_idx, b.pt AS ref_pt
-           FROM items a LEFT JOIN items b ON a.o_orderkey = b.o_orderkey AND a.block = b.block AND a.ref = b.idx""",
+        """SELECT a.o_orderkey, a.idx, b.idx AS ref_idx, b.pt AS ref_pt
+           FROM items a LEFT JOIN items b ON a.o_orderkey = b.o_orderkey AND a.ref = b.idx""",
         "items",
     ),
 )
@@ -354,8 +353,8 @@ def coll_follow(spark, d):
 @query(
     "overlap_removal",
     with_ctes(
-        f"""SELECT o_orderkey, block, idx, pt FROM items j WHERE kind = 'jet' AND NOT EXISTS (
-              SELECT 1 FROM items l WHERE l.o_orderkey = j.o_orderkey AND l.block = j.block AND l.kind <> 'jet'
+        f"""SELECT o_orderkey, idx, pt FROM items j WHERE kind = 'jet' AND NOT EXISTS (
+              SELECT 1 FROM items l WHERE l.o_orderkey = j.o_orderkey AND l.kind <> 'jet'
               AND {dr('j.', 'l.')} <= 1.5)""",
         "items",
     ),
@@ -368,18 +367,18 @@ def overlap_removal(spark, d):
     return lists.select(*KEYS, F.inline(kept)).select(*KEYS, "idx", "pt")
 
 
-_RANKED = """SELECT o_orderkey, block, eta, phi, pt, CASE kind WHEN 'electron' THEN 'e' ELSE 'm' END AS f,
-  row_number() OVER (PARTITION BY o_orderkey, block, kind ORDER BY pt DESC, idx) - 1 AS p
+_RANKED = """SELECT o_orderkey, eta, phi, pt, CASE kind WHEN 'electron' THEN 'e' ELSE 'm' END AS f,
+  row_number() OVER (PARTITION BY o_orderkey, kind ORDER BY pt DESC, idx) - 1 AS p
 FROM items WHERE kind <> 'jet'"""
 _WIDE = (
-    "SELECT o_orderkey, block, count_if(f = 'e') AS ne, count_if(f = 'm') AS nm, "
+    "SELECT o_orderkey, count_if(f = 'e') AS ne, count_if(f = 'm') AS nm, "
     + ", ".join(
         f"max(CASE WHEN f = '{f}' AND p = {p} THEN {c} END) AS {f}{p}{c}"
         for f in "em"
         for p in (0, 1)
         for c in ("pt", "eta", "phi")
     )
-    + " FROM ranked GROUP BY o_orderkey, block"
+    + " FROM ranked GROUP BY o_orderkey"
 )
 
 
@@ -387,7 +386,7 @@ def _far(*names: str) -> str:
     return " AND ".join(f"{dr('j.', 'w.' + n)} >= 1.0" for n in names)
 
 
-_CLEAN = """SELECT j.o_orderkey, j.block, j.idx FROM items j LEFT JOIN wide w USING (o_orderkey, block)
+_CLEAN = """SELECT j.o_orderkey, j.idx FROM items j LEFT JOIN wide w USING (o_orderkey)
 WHERE j.kind = 'jet' AND CASE {cases} ELSE true END"""
 
 

@@ -12,7 +12,7 @@ from eventspark.sources import catalog, skim
 from suite.registry import query
 from suite.sqlparts import DL_TREE, SL_TREE, with_ctes
 
-KEYS = ("o_orderkey", "block")
+KEYS = ("o_orderkey",)
 LEPTONS = ("Muon", "Electron", "Jet")
 
 
@@ -34,14 +34,14 @@ def _levels(df, levels):
 
 # --- objects ---------------------------------------------------------------------------------------------------
 
-_OBJ = "SELECT '{lvl}' AS level, o_orderkey, block, CAST({pos} AS INTEGER) AS pos, CAST(idx AS INTEGER) AS idx, pt FROM {cte}"
+_OBJ = "SELECT '{lvl}' AS level, o_orderkey, CAST({pos} AS INTEGER) AS pos, CAST(idx AS INTEGER) AS idx, pt FROM {cte}"
 
 
 @query(
     "obj_conept",
     with_ctes(
-        """SELECT 'muon' AS flavour, o_orderkey, block, CAST(idx AS INTEGER) AS idx, conept FROM mu_all
-           UNION ALL SELECT 'electron', o_orderkey, block, CAST(idx AS INTEGER), conept FROM el_all""",
+        """SELECT 'muon' AS flavour, o_orderkey, CAST(idx AS INTEGER) AS idx, conept FROM mu_all
+           UNION ALL SELECT 'electron', o_orderkey, CAST(idx AS INTEGER), conept FROM el_all""",
         "mu_all",
         "el_all",
     ),
@@ -100,7 +100,7 @@ def obj_electrons(spark, d):
 
 @query(
     "obj_taus",
-    with_ctes("SELECT o_orderkey, block, CAST(idx AS INTEGER) AS idx, pt FROM tau", "tau"),
+    with_ctes("SELECT o_orderkey, CAST(idx AS INTEGER) AS idx, pt FROM tau", "tau"),
 )
 def obj_taus(spark, d):
     df = objects.taus(objects.electrons(objects.muons(fx.collisions(spark, d, (*LEPTONS, "Tau")))))
@@ -118,7 +118,7 @@ def _with_jets(spark, d, channel, names):
         " UNION ALL ".join(
             [
                 _OBJ.format(lvl="dl_jet", pos="pos", cte="ak4_dl"),
-                "SELECT 'dl_btag', o_orderkey, block, CAST(row_number() OVER (PARTITION BY o_orderkey, block "
+                "SELECT 'dl_btag', o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderkey "
                 "ORDER BY btag DESC, idx) - 1 AS INTEGER), idx, pt FROM ak4_dl",
                 _OBJ.format(lvl="dl_b", pos="bpos", cte="b4_dl"),
             ]
@@ -138,7 +138,7 @@ def obj_jets(spark, d):
             [
                 _OBJ.format(lvl="sl_fat", pos="pos", cte="ak8_sl"),
                 _OBJ.format(lvl="sl_fat_b", pos="bpos", cte="b8_sl"),
-                "SELECT 'sl_away', o_orderkey, block, CAST(row_number() OVER (PARTITION BY o_orderkey, block ORDER BY pos) "
+                "SELECT 'sl_away', o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY pos) "
                 "- 1 AS INTEGER), idx, pt FROM away_sl",
             ]
         ),
@@ -152,7 +152,7 @@ def obj_fatjets(spark, d):
 
 @query(
     "clean_from_fatjet",
-    with_ctes("SELECT o_orderkey, block, idx, pt FROM away_dl", "away_dl"),
+    with_ctes("SELECT o_orderkey, idx, pt FROM away_dl", "away_dl"),
 )
 def clean_from_fatjet(spark, d):
     """Small jets farther than 1.2 from the leading b-tagged fat jet; none when there is no such fat jet."""
@@ -188,7 +188,7 @@ def _leptons_only(spark, d):
 @query(
     "dl_pt_cut",
     with_ctes(
-        "SELECT o_orderkey, block, "
+        "SELECT o_orderkey, "
         + ", ".join(f"({cut}) AS {name}" for name, _, cut in DL_TREE if name in ("elelptSel", "mumuptSel", "elmuptSel"))
         + " FROM wide_dl",
         "wide_dl",
@@ -200,13 +200,13 @@ def dl_pt_cut(spark, d):
     return _leptons_only(spark, d).select(*KEYS, *flags)
 
 
-@query("low_mll_veto", with_ctes("SELECT o_orderkey, block, ok_low AS keep FROM wide_dl", "wide_dl"))
+@query("low_mll_veto", with_ctes("SELECT o_orderkey, ok_low AS keep FROM wide_dl", "wide_dl"))
 def low_mll_veto(spark, d):
     low, _ = selection.vetoes()
     return _leptons_only(spark, d).select(*KEYS, low.alias("keep"))
 
 
-@query("z_veto", with_ctes("SELECT o_orderkey, block, ok_z AS keep FROM wide_dl", "wide_dl"))
+@query("z_veto", with_ctes("SELECT o_orderkey, ok_z AS keep FROM wide_dl", "wide_dl"))
 def z_veto(spark, d):
     _, z = selection.vetoes()
     return _leptons_only(spark, d).select(*KEYS, z.alias("keep"))
@@ -215,7 +215,7 @@ def z_veto(spark, d):
 @query(
     "pair_multiplicity",
     with_ctes(
-        """SELECT o_orderkey, block, n_ee::INTEGER AS n_ee, n_mm::INTEGER AS n_mm, n_em::INTEGER AS n_em,
+        """SELECT o_orderkey, n_ee::INTEGER AS n_ee, n_mm::INTEGER AS n_mm, n_em::INTEGER AS n_em,
              n_ee = 1 AND n_mm = 0 AND n_em = 0 AS only_ee FROM wide_dl""",
         "wide_dl",
     ),
@@ -234,7 +234,7 @@ def _passing(channel, names):
 def _passing_sql(ch, names):
     flags = [f"sel_{n}" for n in names]
     return with_ctes(
-        f"SELECT o_orderkey, block, {', '.join(flags)} FROM sel_{ch} WHERE {' OR '.join(flags)}", f"sel_{ch}"
+        f"SELECT o_orderkey, {', '.join(flags)} FROM sel_{ch} WHERE {' OR '.join(flags)}", f"sel_{ch}"
     )
 
 
@@ -287,7 +287,7 @@ def _skim_sql(ch, flag, names):
     cols = ", ".join(
         f"{_FEATURES[n]}_{c} AS {n}_{c}" for n in names for c in ("pt", "eta", "phi")
     )
-    return f"SELECT o_orderkey, block, sample, weight, {cols} FROM sel_{ch} WHERE {flag}"
+    return f"SELECT o_orderkey, sample, weight, {cols} FROM sel_{ch} WHERE {flag}"
 
 
 _DL_SKIM = _skim_sql("dl", "sel_DL_resolved_ee", list(_FEATURES))
@@ -339,7 +339,7 @@ def lumi_scale(spark, d):
 @query(
     "skim_scaled",
     with_ctes(
-        f"""SELECT k.o_orderkey, k.block, s.process, round(k.weight * s.scale, 5) + 0.0 AS weight, k."leadingLepton_pt"
+        f"""SELECT k.o_orderkey, s.process, round(k.weight * s.scale, 5) + 0.0 AS weight, k."leadingLepton_pt"
             FROM ({_DL_SKIM}) k JOIN scales s USING (sample)""",
         "sel_dl",
         cat=CATALOG_SQL,
@@ -366,20 +366,20 @@ def weight_gen(spark, d):
 
 
 _TOP = """
-SELECT e.o_orderkey, e.block, e.sample, e.weight,
+SELECT e.o_orderkey, e.sample, e.weight,
   CASE WHEN starts_with(e.sample, 'TT') AND t.pt IS NOT NULL AND a.pt IS NOT NULL THEN sqrt(
     (0.103::DOUBLE * exp(-0.0118::DOUBLE * t.pt) - 0.000134::DOUBLE * t.pt + 0.973::DOUBLE)
     * (0.103::DOUBLE * exp(-0.0118::DOUBLE * a.pt) - 0.000134::DOUBLE * a.pt + 0.973::DOUBLE)) ELSE 1.0::DOUBLE END AS top_w
 FROM ev e
-LEFT JOIN (SELECT o_orderkey, block, q * 6 AS pt FROM raw WHERE pk % 3 <> 0 AND pk % 2 = 1 AND rf = 'A' AND charge = 1
-           QUALIFY row_number() OVER (PARTITION BY o_orderkey, block ORDER BY idx) = 1) t USING (o_orderkey, block)
-LEFT JOIN (SELECT o_orderkey, block, q * 6 AS pt FROM raw WHERE pk % 3 <> 0 AND pk % 2 = 1 AND rf = 'A' AND charge = -1
-           QUALIFY row_number() OVER (PARTITION BY o_orderkey, block ORDER BY idx) = 1) a USING (o_orderkey, block)"""
+LEFT JOIN (SELECT o_orderkey, q * 6 AS pt FROM raw WHERE pk % 3 <> 0 AND pk % 2 = 1 AND rf = 'A' AND charge = 1
+           QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY idx) = 1) t USING (o_orderkey)
+LEFT JOIN (SELECT o_orderkey, q * 6 AS pt FROM raw WHERE pk % 3 <> 0 AND pk % 2 = 1 AND rf = 'A' AND charge = -1
+           QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY idx) = 1) a USING (o_orderkey)"""
 
 
 @query(
     "weight_curve",
-    with_ctes("SELECT o_orderkey, block, sample, round(top_w, 6) + 0.0 AS w FROM top", "ev", top=_TOP),
+    with_ctes("SELECT o_orderkey, sample, round(top_w, 6) + 0.0 AS w FROM top", "ev", top=_TOP),
 )
 def weight_curve(spark, d):
     w = weights.top_pt(F.col("GenPart"), F.col("sample"))
@@ -414,11 +414,11 @@ SF_BINS = [
 @query(
     "weight_lookup",
     with_ctes(
-        """SELECT e.o_orderkey, e.block, round(coalesce(product(coalesce(f, 1.0::DOUBLE)), 1.0::DOUBLE), 6) + 0.0 AS w
+        """SELECT e.o_orderkey, round(coalesce(product(coalesce(f, 1.0::DOUBLE)), 1.0::DOUBLE), 6) + 0.0 AS w
            FROM ev e LEFT JOIN (
-             SELECT i.o_orderkey, i.block, CAST(b.f AS DOUBLE) AS f FROM items i JOIN bins b
+             SELECT i.o_orderkey, CAST(b.f AS DOUBLE) AS f FROM items i JOIN bins b
                ON i.kind = b.k AND i.pt >= b.x0 AND i.pt < b.x1 AND abs(i.eta) >= b.y0 AND abs(i.eta) < b.y1) m
-             USING (o_orderkey, block) GROUP BY e.o_orderkey, e.block""",
+             USING (o_orderkey) GROUP BY e.o_orderkey""",
         "ev",
         "items",
         bins="SELECT * FROM (VALUES "
@@ -451,8 +451,8 @@ def _corrected(spark, d):
 @query(
     "jet_scale",
     with_ctes(
-        """SELECT j.o_orderkey, j.block, j.idx, e.jec_tag, round(j.pt * e.jec_factor, 4) + 0.0 AS pt,
-             round(j.mass * e.jec_factor, 4) + 0.0 AS mass FROM jet j JOIN evj e USING (o_orderkey, block)""",
+        """SELECT j.o_orderkey, j.idx, e.jec_tag, round(j.pt * e.jec_factor, 4) + 0.0 AS pt,
+             round(j.mass * e.jec_factor, 4) + 0.0 AS mass FROM jet j JOIN evj e USING (o_orderkey)""",
         "ev",
         "jet",
         jec=_JEC_SQL,
@@ -465,17 +465,17 @@ def jet_scale(spark, d):
 
 
 def _met_sql(source: str, factor: str) -> str:
-    return f"""SELECT o_orderkey, block, sqrt(px * px + py * py) AS met_pt, atan2(py, px) AS met_phi FROM (
-      SELECT e.o_orderkey, e.block, any_value(e.met_pt) * cos(any_value(e.met_phi))
+    return f"""SELECT o_orderkey, sqrt(px * px + py * py) AS met_pt, atan2(py, px) AS met_phi FROM (
+      SELECT e.o_orderkey, any_value(e.met_pt) * cos(any_value(e.met_phi))
           - coalesce(sum(j.pt * ({factor} - 1) * cos(j.phi)), 0) AS px,
         any_value(e.met_pt) * sin(any_value(e.met_phi)) - coalesce(sum(j.pt * ({factor} - 1) * sin(j.phi)), 0) AS py
-      FROM {source} e LEFT JOIN jet j USING (o_orderkey, block) GROUP BY e.o_orderkey, e.block)"""
+      FROM {source} e LEFT JOIN jet j USING (o_orderkey) GROUP BY e.o_orderkey)"""
 
 
 @query(
     "met_shift",
     with_ctes(
-        "SELECT o_orderkey, block, round(met_pt, 7) + 0.0 AS met_pt, round(met_phi, 7) + 0.0 AS met_phi FROM met",
+        "SELECT o_orderkey, round(met_pt, 7) + 0.0 AS met_pt, round(met_phi, 7) + 0.0 AS met_phi FROM met",
         "ev",
         "jet",
         jec=_JEC_SQL,
@@ -497,14 +497,14 @@ _VARIED = {"jesTotalup": 1.1, "jesTotaldown": 0.9}
     "syst_object",
     with_ctes(
         """SELECT e.sample, v.variation, sum(n)::BIGINT AS n_jets, round(sum(met), 6) + 0.0 AS met FROM (
-             SELECT e.o_orderkey, e.block, e.sample, v.variation, v.f, count(*) FILTER (j.pt * v.f >= 25) AS n
+             SELECT e.o_orderkey, e.sample, v.variation, v.f, count(*) FILTER (j.pt * v.f >= 25) AS n
              FROM ev e JOIN var v ON e.type <> 'data' OR v.variation = 'nominal'
-             LEFT JOIN jet j ON j.o_orderkey = e.o_orderkey AND j.block = e.block GROUP BY ALL) v
-           JOIN (SELECT o_orderkey, block, 'nominal' AS variation, met_pt AS met FROM ev
-                 UNION ALL SELECT o_orderkey, block, 'jesTotalup', met_pt FROM metup
-                 UNION ALL SELECT o_orderkey, block, 'jesTotaldown', met_pt FROM metdown) m
-             USING (o_orderkey, block, variation)
-           JOIN ev e USING (o_orderkey, block) GROUP BY e.sample, v.variation""",
+             LEFT JOIN jet j ON j.o_orderkey = e.o_orderkey GROUP BY ALL) v
+           JOIN (SELECT o_orderkey, 'nominal' AS variation, met_pt AS met FROM ev
+                 UNION ALL SELECT o_orderkey, 'jesTotalup', met_pt FROM metup
+                 UNION ALL SELECT o_orderkey, 'jesTotaldown', met_pt FROM metdown) m
+             USING (o_orderkey, variation)
+           JOIN ev e USING (o_orderkey) GROUP BY e.sample, v.variation""",
         "ev",
         "jet",
         var="SELECT * FROM (VALUES ('nominal', 1.0::DOUBLE), ('jesTotalup', 1.1::DOUBLE), ('jesTotaldown', 0.9::DOUBLE)) t(variation, f)",

@@ -36,14 +36,14 @@ def _opposite(a, b):
 @query(
     "hist1d",
     with_ctes(
-        f"""SELECT sample, {binned('m', 60, 0.0, 300.0)} AS bin, {CONTENT_SQL} FROM first JOIN ev USING (o_orderkey, block)
+        f"""SELECT sample, {binned('m', 60, 0.0, 300.0)} AS bin, {CONTENT_SQL} FROM first JOIN ev USING (o_orderkey)
             GROUP BY 1, 2""",
         "ev",
         "items",
-        first=f"""SELECT a.o_orderkey, a.block, {invm('a.', 'b.')} AS m
-            FROM items a JOIN items b ON a.o_orderkey = b.o_orderkey AND a.block = b.block AND a.idx < b.idx
+        first=f"""SELECT a.o_orderkey, {invm('a.', 'b.')} AS m
+            FROM items a JOIN items b ON a.o_orderkey = b.o_orderkey AND a.idx < b.idx
             WHERE a.kind = 'electron' AND b.kind = 'electron' AND a.charge <> b.charge
-            QUALIFY row_number() OVER (PARTITION BY a.o_orderkey, a.block ORDER BY a.idx, b.idx) = 1""",
+            QUALIFY row_number() OVER (PARTITION BY a.o_orderkey ORDER BY a.idx, b.idx) = 1""",
     ),
 )
 def hist1d(spark, d):

@@ -5,7 +5,7 @@ They are written relationally (self-joins and row numbers), independent of the a
 
 from __future__ import annotations
 
-KEY = "o_orderkey, block"
+KEY = "o_orderkey"
 
 
 def dr(a: str, b: str) -> str:
@@ -57,10 +57,10 @@ SELECT o_orderkey,
 FROM orders"""
 
 CTES["raw"] = """
-SELECT *, count(*) OVER (PARTITION BY o_orderkey, block) AS size,
+SELECT *, count(*) OVER (PARTITION BY o_orderkey) AS size,
   (disc - 0.05::DOUBLE) * 50 AS eta, (pk % 628) / 100.0::DOUBLE - 3.14::DOUBLE AS phi,
   CASE ls WHEN 'O' THEN 1 ELSE -1 END AS charge
-FROM (SELECT *, pos // 128 AS block, CAST(pos % 128 AS INTEGER) AS idx FROM (
+FROM (SELECT *, CAST(pos AS INTEGER) AS idx FROM (
   SELECT l_orderkey AS o_orderkey, l_linenumber AS ln, l_partkey AS pk, l_suppkey AS sk, l_quantity AS q,
     l_extendedprice AS price, l_discount AS disc, l_tax AS tax, l_returnflag AS rf, l_linestatus AS ls,
     row_number() OVER (PARTITION BY l_orderkey
@@ -68,23 +68,22 @@ FROM (SELECT *, pos // 128 AS block, CAST(pos % 128 AS INTEGER) AS idx FROM (
   FROM lineitem))"""
 
 CTES["ev"] = """
-SELECT h.*, coalesce(b.block, 0) AS block
-FROM hdr h LEFT JOIN (SELECT DISTINCT o_orderkey, block FROM raw) b USING (o_orderkey)"""
+SELECT * FROM hdr"""
 
 CTES["items"] = """
-SELECT o_orderkey, block, idx,
+SELECT o_orderkey, idx,
   CASE rf WHEN 'R' THEN 'electron' WHEN 'A' THEN 'muon' ELSE 'jet' END AS kind,
   q AS pt, eta, phi, tax AS mass, charge, price / 105000.0 AS btag, sk AS mask,
   CASE WHEN ln - 1 >= 0 AND ln - 1 < size THEN ln - 1 ELSE -1 END AS ref
 FROM raw"""
 
-_LEPTON = """o_orderkey, block, row_number() OVER (PARTITION BY o_orderkey, block ORDER BY idx) - 1 AS idx,
+_LEPTON = """o_orderkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY idx) - 1 AS idx,
   q AS pt, eta, phi, tax AS mass, charge, (sk % 60) / 1000.0::DOUBLE AS dxy, (pk % 23) / 200.0::DOUBLE AS dz,
   CAST(sk % 10 AS DOUBLE) AS sip3d, (pk % 9) / 20.0::DOUBLE AS iso, (sk % 12) / 10.0::DOUBLE AS rel,
   CASE WHEN pk % 4 = 0 AND ln - 1 < size THEN ln - 1 ELSE -1 END AS jet_idx"""
 
 CTES["jet"] = """
-SELECT o_orderkey, block, idx, q * 2 AS pt, eta, phi, tax * 100 AS mass,
+SELECT o_orderkey, idx, q * 2 AS pt, eta, phi, tax * 100 AS mass,
   CASE WHEN sk % 8 = 0 THEN 1 ELSE 2 + 4 * (pk % 2) END AS jet_id, price / 105000.0 AS btag
 FROM raw"""
 
@@ -93,11 +92,11 @@ SELECT m.*, CASE WHEN medium AND mva > 0.50 THEN pt ELSE 0.9::DOUBLE * pt * (1.0
   0.9::DOUBLE * pt * (1.0 + rel) AS soft, j.btag AS jbtag
 FROM (SELECT {_LEPTON}, 1 - (pk % 101) / 150.0::DOUBLE AS mva, pk % 20 <> 0 AS loose, pk % 5 <> 0 AS medium
       FROM raw WHERE rf = 'A') m
-LEFT JOIN (SELECT o_orderkey, block, idx AS jidx, btag FROM jet) j
-  ON m.o_orderkey = j.o_orderkey AND m.block = j.block AND m.jet_idx = j.jidx"""
+LEFT JOIN (SELECT o_orderkey, idx AS jidx, btag FROM jet) j
+  ON m.o_orderkey = j.o_orderkey AND m.jet_idx = j.jidx"""
 
 CTES["mu"] = """
-SELECT *, row_number() OVER (PARTITION BY o_orderkey, block ORDER BY conept DESC, idx) - 1 AS pos,
+SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY conept DESC, idx) - 1 AS pos,
   conept >= 10 AND (jbtag IS NULL OR jbtag <= 0.2770 OR (rel < 0.8 AND jbtag <
      least(greatest(0.0::DOUBLE, soft - 20.0) / 25.0, 1.0) * 0.0494::DOUBLE
      + (1 - least(greatest(0.0::DOUBLE, soft - 20.0) / 25.0, 1.0)) * 0.2770::DOUBLE)) AS fake,
@@ -112,46 +111,46 @@ FROM (SELECT {_LEPTON}, 1 - (pk % 101) / 120.0::DOUBLE AS mva,
         (pk % 8) / 1000.0::DOUBLE + 0.005::DOUBLE AS sieie, (sk % 11) / 100.0::DOUBLE + 0.005::DOUBLE AS hoe,
         (pk % 6) / 100.0::DOUBLE - 0.045::DOUBLE AS einv, sk % 25 <> 0 AS conv, pk % 3 <> 0 AS wp90
       FROM raw WHERE rf = 'R') m
-LEFT JOIN (SELECT o_orderkey, block, idx AS jidx, btag FROM jet) j
-  ON m.o_orderkey = j.o_orderkey AND m.block = j.block AND m.jet_idx = j.jidx"""
+LEFT JOIN (SELECT o_orderkey, idx AS jidx, btag FROM jet) j
+  ON m.o_orderkey = j.o_orderkey AND m.jet_idx = j.jidx"""
 
 CTES["el_loose"] = """
-SELECT *, row_number() OVER (PARTITION BY o_orderkey, block ORDER BY conept DESC, idx) - 1 AS lpos
+SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY conept DESC, idx) - 1 AS lpos
 FROM el_all
 WHERE pt >= 7 AND abs(eta) <= 2.5 AND abs(dxy) <= 0.05 AND abs(dz) <= 0.1 AND sip3d <= 8 AND iso <= 0.4 AND lost <= 1"""
 
 CTES["el"] = f"""
-SELECT *, row_number() OVER (PARTITION BY o_orderkey, block ORDER BY lpos) - 1 AS pos,
+SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY lpos) - 1 AS pos,
   good AND (mva >= 0.30 OR (rel < 0.7 AND wp90))
     AND (jbtag IS NULL OR jbtag <= CASE WHEN mva < 0.30 THEN 0.7264 ELSE 0.2770 END) AS fake,
   good AND mva >= 0.30 AND (jbtag IS NULL OR jbtag <= 0.2770) AS tight
 FROM (SELECT *, conept >= 10 AND hoe <= 0.10 AND einv >= -0.04 AND lost = 0 AND conv
         AND ((abs(eta + deta_sc) <= 1.479 AND sieie <= 0.011) OR (abs(eta + deta_sc) > 1.479 AND sieie <= 0.030)) AS good
       FROM el_loose e
-      WHERE NOT EXISTS (SELECT 1 FROM mu m WHERE m.o_orderkey = e.o_orderkey AND m.block = e.block
+      WHERE NOT EXISTS (SELECT 1 FROM mu m WHERE m.o_orderkey = e.o_orderkey
                         AND {dr("e.", "m.")} <= 0.3))"""
 
 CTES["fake_mu"] = """
-SELECT *, row_number() OVER (PARTITION BY o_orderkey, block ORDER BY pos) - 1 AS fpos FROM mu WHERE fake"""
+SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY pos) - 1 AS fpos FROM mu WHERE fake"""
 CTES["fake_el"] = """
-SELECT *, row_number() OVER (PARTITION BY o_orderkey, block ORDER BY pos) - 1 AS fpos FROM el WHERE fake"""
+SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY pos) - 1 AS fpos FROM el WHERE fake"""
 CTES["tight_mu"] = """
-SELECT *, row_number() OVER (PARTITION BY o_orderkey, block ORDER BY pos) - 1 AS tpos FROM mu WHERE tight"""
+SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY pos) - 1 AS tpos FROM mu WHERE tight"""
 CTES["tight_el"] = """
-SELECT *, row_number() OVER (PARTITION BY o_orderkey, block ORDER BY pos) - 1 AS tpos FROM el WHERE tight"""
+SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY pos) - 1 AS tpos FROM el WHERE tight"""
 
 CTES["tau"] = f"""
 SELECT * FROM (
-  SELECT o_orderkey, block, row_number() OVER (PARTITION BY o_orderkey, block ORDER BY idx) - 1 AS idx,
+  SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY idx) - 1 AS idx,
     q AS pt, eta, phi, (sk % 60) / 1000.0::DOUBLE AS dxy, (pk % 23) / 100.0::DOUBLE AS dz, sk % 10 <> 0 AS old_dm,
     CASE ln WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 5 WHEN 5 THEN 6 WHEN 6 THEN 10 ELSE 11 END AS dm,
     (sk + pk) % 32 AS vs_jet, CASE WHEN ln = 4 THEN 2 ELSE 3 END AS vs_e, 1 + sk % 3 AS vs_mu
   FROM raw WHERE pk % 7 = 0) t
 WHERE pt > 20 AND abs(eta) < 2.3 AND abs(dxy) <= 1000 AND abs(dz) <= 0.2 AND old_dm AND dm IN (0, 1, 2, 10, 11)
   AND (vs_jet >> 4) & 1 = 1 AND vs_e & 1 = 1 AND vs_mu & 1 = 1
-  AND NOT EXISTS (SELECT 1 FROM fake_el e WHERE e.o_orderkey = t.o_orderkey AND e.block = t.block
+  AND NOT EXISTS (SELECT 1 FROM fake_el e WHERE e.o_orderkey = t.o_orderkey
                   AND {dr("t.", "e.")} <= 0.3)
-  AND NOT EXISTS (SELECT 1 FROM fake_mu m WHERE m.o_orderkey = t.o_orderkey AND m.block = t.block
+  AND NOT EXISTS (SELECT 1 FROM fake_mu m WHERE m.o_orderkey = t.o_orderkey
                   AND {dr("t.", "m.")} <= 0.3)"""
 
 _two = ", ".join(
@@ -161,10 +160,10 @@ _two = ", ".join(
     for c in ("conept", "eta", "phi")
 )
 CTES["lead_wide"] = f"""
-SELECT o_orderkey, block, count_if(f = 'e') AS ne, count_if(f = 'm') AS nm, {_two}
-FROM (SELECT o_orderkey, block, 'e' AS f, fpos AS p, conept, eta, phi FROM fake_el
-      UNION ALL SELECT o_orderkey, block, 'm', fpos, conept, eta, phi FROM fake_mu)
-GROUP BY o_orderkey, block"""
+SELECT o_orderkey, count_if(f = 'e') AS ne, count_if(f = 'm') AS nm, {_two}
+FROM (SELECT o_orderkey, 'e' AS f, fpos AS p, conept, eta, phi FROM fake_el
+      UNION ALL SELECT o_orderkey, 'm', fpos, conept, eta, phi FROM fake_mu)
+GROUP BY o_orderkey"""
 
 
 def _case2(which: int) -> str:
@@ -189,49 +188,49 @@ def _axis_of(name: str) -> str:
 
 
 CTES["leads_dl"] = f"""
-SELECT o_orderkey, block, {_axis_of('w')} FROM (
+SELECT o_orderkey, {_axis_of('w')} FROM (
   SELECT *, {_case2(0)} AS w FROM lead_wide UNION ALL SELECT *, {_case2(1)} AS w FROM lead_wide)
 WHERE w IS NOT NULL"""
 CTES["leads_sl"] = f"""
-SELECT o_orderkey, block, {_axis_of('w')} FROM (
+SELECT o_orderkey, {_axis_of('w')} FROM (
   SELECT *, CASE WHEN ne >= 1 AND nm = 0 THEN 'e0' WHEN ne = 0 AND nm >= 1 THEN 'm0'
                  WHEN e0conept >= m0conept THEN 'e0' ELSE 'm0' END AS w FROM lead_wide)"""
 
 for _ch in ("dl", "sl"):
     CTES[f"ak4_{_ch}"] = f"""
-SELECT *, row_number() OVER (PARTITION BY o_orderkey, block ORDER BY pt DESC, idx) - 1 AS pos FROM jet j
+SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY pt DESC, idx) - 1 AS pos FROM jet j
 WHERE jet_id & 2 <> 0 AND pt >= 25 AND abs(eta) <= 2.4
-  AND NOT EXISTS (SELECT 1 FROM leads_{_ch} l WHERE l.o_orderkey = j.o_orderkey AND l.block = j.block
+  AND NOT EXISTS (SELECT 1 FROM leads_{_ch} l WHERE l.o_orderkey = j.o_orderkey
                   AND NOT {dr("j.", "l.")} >= 0.4)"""
     CTES[f"b4_{_ch}"] = f"""
-SELECT *, row_number() OVER (PARTITION BY o_orderkey, block ORDER BY pos) - 1 AS bpos FROM ak4_{_ch} WHERE btag > 0.2770"""
+SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY pos) - 1 AS bpos FROM ak4_{_ch} WHERE btag > 0.2770"""
     _sort = "pt" if _ch == "dl" else "btag"
     CTES[f"ak8_{_ch}"] = f"""
-SELECT *, row_number() OVER (PARTITION BY o_orderkey, block ORDER BY {_sort} DESC, idx) - 1 AS pos,
+SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY {_sort} DESC, idx) - 1 AS pos,
   (s1pt >= 30 AND s1b > 0.4184) OR (s2pt >= 30 AND s2b > 0.4184) AS isb
 FROM fat f
 WHERE pt >= 200 AND abs(eta) <= 2.4 AND jet_id & 2 <> 0 AND s1pt >= 20 AND s2pt >= 20
   AND abs(s1eta) <= 2.4 AND abs(s2eta) <= 2.4 AND msd >= 30 AND msd <= 210 AND tau1 > 0 AND tau2 / tau1 <= 0.75
-  AND NOT EXISTS (SELECT 1 FROM leads_{_ch} l WHERE l.o_orderkey = f.o_orderkey AND l.block = f.block
+  AND NOT EXISTS (SELECT 1 FROM leads_{_ch} l WHERE l.o_orderkey = f.o_orderkey
                   AND NOT {dr("f.", "l.")} >= 0.8)"""
     CTES[f"b8_{_ch}"] = f"""
-SELECT *, row_number() OVER (PARTITION BY o_orderkey, block ORDER BY pos) - 1 AS bpos FROM ak8_{_ch} WHERE isb"""
+SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY pos) - 1 AS bpos FROM ak8_{_ch} WHERE isb"""
     CTES[f"away_{_ch}"] = f"""
-SELECT j.* FROM ak4_{_ch} j JOIN b8_{_ch} f ON f.o_orderkey = j.o_orderkey AND f.block = j.block AND f.bpos = 0
+SELECT j.* FROM ak4_{_ch} j JOIN b8_{_ch} f ON f.o_orderkey = j.o_orderkey AND f.bpos = 0
 WHERE {dr("j.", "f.")} > 1.2"""
 
 CTES["sub"] = """
-SELECT o_orderkey, block, idx AS sidx, q * 4 AS pt, eta, phi, tax * 50 AS mass, 1 - price / 105000.0 AS b FROM raw"""
+SELECT o_orderkey, idx AS sidx, q * 4 AS pt, eta, phi, tax * 50 AS mass, 1 - price / 105000.0 AS b FROM raw"""
 CTES["fat"] = """
 SELECT f.*, a.pt AS s1pt, a.eta AS s1eta, a.phi AS s1phi, a.mass AS s1mass, a.b AS s1b,
   c.pt AS s2pt, c.eta AS s2eta, c.phi AS s2phi, c.mass AS s2mass, c.b AS s2b
-FROM (SELECT o_orderkey, block, row_number() OVER (PARTITION BY o_orderkey, block ORDER BY idx) - 1 AS idx,
+FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY idx) - 1 AS idx,
         q * 10 AS pt, eta, phi, q AS mass, CASE WHEN sk % 8 = 0 THEN 1 ELSE 2 + 4 * (pk % 2) END AS jet_id,
         price / 500.0 AS msd, (pk % 10) / 10.0::DOUBLE AS tau1, (sk % 8) / 12.0::DOUBLE AS tau2,
         price / 105000.0 AS btag, ln - 5 AS i1, ln - 4 AS i2
       FROM raw WHERE ln >= 5) f
-LEFT JOIN sub a ON a.o_orderkey = f.o_orderkey AND a.block = f.block AND a.sidx = f.i1
-LEFT JOIN sub c ON c.o_orderkey = f.o_orderkey AND c.block = f.block AND c.sidx = f.i2"""
+LEFT JOIN sub a ON a.o_orderkey = f.o_orderkey AND a.sidx = f.i1
+LEFT JOIN sub c ON c.o_orderkey = f.o_orderkey AND c.sidx = f.i2"""
 
 
 def _pairs(name: str, left: str, right: str, order: tuple[str, str]) -> str:
@@ -239,9 +238,9 @@ def _pairs(name: str, left: str, right: str, order: tuple[str, str]) -> str:
     extra = "AND a.pos < b.pos" if same else ""
     cols = ", ".join(f"{p}.{c} AS {p}_{c}" for p in "ab" for c in ("pt", "eta", "phi", "mass", "charge", "conept"))
     return f"""
-SELECT '{name}' AS f, a.o_orderkey, a.block, {cols}, {invm("a.", "b.")} AS m,
-  row_number() OVER (PARTITION BY a.o_orderkey, a.block ORDER BY a.{order[0]}, b.{order[1]}) - 1 AS rk
-FROM {left} a JOIN {right} b ON a.o_orderkey = b.o_orderkey AND a.block = b.block {extra} AND a.charge <> b.charge"""
+SELECT '{name}' AS f, a.o_orderkey, {cols}, {invm("a.", "b.")} AS m,
+  row_number() OVER (PARTITION BY a.o_orderkey ORDER BY a.{order[0]}, b.{order[1]}) - 1 AS rk
+FROM {left} a JOIN {right} b ON a.o_orderkey = b.o_orderkey {extra} AND a.charge <> b.charge"""
 
 
 CTES["loose_pairs"] = (
@@ -259,8 +258,8 @@ CTES["tight_pairs"] = (
     + _pairs("em", "tight_el", "tight_mu", ("pos", "pos"))
 )
 CTES["veto"] = """
-SELECT o_orderkey, block, bool_or(m < 12) AS low, coalesce(bool_or(abs(m - 91.1876) <= 10) FILTER (f <> 'em'), false) AS z
-FROM loose_pairs GROUP BY o_orderkey, block"""
+SELECT o_orderkey, bool_or(m < 12) AS low, coalesce(bool_or(abs(m - 91.1876) <= 10) FILTER (f <> 'em'), false) AS z
+FROM loose_pairs GROUP BY o_orderkey"""
 
 _first = ", ".join(
     f"max(CASE WHEN f = '{f}' AND rk = 0 THEN {p}_{c} END) AS {f}_{p}_{c}"
@@ -269,25 +268,25 @@ _first = ", ".join(
     for c in ("pt", "eta", "phi", "mass", "charge", "conept")
 )
 CTES["tight_wide"] = f"""
-SELECT o_orderkey, block, {', '.join(f"count_if(f = '{f}') AS n_{f}" for f in ('ee', 'mm', 'em'))}, {_first}
-FROM tight_pairs GROUP BY o_orderkey, block"""
+SELECT o_orderkey, {', '.join(f"count_if(f = '{f}') AS n_{f}" for f in ('ee', 'mm', 'em'))}, {_first}
+FROM tight_pairs GROUP BY o_orderkey"""
 
 _lep0 = ", ".join(f"max(CASE WHEN tpos = {i} THEN {c} END) AS {{p}}{i}_{c}" for i in (0, 1) for c in ("pt", "eta", "phi", "conept"))
-CTES["te_wide"] = f"SELECT o_orderkey, block, count(*) AS n_te, {_lep0.format(p='te')} FROM tight_el GROUP BY o_orderkey, block"
-CTES["tm_wide"] = f"SELECT o_orderkey, block, count(*) AS n_tm, {_lep0.format(p='tm')} FROM tight_mu GROUP BY o_orderkey, block"
-CTES["tau_wide"] = "SELECT o_orderkey, block, count(*) AS n_tau FROM tau GROUP BY o_orderkey, block"
+CTES["te_wide"] = f"SELECT o_orderkey, count(*) AS n_te, {_lep0.format(p='te')} FROM tight_el GROUP BY o_orderkey"
+CTES["tm_wide"] = f"SELECT o_orderkey, count(*) AS n_tm, {_lep0.format(p='tm')} FROM tight_mu GROUP BY o_orderkey"
+CTES["tau_wide"] = "SELECT o_orderkey, count(*) AS n_tau FROM tau GROUP BY o_orderkey"
 
 _FATC = ("pt", "eta", "phi", "s1pt", "s1eta", "s1phi", "s1mass", "s2pt", "s2eta", "s2phi", "s2mass")
 for _ch in ("dl", "sl"):
     _jets = ", ".join(f"max(CASE WHEN pos = {i} THEN {c} END) AS j{i}_{c}" for i in (0, 1) for c in ("pt", "eta", "phi"))
-    CTES[f"j_{_ch}"] = f"SELECT o_orderkey, block, count(*) AS n_j, {_jets} FROM ak4_{_ch} GROUP BY o_orderkey, block"
+    CTES[f"j_{_ch}"] = f"SELECT o_orderkey, count(*) AS n_j, {_jets} FROM ak4_{_ch} GROUP BY o_orderkey"
     _b = ", ".join(f"max(CASE WHEN bpos = 0 THEN {c} END) AS b0_{c}" for c in ("pt", "eta", "phi"))
-    CTES[f"bj_{_ch}"] = f"SELECT o_orderkey, block, count(*) AS n_b, {_b} FROM b4_{_ch} GROUP BY o_orderkey, block"
+    CTES[f"bj_{_ch}"] = f"SELECT o_orderkey, count(*) AS n_b, {_b} FROM b4_{_ch} GROUP BY o_orderkey"
     _f = ", ".join(f"max(CASE WHEN pos = 0 THEN {c} END) AS f0_{c}" for c in _FATC)
-    CTES[f"fj_{_ch}"] = f"SELECT o_orderkey, block, count(*) AS n_f, {_f} FROM ak8_{_ch} GROUP BY o_orderkey, block"
+    CTES[f"fj_{_ch}"] = f"SELECT o_orderkey, count(*) AS n_f, {_f} FROM ak8_{_ch} GROUP BY o_orderkey"
     _g = ", ".join(f"max(CASE WHEN bpos = 0 THEN {c} END) AS g0_{c}" for c in _FATC)
-    CTES[f"bf_{_ch}"] = f"SELECT o_orderkey, block, count(*) AS n_g, {_g} FROM b8_{_ch} GROUP BY o_orderkey, block"
-    CTES[f"aw_{_ch}"] = f"SELECT o_orderkey, block, count(*) AS n_a FROM away_{_ch} GROUP BY o_orderkey, block"
+    CTES[f"bf_{_ch}"] = f"SELECT o_orderkey, count(*) AS n_g, {_g} FROM b8_{_ch} GROUP BY o_orderkey"
+    CTES[f"aw_{_ch}"] = f"SELECT o_orderkey, count(*) AS n_a FROM away_{_ch} GROUP BY o_orderkey"
     _zero = ", ".join(f"coalesce({c}, 0) AS {c}" for c in ("n_te", "n_tm", "n_tau", "n_j", "n_b", "n_f", "n_g", "n_a", "n_ee", "n_mm", "n_em"))
     CTES[f"wide_{_ch}"] = f"""
 SELECT * REPLACE ({_zero}), NOT coalesce(low, false) AS ok_low, NOT coalesce(z, false) AS ok_z
