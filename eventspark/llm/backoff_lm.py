@@ -21,7 +21,7 @@ from eventspark.llm.session import ready, stored
 from eventspark.llm.words import mix, windows, word_hashes
 
 #: Bytes of text in a chunk, on average.
-CHUNK = 16_000_000
+CHUNK = 10_000_000
 PRIOR = 32.0
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
