@@ -9,43 +9,84 @@ per task, so no task sees all pieces of a length.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventspark.llm.session import ready, stored
 
-MAX_WORDS = 300_000
-_ENCODERS: dict[str, "WordEncoder"] = {}
+MAX_WORDS, MAX_PIECES = 800_000, 400_000
+#: White space beyond space, tab and line ends, on which engines differ; texts with it are encoded whole.
+_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def _byte_letters() -> list[str]:
+    """The character a byte-level vocabulary writes for each byte: itself if visible in Latin-1, else the next from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in seen else chr(next(rest)) for b in range(256)]
 
 
 class WordEncoder:
-    """Ids of whole texts for a tokenizer that drops white space and never joins words across it.
+    """Ids of whole texts for a lower-casing tokenizer that drops white space and never joins words across it.
 
-    The ids of a text are those of its words one after another; words are encoded once, as long as the bounded memory of
-    this process holds them.
+    The ids of a text are those of its words one after another, and those of a word those of the pieces its pattern cuts it
+    into. Words and pieces are encoded once, as long as the bounded memory of this process holds them; the library's own model
+    encodes a piece. Words with letters beyond Latin (where normalisation may matter) or special tokens, and texts with unusual
+    white space, go through the library whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            steps = json.load(f)["pre_tokenizer"]["pretokenizers"]
+        self.split = regex.compile(steps[0]["pattern"]["Regex"]).findall
+        self.letters = str.maketrans(dict(enumerate(_byte_letters())))
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        written = piece.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(written)], dtype="<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if "<|" in word or "\u0130" in word or not (word.isascii() or max(word) < "\u0250"):
+            return self._whole(word)
+        pieces = self.pieces
+        out = []
+        for piece in self.split(word.lower()):
+            ids = pieces.get(piece)
+            if ids is None:
+                if len(pieces) >= MAX_PIECES:
+                    pieces.clear()
+                ids = pieces[piece] = self._piece(piece)
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        words, known = text.split(), self.known
+        if _ODD_SPACE.search(text):
+            return self._whole(text)
+        words, known = text.split(), self.words
         if len(known) > MAX_WORDS:
             known.clear()
-        if new := list(set(words).difference(known)):
-            for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[word] = np.array(e.ids, dtype="<u4").tobytes()
+        for word in set(words).difference(known):
+            known[word] = self._word(word)
         return b"".join([known[w] for w in words])
 
 
