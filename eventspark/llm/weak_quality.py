@@ -76,7 +76,7 @@ def fit_voters(counts: dict[int, int], rounds: int = 200) -> tuple[np.ndarray, n
     Votes are independent given the class; each heuristic has its own distribution of votes in either class. The start says
     that votes are mostly right, which names the classes; a little prior weight keeps estimates off 0 and 1.
     """
-    seen = np.array([[p // 3**i % 3 for i in range(len(VOTERS))] for p in counts]).reshape(-1, len(VOTERS))
+    seen = np.array([[p // 3**i % 3 for i in range(len(VOTERS))] for p in counts], dtype=np.int64).reshape(-1, len(VOTERS))
     n = np.array(list(counts.values()), dtype=float)
     good = (1 + (seen == 1).sum(axis=1)) / (2 + (seen > 0).sum(axis=1))
     for _ in range(rounds):
