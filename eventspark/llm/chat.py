@@ -27,6 +27,8 @@ MARKERS = [BEGIN, CLOSE, "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[OUT]", OTHER,
 _UNSAFE = re.compile("|".join([r"\\", *map(re.escape, MARKERS)]))
 _ESCAPED = re.compile(r"\\(\\?)")
 _TURN = re.compile("|".join(map(re.escape, [*OPENERS.values(), OTHER])))
+#: Conversations a task holds decoded at a time.
+FEW = 64
 _TOKENIZERS: dict = {}
 
 
@@ -116,20 +118,21 @@ def format_conversations(turns: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path).encode_batch
         for batch in batches:
-            made = [render([tuple(t.values()) for t in turns]) for turns in batch.column("turns").to_pylist()]
-            ids, loss = [], []
-            for (_, spans), e in zip(made, encode([m[0] for m in made], add_special_tokens=False), strict=True):
-                ids.append(e.ids)
-                loss.append(mask(np.array(e.offsets).reshape(-1, 2), spans).tolist())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("conv_id"),
-                    pa.array([m[0] for m in made], pa.string()),
-                    pa.array(ids, pa.list_(pa.int32())),
-                    pa.array(loss, pa.list_(pa.bool_())),
-                ],
-                ["conv_id", "formatted", "ids", "loss"],
-            )
+            for part in (batch.slice(k, FEW) for k in range(0, batch.num_rows, FEW)):
+                made = [render([tuple(t.values()) for t in turns]) for turns in part.column("turns").to_pylist()]
+                ids, loss = [], []
+                for (_, spans), e in zip(made, encode([m[0] for m in made], add_special_tokens=False), strict=True):
+                    ids.append(np.array(e.ids, dtype=np.int32))
+                    loss.append(mask(np.array(e.offsets, dtype=np.int64).reshape(-1, 2), spans))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("conv_id"),
+                        pa.array([m[0] for m in made], pa.string()),
+                        pa.array(ids, pa.list_(pa.int32())),
+                        pa.array(loss, pa.list_(pa.bool_())),
+                    ],
+                    ["conv_id", "formatted", "ids", "loss"],
+                )
 
     return whole.mapInArrow(run, "conv_id long, formatted string, ids array<int>, loss array<boolean>")
 
@@ -141,7 +144,7 @@ def digests(formatted: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
-        for batch in batches:
+        for batch in (b.slice(k, FEW) for b in batches for k in range(0, b.num_rows, FEW)):
             rows = []
             columns = (batch.column(c).to_pylist() for c in ("conv_id", "formatted", "ids", "loss"))
             for conv, text, ids, loss in zip(*columns, strict=True):
