@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventspark.llm.graph import components
-from eventspark.llm.session import ready, stored
+from eventspark.llm.session import ready, stored, tasks
 
 BLOCK, SUB = 4096, 512
 #: Room for the rounding of double (and of exact float32) arithmetic in the bounds.
@@ -142,6 +142,8 @@ def near_vectors(
     def run(key: tuple, table: pa.Table) -> pa.Table:
         return _tile(threshold)(key[1:], table)
 
+    # work grows with the square of a tile's rows: a number of partitions by bytes would put all tiles into a few tasks
+    tiles = tiles.repartition(tasks(spark), "dim", "i", "j")
     found = stored(tiles.groupBy("dim", "i", "j").applyInArrow(run, "cid long, links long, other long"))
     counts = found.filter("links is not null").groupBy("cid").agg(F.sum("links").alias("links"))
     joined = components(found.filter("other is not null").select(F.col("cid").alias("a"), F.col("other").alias("b")))
