@@ -94,11 +94,14 @@ def adaptive(df: DataFrame, var: str, n: int, weight: Column, by: Sequence[str],
     """Histogram between the smallest and the largest value of ``var`` over the whole frame.
 
     With ``closed`` the last bin includes the maximum; without it a row at the maximum is left out (left-closed
-    digitising). The range is a one-row scalar subquery, not a join.
+    digitising). The range is a one-row scalar subquery, not a join. Rows with NULL or NaN are in no bin and do not move
+    the range.
     """
-    edge = df.agg(F.min(var).alias("lo"), F.max(var).alias("hi"))
+    number = F.when(~F.isnan(var), F.col(var))
+    edge = df.agg(F.min(number).alias("lo"), F.max(number).alias("hi"))
     lo, hi = edge.select("lo").scalar(), edge.select("hi").scalar()
-    binned = df.select(*by, F.col(var).alias("_v"), weight.alias("_w"), lo.alias("_lo"), hi.alias("_hi"))
+    binned = df.select(*by, number.alias("_v"), weight.alias("_w"), lo.alias("_lo"), hi.alias("_hi"))
+    binned = binned.filter(F.col("_v").isNotNull())
     width = F.col("_hi") - F.col("_lo")
     pos = F.floor(F.lit(float(n)) * F.try_divide(F.col("_v") - F.col("_lo"), width)).cast("int") + 1
     at_top = F.col("_v") >= F.col("_hi")

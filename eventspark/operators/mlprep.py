@@ -84,14 +84,18 @@ def batch_check(
 def weight_hist(
     df: DataFrame, classes: Sequence[str], bins: int = 100, tag: str = "tag", weight: str = "weight"
 ) -> DataFrame:
-    """Weight distribution per class between the class's own smallest and largest weight, last bin closed."""
-    w = F.col(weight)
+    """Weight distribution per class between the class's own smallest and largest weight, last bin closed.
+
+    Rows with NULL or NaN are in no bin and do not move the range.
+    """
+    w = F.when(~F.isnan(weight), F.col(weight))
     edges = df.agg(
         *[f(F.when(F.col(tag) == c, w)).alias(f"{k}{i}") for i, c in enumerate(classes) for k, f in (("lo", F.min), ("hi", F.max))]
     )
     lo = _by_class(tag, {c: edges.select(f"lo{i}").scalar() for i, c in enumerate(classes)})
     hi = _by_class(tag, {c: edges.select(f"hi{i}").scalar() for i, c in enumerate(classes)})
-    rows = df.filter(F.col(tag).isin(*classes)).select(tag, w.alias("_v"), lo.alias("_lo"), hi.alias("_hi"))
+    rows = df.filter(F.col(tag).isin(*classes) & w.isNotNull())
+    rows = rows.select(tag, w.alias("_v"), lo.alias("_lo"), hi.alias("_hi"))
     pos = F.floor(F.lit(float(bins)) * F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")))
     index = F.when(F.col("_v") >= F.col("_hi"), bins).otherwise(F.least(pos.cast("int") + 1, F.lit(bins)))
     return rows.groupBy(tag, index.alias("bin")).agg(F.count("*").alias("n"))

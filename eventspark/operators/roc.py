@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventspark.operators import prefix
+from eventspark.operators.checkpoints import pinned
 
 THRESHOLDS = 100
 
@@ -56,11 +57,11 @@ def curve(
 ) -> DataFrame:
     """ROC points, one per distinct score: ``tp``/``fp`` (weight at or above the threshold) and their rates.
 
+    ``df`` is read once: the merged scores are stored, and slices and totals come from them.
     ``drop_intermediate`` leaves out points inside a straight line (equal steps before and after), keeping the ends.
     """
-    groups = score_groups(df, y, score, weight, by, sig_weight)
-    cuts = prefix.slice_cuts(df.select(score.cast("double").alias("threshold")), "threshold", slices)
-    sliced = prefix.with_slice(groups, "threshold", cuts)
+    groups = pinned(score_groups(df, y, score, weight, by, sig_weight))
+    sliced = prefix.with_slice(groups, "threshold", prefix.slice_cuts(groups, "threshold", slices))
     sums = {"tp": F.col("pos"), "fp": F.col("neg"), "s_above": F.col("s"), "b_above": F.col("b"), "rank": F.lit(1)}
     points = prefix.running_totals(sliced, "threshold", sums, by, grand=("tp", "fp"))
     points = points.withColumns(
@@ -82,12 +83,12 @@ def corners(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return ahead.filter(keep).drop("next_pos", "next_neg")
 
 
-def thin(points: DataFrame, n: int = THRESHOLDS) -> DataFrame:
-    """Every ``len // n``-th point (at least every one), counting the start of the curve as point 0."""
-    numbered = prefix.running_totals(points.drop("rank"), "threshold", {"rank": F.lit(1)})
-    total = points.agg(F.count("*").alias("n")).scalar()
-    step = F.greatest(F.floor((total + 1) / n), F.lit(1))
-    return numbered.withColumn("_step", step).filter(F.col("rank") % F.col("_step") == 0).drop("_step")
+def thin(points: DataFrame, n: int = THRESHOLDS, by: Sequence[str] = ()) -> DataFrame:
+    """Every ``len // n``-th point (at least every one) of each curve, counting its start as point 0."""
+    kept = pinned(points.drop("rank"))
+    numbered = prefix.running_totals(kept, "threshold", {"rank": F.lit(1)}, by, grand=("rank",))
+    step = F.greatest(F.floor((F.col("total_rank") + 1) / n), F.lit(1))
+    return numbered.filter(F.col("rank") % step == 0).drop("total_rank")
 
 
 def significance_of(s: Column, b: Column) -> Column:
@@ -97,10 +98,10 @@ def significance_of(s: Column, b: Column) -> Column:
     return F.when((b > 0) & (s > 0) & (radicand >= 0), F.sqrt(2 * radicand)).otherwise(0.0)
 
 
-def significance(points: DataFrame, n: int = THRESHOLDS) -> DataFrame:
-    """Significance of the events strictly above each of about ``n`` thresholds of the curve."""
-    return thin(points, n).select(
-        "threshold", "fpr", "s_above", "b_above", significance_of(F.col("s_above"), F.col("b_above")).alias("z")
+def significance(points: DataFrame, n: int = THRESHOLDS, by: Sequence[str] = ()) -> DataFrame:
+    """Significance of the events strictly above each of about ``n`` thresholds of each curve."""
+    return thin(points, n, by).select(
+        *by, "threshold", "fpr", "s_above", "b_above", significance_of(F.col("s_above"), F.col("b_above")).alias("z")
     )
 
 

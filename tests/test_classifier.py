@@ -83,6 +83,16 @@ def test_short_curve_keeps_every_threshold(spark):
     assert sig.count() == 3
 
 
+def test_significance_per_curve(spark):
+    df = frame(spark, g=["a"] * 4 + ["b"] * 3, y=[1, 0, 1, 0, 0, 1, 0], s=[0.9, 0.8, 0.7, 0.7, 0.6, 0.5, 0.4], w=[1.0] * 7)
+    points = roc.curve(df, F.col("y"), F.col("s"), F.col("w"), by=["g"])
+    got = {tuple(r)[:2]: r["z"] for r in roc.significance(points, by=["g"]).collect()}
+    assert len(got) == 6
+    for g in ("a", "b"):
+        alone = roc.significance(roc.curve(df.filter(F.col("g") == g), F.col("y"), F.col("s"), F.col("w")))
+        assert {r["threshold"]: r["z"] for r in alone.collect()} == {t: z for (k, t), z in got.items() if k == g}
+
+
 def test_one_class_only(spark):
     df = frame(spark, y=[1, 1], s=[0.9, 0.8], w=[1.0, 2.0])
     row = roc.curve(df, F.col("y"), F.col("s"), F.col("w")).orderBy("threshold").first()

@@ -170,6 +170,12 @@ def test_adaptive_open_and_closed(spark):
         assert h.agg(F.sum("n")).first()[0] == total
 
 
+def test_adaptive_leaves_nan_and_null_out(spark):
+    df = frame(spark, v=[0.0, 5.0, 10.0, math.nan, None], g=["a"] * 5)
+    bins = {r["bin"]: r["n"] for r in hist.adaptive(df, "v", 2, F.lit(1.0), ["g"], True).collect()}
+    assert bins == {1: 1, 2: 2}
+
+
 def test_cumulative_ends_at_one(spark):
     df = frame(spark, v=[0.0, 1.0, 2.0, 3.0, 4.0], g=["a", "a", "b", "b", "b"])
     h = hist.every_bin(hist.adaptive(df, "v", 4, F.lit(1.0), ["g"], True), 4, ["g"])
