@@ -11,7 +11,8 @@ signatures, each starting at another value; sets that agree in the first values
    compared with itself again.
 
 Pairs never leave a task: a tile gives a spanning forest of its links. Links hold on the full sets (48-bit hashes of
-shingles). A pair at the threshold is missed by all regions with a probability of about 2e-7.
+shingles). A pair at the threshold is missed by all regions with a probability of about 2e-7, and of up to about 5e-4 if all
+its regions are crowded enough to be deepened to ``DEEPEST``.
 """
 
 from __future__ import annotations
