@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventspark.functions import kin
+from eventspark.functions import kin, ops
 
 Predicate = Callable[[Column], Column]
 PairPredicate = Callable[[Column, Column], Column]
@@ -89,6 +89,29 @@ def cross(a: Column, b: Column, pred: PairPredicate) -> Column:
     )
 
 
+def first_pair(arr: Column, pred: PairPredicate) -> Column:
+    """First of :func:`pairs` or NULL, for a ``pred`` that holds between some items if the first differs from any."""
+    head = at(arr, 0)
+    other = at(select(arr, lambda y: pred(head, y)), 0)
+    return F.when(other.isNotNull(), F.struct(head.alias("l1"), other.alias("l2")))
+
+
+def first_cross(a: Column, b: Column, pred: PairPredicate) -> Column:
+    """First of :func:`cross` or NULL."""
+    own = at(select(a, lambda x: any_(b, lambda y: pred(x, y))), 0)
+    other = at(select(b, lambda y: pred(own, y)), 0)
+    return F.when(other.isNotNull(), F.struct(own.alias("l1"), other.alias("l2")))
+
+
+def any_pair(arr: Column, pred: PairPredicate) -> Column:
+    """Whether any two items satisfy the symmetric ``pred``; stops at the first, builds no pairs."""
+    return any_(arr, lambda x: any_(arr, lambda y: (x["idx"] < y["idx"]) & pred(x, y)))
+
+
+def any_cross(a: Column, b: Column, pred: PairPredicate) -> Column:
+    return any_(a, lambda x: any_(b, lambda y: pred(x, y)))
+
+
 def follow(target: Column, idx: Column) -> Column:
     """Item of ``target`` a cross-reference points to; NULL for a negative or out-of-range reference."""
     return F.when(idx >= 0, F.get(target, idx))
@@ -101,7 +124,7 @@ def clean(a: Column, b: Column, dr: float) -> Column:
 
 def keep_apart(a: Column, b: Column, dr: float) -> Column:
     """Items of ``a`` at distance ``>= dr`` from every item of ``b``."""
-    return F.filter(a, lambda x: F.forall(b, lambda y: F.coalesce(kin.delta_r(x, y) >= dr, F.lit(False))))
+    return F.filter(a, lambda x: F.forall(b, lambda y: F.coalesce(ops.at_least(kin.delta_r(x, y), dr), F.lit(False))))
 
 
 def _axis(lep: Column) -> Column:
@@ -134,8 +157,3 @@ def leading_two(electrons: Column, muons: Column) -> Column:
         .otherwise(F.slice(F.array(_axis(e0)), 1, 0))
     )
 
-
-def clean_leading(jets: Column, electrons: Column, muons: Column, dr: float, leading: int) -> Column:
-    """Jets at distance ``>= dr`` from the ``leading`` (1 or 2) hardest leptons of cone-pt sorted collections."""
-    leads = leading_one(electrons, muons) if leading == 1 else leading_two(electrons, muons)
-    return keep_apart(jets, leads, dr)

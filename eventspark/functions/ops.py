@@ -27,13 +27,13 @@ def negate(cut: Column) -> Column:
 
 
 def at_least(x: Column, low) -> Column:
-    """``x >= low`` that is false for NaN (Spark orders NaN above every number)."""
-    return (x >= low) & ~F.isnan(x)
+    """``x >= low`` that is false for NaN (Spark orders NaN above every number, and its negative is NaN too)."""
+    return -x <= -low
 
 
 def above(x: Column, low) -> Column:
     """``x > low`` that is false for NaN."""
-    return (x > low) & ~F.isnan(x)
+    return -x < -low
 
 
 def in_range(low, x: Column, high) -> Column:
@@ -63,6 +63,3 @@ def lead_sub(a: Column, b: Column) -> tuple[Column, Column]:
     first = a["pt"] >= b["pt"]
     return F.when(first, a).otherwise(b), F.when(first, b).otherwise(a)
 
-
-def finite_or(x: Column, default) -> Column:
-    return F.when(x.isNull() | F.isnan(x), F.lit(default)).otherwise(x)

@@ -36,16 +36,25 @@ def certified(
     run_range: tuple[int, int] | None = None,
     run: str = "run",
     lumi: str = "luminosityBlock",
+    only: Column | None = None,
 ) -> DataFrame:
     """Keep events whose run lies in ``run_range`` and whose (run, lumi block) is certified.
 
-    A semi join on the run with the block range as residual condition: overlapping ranges never repeat an event, and
+    With ``only`` (data) both ask nothing of the other events. A semi join on the run with the block range as residual condition: overlapping ranges never repeat an event, and
     the run range is a plain filter that reaches the scan.
     """
-    if run_range is not None:
-        df = df.filter(F.col(run).between(*run_range))
     r = ranges.select(F.col("run").alias("_run"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    return df.join(r, (df[run] == r["_run"]) & df[lumi].between(r["_lo"], r["_hi"]), "left_semi")
+    if only is None:
+        if run_range is not None:
+            df = df.filter(F.col(run).between(*run_range))
+        return df.join(r, (df[run] == r["_run"]) & df[lumi].between(r["_lo"], r["_hi"]), "left_semi")
+    # names of their own: an outer name that the ranges have, too, would be taken from them
+    named = df.withColumns({"_of_run": F.col(run), "_of_lumi": F.col(lumi)})
+    span = F.col("_of_lumi").outer().between(F.col("_lo"), F.col("_hi"))
+    listed = r.where((F.col("_run") == F.col("_of_run").outer()) & span).exists()
+    if run_range is not None:
+        listed = listed & F.col(run).between(*run_range)
+    return named.filter(~ops.passed(only) | listed).drop("_of_run", "_of_lumi")
 
 
 def trigger_cols(df: DataFrame, names: Sequence[str], group: str = "HLT") -> tuple[list[Column], list[str]]:

@@ -85,11 +85,6 @@ def fold(hist: DataFrame, n: Column | int, by: Sequence[str]) -> DataFrame:
     return folded.groupBy(*by, "bin").agg(*[F.sum(c).alias(c) for c in ("sumw", "sumw2", "n")])
 
 
-def data_range(df: DataFrame, var: Column, by: Sequence[str] = ()) -> DataFrame:
-    """Smallest and largest value, per ``by`` group: the edges of a histogram that adapts to the data."""
-    return df.groupBy(*by).agg(F.min(var).alias("lo"), F.max(var).alias("hi"))
-
-
 def adaptive(df: DataFrame, var: str, n: int, weight: Column, by: Sequence[str], closed: bool) -> DataFrame:
     """Histogram between the smallest and the largest value of ``var`` over the whole frame.
 

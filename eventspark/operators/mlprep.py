@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from eventspark.operators import hist, prefix
+from eventspark.operators import hist, prefix, roc
 
 
 def add_tag(df: DataFrame, process: str = "process", token: str = "HH", other: str = "background") -> DataFrame:
@@ -60,21 +60,35 @@ def balance(df: DataFrame, classes: Sequence[str], tag: str = "tag", weight: str
     return df.withColumn("event_weight", F.col(weight)).withColumn("training_weight", F.col(weight) * factor)
 
 
+#: Row draws are whole numbers below this.
+DRAWS = 2**52
+
+
+def draw(key: Sequence[str], seed: int) -> Column:
+    """A number below ``DRAWS`` per row: the first 13 hex digits of md5 of seed and key, joined by ``|``.
+
+    The same for a key whatever the partitioning or the engine.
+    """
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit("\\N")) for k in key]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *parts)), 1, 13), 16, 10).cast("long")
+
+
 def batch_check(
-    df: DataFrame, batch_size: int, tag: str = "tag", weight: str = "weight", batches: int = 20, seed: int = 1
+    df: DataFrame, batch_size: int, key: Sequence[str], tag: str = "tag", weight: str = "weight", batches: int = 20, seed: int = 1
 ) -> DataFrame:
     """Mean weight sum and mean row count per class over random batches of ``batch_size`` rows.
 
-    One scan: a row joins a batch's candidates with probability about 3 x size / rows, and the ``batch_size``
-    candidates with the smallest random number form the batch. Only candidates are shuffled, keyed by batch, and their
-    number per batch follows from ``batch_size``, not from the table.
+    One scan: each batch starts at its own place on the circle of row draws and consists of the ``batch_size`` rows that
+    follow. Only rows within about 3 x size / rows of a start are shuffled, keyed by batch; their number follows from
+    ``batch_size``, not from the table. Batches of a large table share no row. ``key`` tells rows apart.
     """
     total = df.agg(F.count("*").alias("n")).scalar()
-    enough = F.try_divide(F.lit(3.0 * batch_size), total)
-    drawn = F.array(*[F.struct(F.lit(i).alias("batch"), F.rand(seed + i).alias("_u")) for i in range(batches)])
-    drawn_rows = df.select(F.col(tag).alias("tag"), F.col(weight).alias("_w"), enough.alias("_p"), drawn.alias("_d"))
-    candidates = drawn_rows.select("tag", "_w", F.inline(F.filter("_d", lambda d: d["_u"] < F.col("_p"))))
-    ranked = candidates.withColumn("_r", F.row_number().over(W.partitionBy("batch").orderBy("_u")))
+    reach = F.try_divide(F.lit(3.0 * batch_size * DRAWS), total)
+    rows = df.select(F.col(tag).alias("tag"), F.col(weight).alias("_w"), draw(key, seed).alias("_u"), reach.alias("_reach"), *key)
+    starts = F.array(*[F.struct(F.lit(i).alias("batch"), F.lit(i * (DRAWS // batches)).alias("at")) for i in range(batches)])
+    placed = F.transform(starts, lambda s: F.struct(s["batch"].alias("batch"), F.pmod(F.col("_u") - s["at"], F.lit(DRAWS)).alias("_ahead")))
+    near = rows.select("tag", "_w", *key, F.inline(F.filter(placed, lambda p: p["_ahead"] < F.col("_reach"))))
+    ranked = near.withColumn("_r", F.row_number().over(W.partitionBy("batch").orderBy("_ahead", *key)))
     batch = ranked.filter(F.col("_r") <= batch_size)
     return batch.groupBy("tag").agg(
         (F.sum("_w") / batches).alias("mean_weight"), (F.count("*") / batches).alias("mean_rows")
@@ -119,8 +133,7 @@ def parity_split(df: DataFrame, phi: str = "leadingLepton_phi", split: str = "ev
 
 def val_split(df: DataFrame, key: Sequence[str], percent: int = 30, seed: int = 0) -> DataFrame:
     """``is_val`` for about ``percent`` % of the rows, from a hash of ``key``: the same rows every time."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in key]), F.lit(100))
-    return df.withColumn("is_val", draw < percent)
+    return df.withColumn("is_val", draw(key, seed) % 100 < percent)
 
 
 def repeat_tail(df: DataFrame, q: float, weight: str = "training_weight") -> DataFrame:
@@ -181,9 +194,9 @@ SCORE_EDGES = ((0.1, 0.6), (0.6, 0.8), (0.8, 0.92), (0.92, 1.0))
 
 
 def evaluate(df: DataFrame, y: Column, p: Column, weight: Column, threshold: float = 0.5) -> DataFrame:
-    """Weighted cross-entropy and unweighted accuracy, precision and recall from one aggregation.
+    """Weighted cross-entropy, and unweighted accuracy, precision, recall and ROC area.
 
-    ``p`` is the probability of class 1, kept inside [1e-7, 1 - 1e-7] for the logarithm.
+    The area comes from merged scores, everything else from one aggregation. ``p`` is the probability of class 1, kept inside [1e-7, 1 - 1e-7] for the logarithm.
     """
     eps = 1e-7
     kept = F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))
@@ -197,4 +210,4 @@ def evaluate(df: DataFrame, y: Column, p: Column, weight: Column, threshold: flo
         F.try_divide(F.count_if(called & yes).cast("double"), F.count_if(yes)).alias("recall"),
         F.count_if(called & no).alias("false_positives"),
         F.count("*").alias("n"),
-    )
+    ).withColumn("auc", roc.auc(roc.curve(df, y, p, F.lit(1.0))).scalar())

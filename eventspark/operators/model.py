@@ -24,11 +24,12 @@ def train(
     iterations: int = 20,
     l2: float = 1e-6,
     seed: int = 1,
+    tol: float = 1e-6,
 ) -> PipelineModel:
     """Fit normalisation and classifier on ``df`` with row weights.
 
     ``gbt`` stops early on the rows flagged by ``validation`` and keeps the best number of trees; ``logistic`` is a
-    regularised linear model. Normalisation is fitted on the training rows only.
+    regularised linear model (its intercept is not), iterated until it changes by less than ``tol``. Normalisation is fitted on the training rows only.
     """
     assemble = VectorAssembler(inputCols=list(features), outputCol="raw_features", handleInvalid="error")
     scale = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
@@ -39,7 +40,7 @@ def train(
         if validation is not None:
             clf = clf.setValidationIndicatorCol(validation)
     elif kind == "logistic":
-        clf = LogisticRegression(**common, maxIter=iterations, regParam=l2)
+        clf = LogisticRegression(**common, maxIter=iterations, regParam=l2, tol=tol)
     else:
         raise ValueError(f"unknown model kind {kind!r}")
     fitted_on = df if validation is None else df.filter(~F.col(validation))

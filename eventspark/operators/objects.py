@@ -294,13 +294,17 @@ def fat_jets(df: DataFrame, channel: str, c: JetCuts = DEFAULT.jets) -> DataFram
 
 def far_from(small: Column, fat: Column, dr: float) -> Column:
     """Items of ``small`` at distance ``> dr`` from one item; none when that item is absent."""
-    return coll.select(small, lambda x: kin.delta_r(x, fat) > dr)
+    return coll.select(small, lambda x: above(kin.delta_r(x, fat), dr))
 
 
-def define_objects(df: DataFrame, channel: str, cuts: Cuts = DEFAULT) -> DataFrame:
-    """All derived collections for channel ``DL`` (two leptons) or ``SL`` (one lepton)."""
+def define_leptons(df: DataFrame, channel: str, cuts: Cuts = DEFAULT) -> DataFrame:
+    """Lepton and tau collections for channel ``DL`` (two leptons) or ``SL`` (one lepton); no jet momentum enters."""
     if channel not in ("DL", "SL"):
         raise ValueError(f"unknown channel {channel!r}")
     df = electrons(muons(df, cuts.leptons), cuts.leptons)
-    df = lead_leptons(taus(df, cuts.taus), channel)
-    return fat_jets(jets(df, cuts.jets), channel, cuts.jets)
+    return lead_leptons(taus(df, cuts.taus), channel)
+
+
+def define_objects(df: DataFrame, channel: str, cuts: Cuts = DEFAULT) -> DataFrame:
+    """All derived collections of a channel."""
+    return fat_jets(jets(define_leptons(df, channel, cuts), cuts.jets), channel, cuts.jets)

@@ -80,50 +80,59 @@ def _opposite(a: Column, b: Column) -> Column:
     return a["charge"] != b["charge"]
 
 
-def lepton_pairs(df: DataFrame, suffix: str, electrons: str, muons: str) -> DataFrame:
-    """Opposite-charge pairs ``ee_<suffix>``, ``mm_<suffix>`` and ``em_<suffix>`` (electron first)."""
+def lepton_pairs(df: DataFrame, electrons: str, muons: str) -> DataFrame:
+    """Number and first of the opposite-charge pairs: ``n_ee, n_mm, n_em`` and ``first_ee, first_mm, first_em``.
+
+    Pairs are counted from the charges (each positive or negative) and never listed, so an event with many leptons needs
+    no more memory than its leptons.
+    """
     e, m = F.col(electrons), F.col(muons)
+    plus = lambda arr: coll.n(coll.select(arr, lambda x: x["charge"] > 0))
+    minus = lambda arr: coll.n(coll.select(arr, lambda x: x["charge"] < 0))
     return df.withColumns(
         {
-            f"ee_{suffix}": coll.pairs(e, _opposite),
-            f"mm_{suffix}": coll.pairs(m, _opposite),
-            f"em_{suffix}": coll.cross(e, m, _opposite),
+            "n_ee": plus(e) * minus(e),
+            "n_mm": plus(m) * minus(m),
+            "n_em": plus(e) * minus(m) + minus(e) * plus(m),
+            "first_ee": coll.first_pair(e, _opposite),
+            "first_mm": coll.first_pair(m, _opposite),
+            "first_em": coll.first_cross(e, m, _opposite),
         }
     )
 
 
-def pair_masses(pairs: Column) -> Column:
-    return F.transform(pairs, lambda p: kin.inv_mass(p["l1"], p["l2"]))
+def _paired(cut):
+    """An opposite-charge pair whose mass satisfies ``cut``."""
+    return lambda a, b: _opposite(a, b) & cut(kin.inv_mass(a, b))
 
 
-def loose_pair_masses(df: DataFrame) -> DataFrame:
-    """Masses of the opposite-charge loose pairs, the input of both vetoes."""
-    e, m = F.col("clean_electrons"), F.col("muons")
-    return df.withColumns(
-        {
-            "ee_loose_mass": pair_masses(coll.pairs(e, _opposite)),
-            "mm_loose_mass": pair_masses(coll.pairs(m, _opposite)),
-            "em_loose_mass": pair_masses(coll.cross(e, m, _opposite)),
-        }
-    )
+def no_low_mass(e: Column, m: Column, limit: float = LOW_MASS) -> Column:
+    """No opposite-charge pair of any flavour below ``limit``."""
+    low = _paired(lambda x: x < limit)
+    return ~(coll.any_pair(e, low) | coll.any_pair(m, low) | coll.any_cross(e, m, low))
 
 
-def no_low_mass(*masses: Column, limit: float = LOW_MASS) -> Column:
-    return ops.all_of(*[~F.exists(m, lambda x: x < limit) for m in masses])
+def no_z(e: Column, m: Column, mass: float = Z_MASS, window: float = Z_WINDOW) -> Column:
+    """No opposite-charge pair of one flavour within ``window`` of ``mass``."""
+    near = _paired(lambda x: F.abs(x - mass) <= window)
+    return ~(coll.any_pair(e, near) | coll.any_pair(m, near))
 
 
-def no_z(*masses: Column, mass: float = Z_MASS, window: float = Z_WINDOW) -> Column:
-    return ops.all_of(*[~F.exists(m, lambda x: F.abs(x - mass) <= window) for m in masses])
+def vetoes() -> tuple[Column, Column]:
+    """Both vetoes, on the loose leptons."""
+    e, m = F.col("clean_electrons"), F.col("muons")
+    return no_low_mass(e, m), no_z(e, m)
 
 
-def vetoes() -> tuple[Column, Column]:
-    ee, mm, em = F.col("ee_loose_mass"), F.col("mm_loose_mass"), F.col("em_loose_mass")
-    return no_low_mass(ee, mm, em), no_z(ee, mm)
+def with_vetoes(df: DataFrame) -> DataFrame:
+    low, z = vetoes()
+    return df.withColumns({"ok_low": low, "ok_z": z})
 
 
 def pair_conept_cut(pair: Column, each: float = 15.0, leading: float = 25.0) -> Column:
     a, b = pair["l1"]["conept"], pair["l2"]["conept"]
-    return (a > each) & (b > each) & ((a > leading) | (b > leading))
+    above = ops.above
+    return above(a, each) & above(b, each) & (above(a, leading) | above(b, leading))
 
 
 # --- two-lepton channel -----------------------------------------------------------------------------------------
@@ -138,9 +147,8 @@ DL_PAIRS = {"ee": "ee", "mumu": "mm", "emu": "em"}
 
 
 def dl_columns(df: DataFrame) -> DataFrame:
-    """Pair collections the two-lepton selections read."""
-    df = lepton_pairs(loose_pair_masses(df), "tight", "tight_electrons", "tight_muons")
-    df = df.withColumns({f"first_{p}": coll.at(F.col(f"{p}_tight"), 0) for p in DL_PAIRS.values()})
+    """Pairs the two-lepton selections read."""
+    df = with_vetoes(lepton_pairs(df, "tight_electrons", "tight_muons"))
     mixed = F.col("first_em")
     lead, sub = ops.lead_sub(kin.four_vector(mixed["l1"]), kin.four_vector(mixed["l2"]))
     return df.withColumns({"em_lead": lead, "em_sub": sub})
@@ -148,7 +156,7 @@ def dl_columns(df: DataFrame) -> DataFrame:
 
 def dl_selections(base: Selection) -> list[Selection]:
     """Boosted and resolved selections for ee, mumu and emu."""
-    low, z = vetoes()
+    low, z = F.col("ok_low"), F.col("ok_z")
     boosted, resolved = [], []
     for flavour, (pt_name, os_name) in DL_FLAVOURS.items():
         own = DL_PAIRS[flavour]
@@ -156,7 +164,7 @@ def dl_selections(base: Selection) -> list[Selection]:
         off_z = hard.refine(os_name, cut=[low, z])
         one_pair = off_z.refine(
             f"dileptonCut_{flavour}",
-            cut=[F.size(f"{p}_tight") == (1 if p == own else 0) for p in DL_PAIRS.values()],
+            cut=[F.col(f"n_{p}") == (1 if p == own else 0) for p in DL_PAIRS.values()],
         )
         boosted.append(one_pair.refine(f"DL_boosted_{flavour}", cut=F.size("ak8_bjets") >= 1))
         resolved.append(
@@ -172,12 +180,12 @@ def dl_selections(base: Selection) -> list[Selection]:
 
 
 def sl_columns(df: DataFrame) -> DataFrame:
-    return loose_pair_masses(df)
+    return with_vetoes(df)
 
 
 def sl_selections(base: Selection, electron_conept: float = 32.0, muon_conept: float = 25.0) -> list[Selection]:
     """Resolved and boosted selections, inclusive and for one electron or one muon."""
-    low, z = vetoes()
+    low, z = F.col("ok_low"), F.col("ok_z")
     start = base.refine("OSoutZsel", cut=[low, z, F.size("taus") == 0])
     one_electron = [
         coll.at(F.col("tight_electrons"), 0)["conept"] > electron_conept,

@@ -28,7 +28,7 @@ def object_variations(
     met: tuple[str, str] | None = None,
     met_source: str | None = None,
 ) -> DataFrame:
-    """Repeat events per named variation with the ``collections`` scaled, before objects are defined.
+    """Repeat events per named variation with the ``collections`` scaled, before objects that depend on them are defined.
 
     Rows for which ``varies`` is false (data) only get the nominal variation. The repetition happens inside each
     partition; nothing is shuffled. With ``met`` = (pt column, phi column), the missing momentum follows the scaling

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable, Sequence
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,13 +60,47 @@ class FactorBin(NamedTuple):
     factor: float
 
 
-def binned_factor(bins: Sequence[FactorBin], flavour: Column, x: Column, y: Column) -> Column:
-    """Factor of the bin an item falls in, 1 outside the table. The table is a literal of known length."""
-    out = F.lit(1.0)
+#: Cells of one flavour's table; more do not belong into a plan.
+MAX_CELLS = 100_000
+
+
+def _edges(spans: Iterable[tuple[float, float]]) -> list[float]:
+    return sorted({float(x) for span in spans for x in span})
+
+
+def _cells(bins: Sequence[FactorBin], xs: Sequence[float], ys: Sequence[float]) -> np.ndarray:
+    """Factors by (edges at or below x, edges at or below y), 1 where no bin is; the first of overlapping bins counts."""
+    if (len(xs) + 1) * (len(ys) + 1) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} cells for flavour {bins[0].flavour!r}")
+    cells = np.ones((len(xs) + 1, len(ys) + 1))
     for b in reversed(bins):
-        inside = (flavour == b.flavour) & (x >= b.x_low) & (x < b.x_high) & (y >= b.y_low) & (y < b.y_high)
-        out = F.when(inside, b.factor).otherwise(out)
-    return out
+        across = slice(bisect_right(xs, b.x_low), bisect_left(xs, b.x_high) + 1)
+        cells[across, bisect_right(ys, b.y_low) : bisect_left(ys, b.y_high) + 1] = b.factor
+    return cells.ravel()
+
+
+def _position(edges: Sequence[float], x: Column) -> Column:
+    """How many of the sorted edges are at or below ``x``, by bisection; all for NaN, none for NULL."""
+    steps = F.array(*[F.lit(2**i) for i in reversed(range(len(edges).bit_length()))])
+    table = F.lit(np.array(edges))
+    climb = lambda at, step: F.when(F.get(table, at + step - 1) <= x, at + step).otherwise(at)
+    return F.aggregate(steps, F.lit(0), climb)
+
+
+def binned_factor(bins: Sequence[FactorBin], flavour: Column, x: Column, y: Column) -> Column:
+    """Factor of the bin an item falls in, 1 outside the table.
+
+    The table becomes one literal array per flavour, whose cell is found by bisection of its edges, so an item costs the
+    logarithm of the number of bins.
+    """
+    out = None
+    for name in dict.fromkeys(b.flavour for b in bins):
+        own = [b for b in bins if b.flavour == name]
+        xs, ys = _edges((b.x_low, b.x_high) for b in own), _edges((b.y_low, b.y_high) for b in own)
+        cell = _position(xs, x) * (len(ys) + 1) + _position(ys, y)
+        factor = F.get(F.lit(_cells(own, xs, ys)), cell)
+        out = F.when(flavour == name, factor) if out is None else out.when(flavour == name, factor)
+    return F.lit(1.0) if out is None else out.otherwise(1.0)
 
 
 def lookup_product(arr: Column, factor: Callable[[Column], Column]) -> Column:
@@ -89,16 +125,30 @@ def with_jec(df: DataFrame, table: DataFrame, era: str = "era", run_era: str = "
     return joined.withColumn("jec_factor", factor).drop("_era", "_run_era")
 
 
+def corrected(arr: Column, bins: Sequence[FactorBin], tags: Iterable[str] = JEC_TAGS.values()) -> Column:
+    """Items scaled by the event's ``jec_factor`` (see :func:`with_jec`) and the factor of their (eta, pt) bin.
+
+    ``bins`` hold the tag as flavour, eta as x and pt as y; a tag without bins fails, an item outside them keeps the
+    event's factor.
+    """
+    missing = sorted(set(tags) - {b.flavour for b in bins})
+    if missing:
+        raise ValueError(f"no correction bins for {missing}")
+    own = lambda x: binned_factor(bins, F.col("jec_tag"), x["eta"], x["pt"])
+    return scale_items(arr, lambda x: F.col("jec_factor") * own(x))
+
+
 def scale_items(arr: Column, factor: Callable[[Column], Column], fields: Sequence[str] = ("pt", "mass")) -> Column:
-    """Multiply ``fields`` of every item by a factor."""
+    """Multiply ``fields`` of every item by a factor, found once per item."""
+    known = F.transform(arr, lambda x: F.struct(x.alias("item"), factor(x).alias("f")))
 
-    def scaled(x: Column) -> Column:
-        f = factor(x)
+    def scaled(k: Column) -> Column:
+        x = k["item"]
         for name in fields:
-            x = x.withField(name, x[name] * f)
+            x = x.withField(name, x[name] * k["f"])
         return x
 
-    return F.transform(arr, scaled)
+    return F.transform(known, scaled)
 
 
 def met_shift(met_pt: Column, met_phi: Column, before: Column, after: Column) -> tuple[Column, Column]:

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventspark.functions import ops
-from eventspark.operators import hist, objects, report, selection
+from eventspark.operators import events, hist, objects, report, selection, weights
 from eventspark.operators.mlprep import SCORE_EDGES
 from eventspark.operators.objects import DEFAULT, Cuts
 from eventspark.operators.selection import Selection
 from eventspark.plans import plots
-from eventspark.sources import skim
+from eventspark.sources import catalog, skim
 
 
 @dataclass(frozen=True)
@@ -26,6 +26,10 @@ class Channel:
     selections: list[Selection]
     make_plots: Callable[[], list[hist.Plot]]
 
+    def weighted(self, column: str, weight: Column) -> Channel:
+        """The channel with a weight that may use its objects, as a column."""
+        return replace(self, events=self.events.withColumn(column, weight))
+
     @property
     def plots(self) -> list[hist.Plot]:
         return self.make_plots()
@@ -44,6 +48,40 @@ class Channel:
         return skim.rows(self.events, F.col(flag), {"weight": weight, **features}, keep)
 
 
+def prepared(
+    df: DataFrame,
+    ranges: DataFrame,
+    bits: Mapping[str, Sequence[Column]],
+    jec: DataFrame,
+    bins: Mapping[str, Sequence[weights.FactorBin]],
+    weight: str = "weight",
+) -> DataFrame:
+    """Certified and triggered events with their generator weight, corrected jets and the momentum balance that follows.
+
+    ``bins`` has the residual corrections of every collection of jets to correct; the balance follows ``Jet``.
+    """
+    data = F.col("type") == "data"
+    df = events.trigger(events.certified(df, ranges, only=data), data, F.col("sample"), bits)
+    df = df.withColumn(weight, weights.gen(~data, F.col(weight)))
+    df = weights.with_jec(df.withColumn("run_era", catalog.run_era(F.col("sample"))), jec)
+    # columns of their own, so that both components of the balance read the corrected jets instead of making them again
+    df = df.withColumns({f"_new_{c}": weights.corrected(F.col(c), b) for c, b in bins.items()})
+    pt, phi = weights.met_shift(F.col("met_pt"), F.col("met_phi"), F.col("Jet"), F.col("_new_Jet"))
+    df = df.withColumns({"met_pt": pt, "met_phi": phi})
+    df = df.withColumns({c: F.col(f"_new_{c}") for c in bins})
+    return df.drop("run_era", "jec_tag", "jec_factor", *[f"_new_{c}" for c in bins])
+
+
+def simulation_weight(
+    btag_bins: Sequence[weights.FactorBin], flavour: Callable[[Column], Column], weight: str = "weight"
+) -> Column:
+    """Event weight with the b-tag factors of the cleaned jets and the top-pt weight; data keep theirs."""
+    factor = lambda x: weights.binned_factor(btag_bins, flavour(x), x["pt"], x["btagDeepFlavB"])
+    btag = weights.lookup_product(F.col("ak4_jets"), factor)
+    full = F.col(weight) * btag * weights.top_pt(F.col("GenPart"), F.col("sample"))
+    return F.when(F.col("type") == "data", F.col(weight)).otherwise(full)
+
+
 def categories(parent: Selection, score: Column) -> list[Selection]:
     """One selection per score interval."""
     return [
@@ -51,22 +89,33 @@ def categories(parent: Selection, score: Column) -> list[Selection]:
     ]
 
 
-def channel(df: DataFrame, name: str, score: Column | None = None, cuts: Cuts = DEFAULT) -> Channel:
+def channel(
+    df: DataFrame,
+    name: str,
+    score: Column | None = None,
+    cuts: Cuts = DEFAULT,
+    vary: Callable[[DataFrame], DataFrame] | None = None,
+) -> Channel:
     """Objects and selections of channel ``DL`` or ``SL`` for already triggered and weighted events.
 
+    ``vary`` may repeat the events with changed jets (see :func:`syst.object_variations`); the leptons, which do not
+    depend on jet momenta, are built before it, once per event.
+
     With ``score`` (an expression over the derived collections) the two-lepton channel also gets the score categories
     and their plots.
     """
     base = Selection("noSel")
-    events = objects.define_objects(df, name, cuts)
+    found = objects.define_leptons(df, name, cuts)
+    found = selection.dl_columns(found) if name == "DL" else selection.sl_columns(found)
+    if vary is not None:
+        found = vary(found)
+    found = objects.fat_jets(objects.jets(found, cuts.jets), name, cuts.jets)
     if name == "DL":
-        events = selection.dl_columns(events)
         chosen, drawn = selection.dl_selections(base), plots.dl_plots
         if score is not None:
-            events = events.withColumn("score", score)
+            found = found.withColumn("score", score)
             chosen = chosen + categories(next(s for s in chosen if s.name == "DL_resolved_ee"), F.col("score"))
             drawn = lambda: plots.score_plots(F.col("score")) + plots.dl_plots()
     else:
-        events = selection.sl_columns(events)
         chosen, drawn = selection.sl_selections(base), plots.sl_plots
-    return Channel(name, selection.with_flags(events, chosen), chosen, drawn)
+    return Channel(name, selection.with_flags(found, chosen), chosen, drawn)

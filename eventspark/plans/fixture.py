@@ -80,6 +80,8 @@ def _header_columns() -> list[Column]:
         (F.col("o_custkey") % 3 == 0).alias("trig_c"),
         (F.col("o_totalprice") / 5000.0).alias("met_pt"),
         ((F.col("o_custkey") % 628) / 100.0 - 3.14).alias("met_phi"),
+        (355_100 + F.col("o_custkey") % 20).alias("run"),
+        (F.col("o_orderkey") % 64).alias("luminosityBlock"),
     ]
 
 

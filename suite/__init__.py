@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-MODULES = ("collections", "physics", "reports", "classifier")
+MODULES = ("collections", "physics", "reports", "chain", "classifier")
 
 
 def load() -> ModuleType:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from eventspark.operators import hist, mlprep, model, roc
@@ -83,9 +85,25 @@ def class_balance(spark, d):
     )
 
 
-@query("batch_check")
+def _draw_sql(seed):
+    return f"CAST('0x' || substr(md5('{seed}|' || o_orderkey), 1, 13) AS BIGINT)"
+
+
+@query(
+    "batch_check",
+    with_ctes(
+        f"""SELECT tag, round(sum(training_weight) / 20, 4) + 0.0 AS mean_weight, count(*) / 20 AS mean_rows
+            FROM (SELECT tag, training_weight FROM bal, range(20) b(i)
+                  QUALIFY row_number() OVER (PARTITION BY i
+                    ORDER BY ({_draw_sql(1)} - i * {mlprep.DRAWS // 20} + {mlprep.DRAWS}) % {mlprep.DRAWS}, o_orderkey) <= 256)
+            GROUP BY tag""",
+        "ml",
+        bal=_BALANCED,
+    ),
+)
 def batch_check(spark, d):
-    return mlprep.batch_check(balanced(spark, d), 256, weight="training_weight")
+    out = mlprep.batch_check(balanced(spark, d), 256, ["o_orderkey"], weight="training_weight")
+    return out.withColumn("mean_weight", r(F.col("mean_weight")))
 
 
 @query(
@@ -101,6 +119,27 @@ def weight_hist(spark, d):
     return mlprep.weight_hist(tagged(spark, d), CLASSES)
 
 
+@query(
+    "weight_hist_both",
+    with_ctes(
+        """SELECT name AS weight, tag, CASE WHEN v >= hi THEN 100
+             ELSE least(CAST(floor(100 * ((v - lo) / (hi - lo))) AS INTEGER) + 1, 100) END AS bin, count(*) AS n
+           FROM (SELECT *, min(v) OVER (PARTITION BY name, tag) AS lo, max(v) OVER (PARTITION BY name, tag) AS hi
+                 FROM (SELECT tag, 'event_weight' AS name, weight AS v FROM bal
+                       UNION ALL SELECT tag, 'training_weight', round(training_weight, 6) FROM bal)) GROUP BY 1, 2, 3""",
+        "ml",
+        bal=_BALANCED,
+    ),
+)
+def weight_hist_both(spark, d):
+    """Distributions of the weight before and after the classes were balanced."""
+    rows = balanced(spark, d).withColumn("training_weight", r(F.col("training_weight"), 6))
+    each = [
+        mlprep.weight_hist(rows, CLASSES, weight=w).withColumn("weight", F.lit(w)) for w in ("event_weight", "training_weight")
+    ]
+    return each[0].unionByName(each[1])
+
+
 @query(
     "parity_split",
     with_ctes(f"SELECT o_orderkey, CASE WHEN {_EVEN} THEN 'test' ELSE 'train' END AS subset FROM ml", "ml"),
@@ -111,7 +150,7 @@ def parity_split(spark, d):
     return pick(train, "train").unionByName(pick(test, "test"))
 
 
-@query("val_split")
+@query("val_split", with_ctes(f"SELECT o_orderkey, {_draw_sql(0)} % 100 < 30 AS is_val FROM ml", "ml"))
 def val_split(spark, d):
     return mlprep.val_split(fx.ml_rows(spark, d), ["o_orderkey"]).select("o_orderkey", "is_val")
 
@@ -178,16 +217,37 @@ def embedding_rows(spark, d):
     return rows, features
 
 
+def linear(rows, features):
+    return model.train(rows, features, "label", "w", kind="logistic", iterations=200, tol=1e-12)
+
+
 @query("train_score")
 def train_score(spark, d):
     """Weighted linear classifier per parity; every row is scored by the model that has not seen its parity."""
     rows, features = embedding_rows(spark, d)
-    fit = lambda keep: model.train(rows.filter(keep), features, "label", "w", kind="logistic", iterations=15)
-    on_odd, on_even = fit(~F.col("even")), fit(F.col("even"))
+    on_odd, on_even = (linear(rows.filter(keep), features) for keep in (~F.col("even"), F.col("even")))
     scored = model.score_by_parity(on_odd, on_even, rows, F.col("even"))
     return scored.select("vec_id", "label", "w", "score")
 
 
+@query(
+    "train_balance",
+    """SELECT even, count(*) AS n, sum(w * y) AS true_weight, sum(w * y) AS scored_weight
+       FROM (SELECT vec_id % 2 = 0 AS even, CAST(1 + vec_id % 5 AS DOUBLE) AS w, CASE WHEN label < 5 THEN 1.0 ELSE 0.0 END AS y
+             FROM embeddings) GROUP BY even""",
+)
+def train_balance(spark, d):
+    """A converged linear classifier with a free intercept gives its own training rows their weight in the class."""
+    rows, features = embedding_rows(spark, d)
+    own = [
+        model.score(linear(rows.filter(keep), features), rows.filter(keep)) for keep in (F.col("even"), ~F.col("even"))
+    ]
+    weight = lambda c: F.round(F.sum(F.col("w") * F.col(c)), 2)
+    return own[0].unionByName(own[1]).groupBy("even").agg(
+        F.count("*").alias("n"), weight("label").alias("true_weight"), weight("score").alias("scored_weight")
+    )
+
+
 @query(
     "discriminant",
     with_ctes("SELECT o_orderkey, round(ln(score / (1 - score)), 6) + 0.0 AS d_hh FROM ml", "ml"),
@@ -297,6 +357,58 @@ def roc_multi(spark, d):
     return points.select("class", "threshold", r(F.col("tpr"), 6).alias("tpr"), r(F.col("fpr"), 6).alias("fpr"))
 
 
+_BY_CLASS = """
+SELECT "class", threshold, s - own_s AS s_above, b - own_b AS b_above, rank FROM (
+  SELECT *, sum(own_s) OVER w AS s, sum(own_b) OVER w AS b, row_number() OVER w AS rank,
+    lead(pos) OVER w AS next_pos, lead(neg) OVER w AS next_neg
+  FROM (SELECT "class", threshold, coalesce(sum(w_roc) FILTER (y), 0) AS pos, coalesce(sum(w_roc) FILTER (NOT y), 0) AS neg,
+          coalesce(sum(w_sig) FILTER (y), 0) AS own_s, coalesce(sum(w_sig) FILTER (NOT y), 0) AS own_b
+        FROM (SELECT 'HH' AS "class", score AS threshold, tag = 'HH' AS y, w_roc, w_sig FROM ml
+              UNION ALL SELECT 'background', 1 - score, tag = 'background', w_roc, w_sig FROM ml) GROUP BY 1, 2)
+  WINDOW w AS (PARTITION BY "class" ORDER BY threshold DESC))
+WHERE rank = 1 OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg"""
+
+
+@query(
+    "significance_by_class",
+    with_ctes(
+        """SELECT "class", threshold, s_above, b_above, CASE WHEN s_above > 0 AND b_above > 0 THEN round(sqrt(greatest(
+             2 * ((s_above + b_above) * ln(1 + s_above / b_above) - s_above), 0)), 6) ELSE 0.0 END + 0.0 AS z
+           FROM (SELECT *, row_number() OVER (PARTITION BY "class" ORDER BY threshold DESC) AS i,
+                   count(*) OVER (PARTITION BY "class") AS kept FROM by_class)
+           WHERE i % greatest(CAST(floor((kept + 1) / 100) AS BIGINT), 1) = 0""",
+        "ml",
+        by_class=_BY_CLASS,
+    ),
+)
+def significance_by_class(spark, d):
+    df = tagged(spark, d).select("tag", "w_roc", "w_sig", F.col("score").alias("p"))
+    rows = roc.one_vs_rest(df, F.col("tag"), {"HH": F.col("p"), "background": 1 - F.col("p")})
+    points = roc.curve(
+        rows, F.col("y"), F.col("score"), F.col("w_roc"), ["class"], sig_weight=F.col("w_sig"), drop_intermediate=True
+    )
+    sig = roc.significance(points, by=["class"])
+    return sig.select("class", "threshold", "s_above", "b_above", r(F.col("z"), 6).alias("z"))
+
+
+@query(
+    "roc_discriminant",
+    with_ctes(
+        """SELECT round(ln(threshold / (1 - threshold)), 6) + 0.0 AS threshold, tp, fp,
+             round(tp / (SELECT sum(pos) FROM steps), 6) + 0.0 AS tpr, round(fp / (SELECT sum(neg) FROM steps), 6) + 0.0 AS fpr
+           FROM steps""",
+        "ml",
+        steps=_STEPS,
+    ),
+)
+def roc_discriminant(spark, d):
+    """The curve of the log ratio of signal and background outputs."""
+    df, y = scored(spark, d)
+    p = F.col("score")
+    points = roc.curve(df, y, mlprep.discriminant([p], [1 - p]), F.col("w_roc"))
+    return points.select(*[r(F.col(c), 6).alias(c) for c in ("threshold", "tpr", "fpr")], "tp", "fp")
+
+
 _KINDS = ("ggHH", "TTbar", "DY", "WW")
 
 
@@ -338,6 +450,36 @@ def score_hist(spark, d):
     return score_bins(spark, d).select("tag", "bin", "sumw", "n")
 
 
+_OUTPUTS = {"HH": "score", "background": "1 - score"}
+
+
+@query(
+    "score_hist_all",
+    with_ctes(
+        " UNION ALL ".join(
+            f"""SELECT '{out}' AS output, '{w}' AS weight, tag, CAST(floor(50 * ((p - lo) / (hi - lo))) AS INTEGER) + 1 AS bin,
+                  sum({w}) AS sumw, count(*) AS n
+                FROM (SELECT *, {p} AS p FROM ml) CROSS JOIN (SELECT min({p}) AS lo, max({p}) AS hi FROM ml)
+                WHERE p < hi GROUP BY ALL"""
+            for out, p in _OUTPUTS.items()
+            for w in ("w_roc", "w_sig")
+        ),
+        "ml",
+    ),
+)
+def score_hist_all(spark, d):
+    """Every output of the classifier, per class and with both weights."""
+    df = tagged(spark, d).withColumns({f"out_{c}": F.expr(p) for c, p in _OUTPUTS.items()})
+    each = [
+        hist.adaptive(df, f"out_{c}", 50, F.col(w), ["tag"], closed=False).select(
+            F.lit(c).alias("output"), F.lit(w).alias("weight"), "tag", "bin", "sumw", "n"
+        )
+        for c in _OUTPUTS
+        for w in ("w_roc", "w_sig")
+    ]
+    return reduce(lambda a, b: a.unionByName(b), each)
+
+
 @query(
     "score_cumulative",
     with_ctes(
@@ -362,11 +504,14 @@ def score_cumulative(spark, d):
              round(avg(CASE WHEN (score > 0.5) = (tag = 'HH') THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS accuracy,
              round(count(*) FILTER (score > 0.5 AND tag = 'HH') / count(*) FILTER (score > 0.5), 6) + 0.0 AS precision,
              round(count(*) FILTER (score > 0.5 AND tag = 'HH') / count(*) FILTER (tag = 'HH'), 6) + 0.0 AS recall,
-             count(*) FILTER (score > 0.5 AND tag <> 'HH') AS false_positives, count(*) AS n FROM ml""",
+             count(*) FILTER (score > 0.5 AND tag <> 'HH') AS false_positives, count(*) AS n,
+             (SELECT round(sum(neg * (tp - pos / 2)) / (sum(pos) * sum(neg)), 6) + 0.0 FROM areas) AS auc FROM ml""",
         "ml",
+        areas="""SELECT pos, neg, sum(pos) OVER (ORDER BY score DESC) AS tp FROM (
+          SELECT score, count_if(tag = 'HH')::DOUBLE AS pos, count_if(tag <> 'HH')::DOUBLE AS neg FROM ml GROUP BY score)""",
     ),
 )
 def eval_metrics(spark, d):
     df, y = scored(spark, d)
     out = mlprep.evaluate(df, y, F.col("score"), F.col("w_roc"))
-    return out.withColumns({c: r(F.col(c), 6) for c in ("loss", "accuracy", "precision", "recall")})
+    return out.withColumns({c: r(F.col(c), 6) for c in ("loss", "accuracy", "precision", "recall", "auc")})

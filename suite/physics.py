@@ -10,7 +10,7 @@ from eventspark.plans import analysis
 from eventspark.plans import fixture as fx
 from eventspark.sources import catalog, skim
 from suite.registry import query
-from suite.sqlparts import DL_TREE, SL_TREE, with_ctes
+from suite.sqlparts import CTES, DL_TREE, NEEDS, SL_TREE, with_ctes
 
 KEYS = ("o_orderkey",)
 LEPTONS = ("Muon", "Electron", "Jet")
@@ -221,7 +221,7 @@ def z_veto(spark, d):
     ),
 )
 def pair_multiplicity(spark, d):
-    df = _leptons_only(spark, d).select(*KEYS, *[F.size(f"{p}_tight").alias(f"n_{p}") for p in ("ee", "mm", "em")])
+    df = _leptons_only(spark, d).select(*KEYS, "n_ee", "n_mm", "n_em")
     return df.withColumn("only_ee", (F.col("n_ee") == 1) & (F.col("n_mm") == 0) & (F.col("n_em") == 0))
 
 
@@ -258,21 +258,19 @@ CATEGORY_TREE = [
 ]
 
 
-def _cutflow_sql(parts):
-    rows = " UNION ALL ".join(
+def flow_sql(cte, tree, digits=4):
+    return " UNION ALL ".join(
         f"SELECT sample, '{name}' AS selection, {depth} AS depth, count(*) FILTER ({flag}) AS n, "
-        f"round(coalesce(sum(weight) FILTER ({flag}), 0), 4) + 0.0 AS sumw, "
-        f"round(coalesce(sum(weight * weight) FILTER ({flag}), 0), 4) + 0.0 AS sumw2 FROM {cte} GROUP BY sample"
-        for cte, tree in parts
+        f"round(coalesce(sum(weight) FILTER ({flag}), 0), {digits}) + 0.0 AS sumw, "
+        f"round(coalesce(sum(weight * weight) FILTER ({flag}), 0), {digits}) + 0.0 AS sumw2 FROM {cte} GROUP BY sample"
         for name, depth, flag in tree
     )
-    return with_ctes(rows, *[cte for cte, _ in parts])
 
 
-DL_FLAGS = [(n, depth, f"sel_{n}") for n, depth, _ in DL_TREE]
+DL_FLAGS, SL_FLAGS = ([(n, depth, f"sel_{n}") for n, depth, _ in tree] for tree in (DL_TREE, SL_TREE))
 
 
-@query("cutflow", _cutflow_sql([("sel_dl", DL_FLAGS + CATEGORY_TREE)]))
+@query("cutflow", with_ctes(flow_sql("sel_dl", DL_FLAGS + CATEGORY_TREE), "sel_dl"))
 def cutflow(spark, d):
     flow = dl_channel(spark, d, score_expr()).cutflow(F.col("weight"))
     return flow.withColumns({"sumw": r4(F.col("sumw")), "sumw2": r4(F.col("sumw2"))})
@@ -365,7 +363,7 @@ def weight_gen(spark, d):
     )
 
 
-_TOP = """
+TOP = """
 SELECT e.o_orderkey, e.sample, e.weight,
   CASE WHEN starts_with(e.sample, 'TT') AND t.pt IS NOT NULL AND a.pt IS NOT NULL THEN sqrt(
     (0.103::DOUBLE * exp(-0.0118::DOUBLE * t.pt) - 0.000134::DOUBLE * t.pt + 0.973::DOUBLE)
@@ -379,7 +377,7 @@ LEFT JOIN (SELECT o_orderkey, q * 6 AS pt FROM raw WHERE pk % 3 <> 0 AND pk % 2
 
 @query(
     "weight_curve",
-    with_ctes("SELECT o_orderkey, sample, round(top_w, 6) + 0.0 AS w FROM top", "ev", top=_TOP),
+    with_ctes("SELECT o_orderkey, sample, round(top_w, 6) + 0.0 AS w FROM top", "ev", top=TOP),
 )
 def weight_curve(spark, d):
     w = weights.top_pt(F.col("GenPart"), F.col("sample"))
@@ -392,7 +390,7 @@ def weight_curve(spark, d):
         """SELECT sample, 'nominal' AS variation, round(sum(weight * top_w), 4) + 0.0 AS sumw FROM top GROUP BY sample
            UNION ALL SELECT sample, 'noTopPt', round(sum(weight), 4) + 0.0 FROM top GROUP BY sample""",
         "ev",
-        top=_TOP,
+        top=TOP,
     ),
 )
 def syst_weight(spark, d):
@@ -403,14 +401,23 @@ def syst_weight(spark, d):
     return varied.groupBy("sample", "variation").agg(r4(F.sum("weight")).alias("sumw"))
 
 
+#: 320 bins; the edges of the second variable avoid the values it takes.
 SF_BINS = [
-    weights.FactorBin(kind, x, x + 10.0, y, y + 1.0, 0.9 + 0.0123457 * (x / 10.0) + 0.0217391 * y + shift)
+    weights.FactorBin(kind, 2.5 * i, 2.5 * i + 2.5, y, y + 0.25, 0.9 + 0.0123457 * i / 4 + 0.0217391 * y + shift)
     for kind, shift in (("jet", 0.0), ("muon", 0.05))
-    for x in (0.0, 10.0, 20.0, 30.0)
-    for y in (0.0, 1.0)
+    for i in range(20)
+    for y in (0.06, 0.31, 0.56, 0.81, 1.06, 1.31, 1.56, 1.81)
 ]
 
 
+def bins_sql(bins):
+    rows = ", ".join("(" + ", ".join(_sql_value(v) for v in b) + ")" for b in bins)
+    return (
+        "SELECT k, x0::DOUBLE AS x0, x1::DOUBLE AS x1, y0::DOUBLE AS y0, y1::DOUBLE AS y1, f::DOUBLE AS f "
+        f"FROM (VALUES {rows}) t(k, x0, x1, y0, y1, f)"
+    )
+
+
 @query(
     "weight_lookup",
     with_ctes(
@@ -421,9 +428,7 @@ SF_BINS = [
              USING (o_orderkey) GROUP BY e.o_orderkey""",
         "ev",
         "items",
-        bins="SELECT * FROM (VALUES "
-        + ", ".join("(" + ", ".join(_sql_value(v) for v in b) + ")" for b in SF_BINS)
-        + ") t(k, x0, x1, y0, y1, f)",
+        bins=bins_sql(SF_BINS),
     ),
 )
 def weight_lookup(spark, d):
@@ -442,55 +447,88 @@ SELECT e.*, j.jec_tag, j.jec_factor FROM (SELECT *, CASE WHEN regexp_matches(sam
 LEFT JOIN jec j ON j.era = e.era AND j.run_era = e.run_era"""
 
 
-def _corrected(spark, d):
-    df = fx.collisions(spark, d, ("Jet",)).withColumn("run_era", catalog.run_era(F.col("sample")))
-    df = weights.with_jec(df, weights.jec_table(spark, JEC_FACTORS))
-    return df.withColumn("Jet_corr", weights.scale_items(F.col("Jet"), lambda _: F.col("jec_factor")))
+def _jec_bins(shift):
+    """Residual corrections of one kind of jet: every tag, 4 bins of eta and 5 of pt."""
+    eta, pt = (-2.61, -1.31, 0.01, 1.31, 2.61), (0.0, 15.0, 30.0, 60.0, 120.0, 400.0)
+    return [
+        weights.FactorBin(tag, eta[i], eta[i + 1], pt[j], pt[j + 1], 1.0 + shift + 0.004 * t + 0.013 * i - 0.007 * j)
+        for t, tag in enumerate(sorted(JEC_FACTORS))
+        for i in range(4)
+        for j in range(5)
+    ]
+
+
+JEC_BINS = {"Jet": _jec_bins(0.0), "FatJet": _jec_bins(0.02), "SubJet": _jec_bins(-0.01)}
+
+
+def _item_factor(source: str, kind: str) -> str:
+    return f"""SELECT j.*, e.jec_tag, e.jec_factor * coalesce(b.f, 1.0::DOUBLE) AS f FROM {source} j JOIN evj e USING (o_orderkey)
+LEFT JOIN jec_{kind} b ON b.k = e.jec_tag AND j.eta >= b.x0 AND j.eta < b.x1 AND j.pt >= b.y0 AND j.pt < b.y1"""
+
+
+CTES |= {"jec": _JEC_SQL, "evj": _EV_JEC, **{f"jec_{k}": bins_sql(b) for k, b in JEC_BINS.items()}}
+CTES |= {"jet_f": _item_factor("jet", "Jet"), "fat_f": _item_factor("fat", "FatJet"), "sub_f": _item_factor("sub", "SubJet")}
+NEEDS |= {"evj": ("ev", "jec"), "jet_f": ("jet", "evj", "jec_Jet"), "fat_f": ("fat", "evj", "jec_FatJet")}
+NEEDS |= {"sub_f": ("sub", "evj", "jec_SubJet")}
+
+
+def jec_table(spark):
+    return weights.jec_table(spark, JEC_FACTORS)
+
+
+def _corrected(spark, d, names):
+    df = fx.collisions(spark, d, names).withColumn("run_era", catalog.run_era(F.col("sample")))
+    df = weights.with_jec(df, jec_table(spark))
+    return df.withColumns({f"{c}_corr": weights.corrected(F.col(c), JEC_BINS[c]) for c in names})
 
 
 @query(
     "jet_scale",
     with_ctes(
-        """SELECT j.o_orderkey, j.idx, e.jec_tag, round(j.pt * e.jec_factor, 4) + 0.0 AS pt,
-             round(j.mass * e.jec_factor, 4) + 0.0 AS mass FROM jet j JOIN evj e USING (o_orderkey)""",
-        "ev",
-        "jet",
-        jec=_JEC_SQL,
-        evj=_EV_JEC,
+        " UNION ALL ".join(
+            f"""SELECT o_orderkey, '{name}' AS collection, CAST({idx} AS INTEGER) AS idx, jec_tag,
+                  round(pt * f, 6) + 0.0 AS pt, round(mass * f, 6) + 0.0 AS mass FROM {cte}"""
+            for name, cte, idx in (("Jet", "jet_f", "idx"), ("FatJet", "fat_f", "idx"), ("SubJet", "sub_f", "sidx"))
+        ),
+        "jet_f",
+        "fat_f",
+        "sub_f",
     ),
 )
 def jet_scale(spark, d):
-    rows = coll.rows(_corrected(spark, d), "Jet_corr", *KEYS, "jec_tag")
-    return rows.select(*KEYS, "idx", "jec_tag", r4(F.col("pt")).alias("pt"), r4(F.col("mass")).alias("mass"))
+    """Small, fat and sub-jets with the factors of the event's tag and of their (eta, pt) bin."""
+    df = _corrected(spark, d, tuple(JEC_BINS))
+    item = lambda name: lambda x: F.struct(
+        F.lit(name).alias("collection"), x["idx"].alias("idx"), F.round(x["pt"], 6).alias("pt"), F.round(x["mass"], 6).alias("mass")
+    )
+    every = F.concat(*[F.transform(f"{c}_corr", item(c)) for c in JEC_BINS])
+    return df.select(*KEYS, "jec_tag", F.inline(every))
 
 
-def _met_sql(source: str, factor: str) -> str:
+def met_sql(source: str, factor: str, jets: str = "jet") -> str:
     return f"""SELECT o_orderkey, sqrt(px * px + py * py) AS met_pt, atan2(py, px) AS met_phi FROM (
       SELECT e.o_orderkey, any_value(e.met_pt) * cos(any_value(e.met_phi))
           - coalesce(sum(j.pt * ({factor} - 1) * cos(j.phi)), 0) AS px,
         any_value(e.met_pt) * sin(any_value(e.met_phi)) - coalesce(sum(j.pt * ({factor} - 1) * sin(j.phi)), 0) AS py
-      FROM {source} e LEFT JOIN jet j USING (o_orderkey) GROUP BY e.o_orderkey)"""
+      FROM {source} e LEFT JOIN {jets} j USING (o_orderkey) GROUP BY e.o_orderkey)"""
 
 
 @query(
     "met_shift",
     with_ctes(
         "SELECT o_orderkey, round(met_pt, 7) + 0.0 AS met_pt, round(met_phi, 7) + 0.0 AS met_phi FROM met",
-        "ev",
-        "jet",
-        jec=_JEC_SQL,
-        evj=_EV_JEC,
-        met=_met_sql("evj", "e.jec_factor"),
+        "jet_f",
+        met=met_sql("ev", "j.f", "jet_f"),
     ),
 )
 def met_shift(spark, d):
     pt, phi = weights.met_shift(F.col("met_pt"), F.col("met_phi"), F.col("Jet"), F.col("Jet_corr"))
-    return _corrected(spark, d).select(
+    return _corrected(spark, d, ("Jet",)).select(
         *KEYS, F.round(pt, 7).alias("met_pt"), F.round(phi, 7).alias("met_phi")
     )
 
 
-_VARIED = {"jesTotalup": 1.1, "jesTotaldown": 0.9}
+VARIED = {"jesTotalup": 1.1, "jesTotaldown": 0.9}
 
 
 @query(
@@ -508,14 +546,14 @@ _VARIED = {"jesTotalup": 1.1, "jesTotaldown": 0.9}
         "ev",
         "jet",
         var="SELECT * FROM (VALUES ('nominal', 1.0::DOUBLE), ('jesTotalup', 1.1::DOUBLE), ('jesTotaldown', 0.9::DOUBLE)) t(variation, f)",
-        metup=_met_sql("ev", "1.1::DOUBLE"),
-        metdown=_met_sql("ev", "0.9::DOUBLE"),
+        metup=met_sql("ev", "1.1::DOUBLE"),
+        metdown=met_sql("ev", "0.9::DOUBLE"),
     ),
 )
 def syst_object(spark, d):
     df = fx.collisions(spark, d, ("Jet",))
     varied = syst.object_variations(
-        df, _VARIED, ["Jet"], F.col("type") != "data", met=("met_pt", "met_phi"), met_source="Jet"
+        df, VARIED, ["Jet"], F.col("type") != "data", met=("met_pt", "met_phi"), met_source="Jet"
     )
     hard = coll.n(coll.select(F.col("Jet"), lambda x: x["pt"] >= 25))
     per_event = varied.select("sample", "variation", hard.alias("n"), "met_pt")

@@ -160,15 +160,16 @@ def _plot_sql() -> list[tuple[str, str, str, str, int, float, float]]:
 PLOT_SQL = _plot_sql()
 
 
-def _fill_sql(by: str) -> str:
+def fill_sql(by: str, plots=None, source: str | None = None, content: str = CONTENT_SQL) -> str:
+    """Contents of ``plots``, from the table each names or from ``source``."""
     return " UNION ALL ".join(
-        f"SELECT '{name}' AS plot, {by}, {binned(expr, n, lo, hi)} AS bin, {CONTENT_SQL} FROM {cte} "
-        f"WHERE ({flag}) AND ({expr}) IS NOT NULL GROUP BY {by}, 3"
-        for name, cte, flag, expr, n, lo, hi in PLOT_SQL
+        f"SELECT '{name}' AS plot, {by}, {binned(expr, n, lo, hi)} AS bin, {content} FROM {source or cte} "
+        f"WHERE ({flag}) AND ({expr}) IS NOT NULL GROUP BY ALL"
+        for name, cte, flag, expr, n, lo, hi in plots or PLOT_SQL
     )
 
 
-@query("hist_many", with_ctes(_fill_sql("sample"), "sel_dl", "sel_sl"))
+@query("hist_many", with_ctes(fill_sql("sample"), "sel_dl", "sel_sl"))
 def hist_many(spark, d):
     """All 156 histograms of both channels per sample, one pass over the events per channel."""
     w = F.col("weight")

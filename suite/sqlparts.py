@@ -5,6 +5,8 @@ They are written relationally (self-joins and row numbers), independent of the a
 
 from __future__ import annotations
 
+import re
+
 KEY = "o_orderkey"
 
 
@@ -53,7 +55,8 @@ SELECT o_orderkey,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'data' WHEN '2-HIGH' THEN 'signal' ELSE 'mc' END AS type,
   (CASE WHEN o_orderkey % 11 = 0 THEN -1 ELSE 1 END) * (0.5::DOUBLE + (o_custkey % 10) / 10.0::DOUBLE) AS weight,
   o_orderstatus = 'F' AS trig_a, o_orderstatus = 'O' AS trig_b, o_custkey % 3 = 0 AS trig_c,
-  o_totalprice / 5000.0 AS met_pt, (o_custkey % 628) / 100.0::DOUBLE - 3.14::DOUBLE AS met_phi
+  o_totalprice / 5000.0 AS met_pt, (o_custkey % 628) / 100.0::DOUBLE - 3.14::DOUBLE AS met_phi,
+  355100 + o_custkey % 20 AS run, o_orderkey % 64 AS lumi
 FROM orders"""
 
 CTES["raw"] = """
@@ -346,6 +349,21 @@ for _ch in ("dl", "sl"):
     }
 
 
+_JET_SIDE = ("ak4", "b4", "ak8", "b8", "away", "j", "bj", "fj", "bf", "aw", "wide", "sel")
+
+
+def with_jets(channel: str, suffix: str, jet: str, fat: str, ev: str, needs: tuple[str, ...] = ()) -> str:
+    """Add a channel's expressions for other ``jet``, ``fat`` and ``ev`` rows; returns the name of the last, its events."""
+    names = ["jet", "fat", "ev", *[f"{p}_{channel}" for p in _JET_SIDE]]
+    swap = re.compile(rf"\b({'|'.join(names)})\b(?=\s|$)")
+    for name, sql in (("jet", jet), ("fat", fat), ("ev", ev)):
+        CTES[name + suffix], NEEDS[name + suffix] = sql, (name, *needs)
+    for name in names[3:]:
+        CTES[name + suffix] = swap.sub(lambda m: m[0] + suffix, CTES[name])
+        NEEDS[name + suffix] = tuple(n + suffix if n in names else n for n in NEEDS[name])
+    return names[-1] + suffix
+
+
 def with_ctes(body: str, *names: str, **extra: str) -> str:
     """``body`` preceded by the named expressions and all they build on; ``extra`` adds query-specific ones."""
     ordered: list[str] = []

@@ -167,8 +167,8 @@ def test_tail_repetition_keeps_the_total(spark):
 
 
 def test_batch_check_draws_full_batches(spark):
-    df = spark.range(5000).select(F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("tag"), F.lit(2.0).alias("weight"))
-    rows = {r["tag"]: r for r in mlprep.batch_check(df, 100, batches=10).collect()}
+    df = spark.range(5000).select("id", F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("tag"), F.lit(2.0).alias("weight"))
+    rows = {r["tag"]: r for r in mlprep.batch_check(df, 100, ["id"], batches=10).collect()}
     assert rows["a"]["mean_rows"] + rows["b"]["mean_rows"] == 100
     assert rows["a"]["mean_weight"] + rows["b"]["mean_weight"] == pytest.approx(200.0)
 

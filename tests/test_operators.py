@@ -93,6 +93,36 @@ def test_binned_factor_product(spark):
     assert column(df, weights.lookup_product(F.col("Jet"), factor)) == pytest.approx([0.55, 1.0])
 
 
+def test_binned_factor_equals_a_search_of_all_bins(spark):
+    """Edges, gaps, overlaps, items outside, NaN and NULL."""
+    bins = [
+        weights.FactorBin("b", x, x + 7.0, y, y + 0.5, 1 + x / 100 + y) for x in (0.0, 7.0, 21.0) for y in (0.0, 0.5, 1.5)
+    ] + [weights.FactorBin("b", 5.0, 25.0, 0.25, 2.25, 3.0), weights.FactorBin("l", 0.0, 50.0, 0.0, 3.0, 0.5)]
+    values = [(f, x / 2, y / 4) for f in ("b", "l", "c") for x in range(-2, 60) for y in range(-1, 12)]
+    values += [("b", float("nan"), 0.3), ("b", None, 0.3), (None, 1.0, 0.3)]
+    df = spark.createDataFrame(values, "f string, x double, y double")
+    got = df.select("f", "x", "y", weights.binned_factor(bins, F.col("f"), F.col("x"), F.col("y")).alias("w")).collect()
+    for r in got:
+        hit = [
+            b.factor for b in bins
+            if r.f == b.flavour and r.x is not None and b.x_low <= r.x < b.x_high and b.y_low <= r.y < b.y_high
+        ]
+        assert r.w == (hit[0] if hit else 1.0), r
+
+
+def test_certified_asks_only_data(spark):
+    df = frame(spark, type=["data", "data", "mc", "data"], run=[1, 1, 9, 2], luminosityBlock=[5, 50, 50, 5])
+    ranges = ev.lumi_ranges(spark, {1: [(0, 10)], 3: [(0, 99)]})
+    kept = ev.certified(df, ranges, only=F.col("type") == "data")
+    assert kept.columns == df.columns
+    assert sorted((r["type"], r["run"], r["luminosityBlock"]) for r in kept.collect()) == [("data", 1, 5), ("mc", 9, 50)]
+
+
+def test_corrections_need_every_tag(spark):
+    with pytest.raises(ValueError, match="RunF"):
+        weights.corrected(F.col("Jet"), [weights.FactorBin(t, -5, 5, 0, 1e4, 1.0) for t in weights.JEC_TAGS.values() if "RunF" not in t])
+
+
 def test_met_follows_the_jets(spark):
     df = events(spark, [jet(pt=100.0, phi=0.0)], [])
     after = weights.scale_items(F.col("Jet"), lambda _: F.lit(1.1))

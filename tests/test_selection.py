@@ -1,9 +1,11 @@
 import math
+import random
 
 import pytest
 from builders import column, electron, events, fat_jet, jet, muon, sub_jet, tau
 from pyspark.sql import functions as F
 
+from eventspark.functions import coll, kin
 from eventspark.operators import report, selection
 from eventspark.operators.selection import Selection, with_flags
 from eventspark.plans import analysis
@@ -70,13 +72,31 @@ def test_exact_limits():
 
 
 def test_veto_boundaries(spark):
-    df = spark.range(1)
-    arr = lambda *m: F.array(*[F.lit(x) for x in m])
-    v = lambda c: df.select(c.alias("c")).first()["c"]
-    assert v(selection.no_low_mass(arr(12.0))) is True
-    assert v(selection.no_low_mass(arr(11.999))) is False
-    assert v(selection.no_z(arr(100.0), mass=90.0)) is False
-    assert v(selection.no_z(arr(100.001), mass=90.0)) is True
+    """At rest along one axis two massless leptons of the same pt, back to back, have twice that pt as mass."""
+    df = events(spark, [electron(pt=6.0, mass=0.0, charge=1), electron(pt=6.0, mass=0.0, charge=-1, phi=math.pi)])
+    e, none = F.col("Electron"), F.slice("Muon", 1, 0)
+    mass = column(df, F.transform(coll.pairs(e, lambda a, b: F.lit(True)), lambda p: kin.inv_mass(p["l1"], p["l2"])))[0][0]
+    v = lambda c: column(df, c)[0]
+    assert v(selection.no_low_mass(e, none, limit=mass)) is True
+    assert v(selection.no_low_mass(e, none, limit=mass + 1e-9)) is False
+    assert v(selection.no_low_mass(none, e, limit=mass + 1e-9)) is False
+    assert v(selection.no_z(e, none, mass=mass + 2.0, window=2.5)) is False
+    assert v(selection.no_z(e, none, mass=mass + 2.0, window=1.5)) is True
+
+
+def test_pairs_are_counted_without_being_listed(spark):
+    """A large event: numbers and first pairs as listing all pairs gives them."""
+    rng = random.Random(5)
+    some = lambda kind, n: [kind(charge=rng.choice((1, -1)), phi=i / n, pt=50.0 - i / n) for i in range(n)]
+    df = events(spark, [*some(electron, 60), *some(muon, 70)], [electron(charge=1), electron(charge=1, phi=1.0)], [])
+    e, m = F.col("Electron"), F.col("Muon")
+    opposite = lambda a, b: a["charge"] != b["charge"]
+    got = selection.lepton_pairs(df, "Electron", "Muon")
+    listed = {"ee": coll.pairs(e, opposite), "mm": coll.pairs(m, opposite), "em": coll.cross(e, m, opposite)}
+    for name, pairs in listed.items():
+        assert column(got, f"n_{name}") == column(df, F.size(pairs))
+        assert column(got, f"first_{name}") == column(df, coll.at(pairs, 0))
+    assert column(got, "n_ee")[0] > 500 and column(got, "n_ee")[1:] == [0, 0]
 
 
 def test_sl(spark):

@@ -44,4 +44,4 @@ def test_query(spark, sql, name):
 
 def test_every_sql_belongs_to_a_query():
     assert set(REGISTRY.ORACLES) <= set(REGISTRY.QUERIES)
-    assert set(REGISTRY.QUERIES) - set(REGISTRY.ORACLES) == {"batch_check", "val_split", "train_score"}
+    assert set(REGISTRY.QUERIES) - set(REGISTRY.ORACLES) == {"train_score"}
