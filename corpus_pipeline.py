@@ -29,9 +29,17 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without boilerplate lines, and ``n_chars`` of the new text; a document all of whose lines go stays, empty."""
-    cleaned = line_dedup.without_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long"))
-    return cleaned.select(docs.columns)
+    """Texts without boilerplate lines, and ``n_chars`` of the new text; a document all of whose lines go stays, empty.
+
+    Exact and near copies of a document are one page of its site, so that a text is not boilerplate for being copied;
+    which of them stays is for the next stage. Rows without a doc_id are one page where their texts are equal.
+    """
+    found = minhash_forest.near_duplicates(docs).filter("doc_id is not null")
+    found = stored(found.groupBy(F.col("doc_id").alias("found_id")).agg(F.min("component_id").alias("copy_of")))
+    pages = docs.join(found, F.col("doc_id") == F.col("found_id"), "left")
+    pages = pages.withColumn("copy_of", F.coalesce("copy_of", F.xxhash64("text")))
+    cleaned = line_dedup.without_boilerplate(pages, copies="copy_of")
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,21 +20,34 @@ def _bare(line: Column) -> Column:
 
 
 def without_boilerplate(
-    pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES
+    pages: DataFrame,
+    host: str = "source",
+    text: str = "text",
+    ratio: float = RATIO,
+    min_pages: int = MIN_PAGES,
+    copies: str | None = None,
 ) -> DataFrame:
     """``pages`` with ``text`` less its host's boilerplate lines, and ``n_lines``, ``n_dropped``; all rows are kept.
 
     A line counts once per page, without white space at its ends; blank lines are neither counted nor dropped. It is
     dropped if at least ``min_pages`` pages of the host hold it, and more than ``ratio`` of them. Pages with a null host
-    are a site of their own. A null text stays null with no lines. Repeated rows are pages of their own. Columns already
-    named ``n_lines`` or ``n_dropped`` are replaced, all others stay. An empty table gives no rows.
+    are a site of their own. A null text stays null with no lines. Repeated rows are pages of their own, unless ``copies``
+    names a column: then the rows of a host that have the same value there count as one page, in a line's pages and in
+    the host's, and a line of one of them is a line of that page. Columns already named ``n_lines`` or ``n_dropped`` are
+    replaced, all others stay. An empty table gives no rows.
     """
     pages = pages.drop("n_lines", "n_dropped")
     lines = F.split(F.col(text).cast("string"), "\n", -1)
     marks = F.filter(F.transform(lines, _bare), lambda x: x != "")
-    seen = pages.select(F.col(host).alias("host"), F.array_distinct(F.transform(marks, lambda x: F.xxhash64(x))).alias("h"))
-    counted = seen.select("host", F.explode("h").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
-    totals = pages.groupBy(F.col(host).alias("of")).agg(F.count("*").alias("pages"))
+    page = [F.col(copies).alias("page")] if copies else []
+    hashes = F.array_distinct(F.transform(marks, lambda x: F.xxhash64(x))).alias("h")
+    seen = pages.select(F.col(host).alias("host"), *page, hashes)
+    seen = seen.select(F.explode("h").alias("line"), *seen.drop("h").columns)
+    every = pages.select(F.col(host).alias("of"), *page)
+    if copies:
+        seen, every = seen.distinct(), every.distinct()
+    counted = seen.groupBy("host", "line").agg(F.count("*").alias("n"))
+    totals = every.groupBy("of").agg(F.count("*").alias("pages"))
     often = counted.filter(F.col("n") >= min_pages).join(totals, F.col("host").eqNullSafe(F.col("of")))
     often = often.filter(F.col("n") / F.col("pages") > ratio)
     drops = often.groupBy("of").agg(F.collect_list("line").alias("drops"))

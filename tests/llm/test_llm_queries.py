@@ -57,3 +57,24 @@ def test_pipeline(spark):
     packed = sorted(map(tuple, packing.pack(docs, WORD_BPE).drop("sequence_id", "offset").collect()))
     assert sorted(map(tuple, corpus_pipeline.run(spark, DIR).drop("sequence_id", "offset").collect())) == packed
     assert len(packed) >= len(kept[4])
+
+
+def page(i, words, menu="home shop help"):
+    return f"{menu}\n" + "\n".join(" ".join(words[k : k + 10]) for k in range(0, len(words), 10)) + f"\npage {i}"
+
+
+def test_copies_are_not_boilerplate(spark):
+    """Groups of exact and of near copies, each a large part of their site, keep their text and become one document."""
+    own = [page(i, [f"p{i}w{k}" for k in range(200)]) for i in range(100)]
+    exact = [page("x", [f"x{k}" for k in range(200)])] * 60
+    near = [page("y", [f"y{k}" for k in range(200)]) + f" of edition {i}" for i in range(60)]
+    texts = [*own, *exact, *near]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(None, own[0], "en", "s", len(own[0]))] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    cleaned = corpus_pipeline.line_stage(spark, docs, DIR)
+    got = cleaned.collect()
+    assert len(got) == len(rows) and cleaned.columns == docs.columns
+    menu = len("home shop help\n")
+    assert all(r.text == (texts[r.doc_id] if r.doc_id is not None else own[0])[menu:] and r.n_chars == len(r.text) for r in got)
+    kept = corpus_pipeline.duplicate_stage(spark, spark.createDataFrame(got, docs.schema), DIR).collect()
+    assert {r.doc_id for r in kept} == {*range(100), 100, 160}
