@@ -178,14 +178,19 @@ def _tree_order(sig: str, tree: Column) -> Column:
 
 
 def _stats(rows: DataFrame) -> DataFrame:
-    """Per region: components, rows, and the largest component."""
-    per = rows.groupBy("region", "group").agg(F.count("*").alias("n"), F.sum(F.xxhash64("cid") % 2**40).alias("mark"))
+    """Per region: components, rows, the largest component, and two independent marks of its set of documents."""
+    per = rows.groupBy("region", "group").agg(
+        F.count("*").alias("n"),
+        F.sum(F.xxhash64("cid") % 2**40).alias("mark"),
+        F.bit_xor(F.xxhash64(F.lit("mark"), "cid")).alias("mark2"),
+    )
     return per.groupBy("region").agg(
         F.count("*").alias("n_groups"),
         F.sum("n").alias("n_rows"),
         F.max("n").alias("n_top"),
         F.max_by("group", F.struct("n", "group")).alias("top"),
         F.sum("mark").alias("mark"),
+        F.bit_xor("mark2").alias("mark2"),
     )
 
 
@@ -213,7 +218,7 @@ def _between(members: DataFrame, classes: DataFrame, groups: DataFrame, sets: Da
     plain = rows.join(at.filter(F.col("n_groups") <= CROWD), "region").select("cid", "group", *at.columns)
     found = plain.unionByName(chosen)
     # the same sets together in several orders: one of these regions is enough
-    once = found.groupBy("mark", "n_rows").agg(F.min("region").alias("region")).select("region")
+    once = found.groupBy("mark", "mark2", "n_rows").agg(F.min("region").alias("region")).select("region")
     found = found.join(once, "region", "left_semi")
     is_top = F.col("group") == F.col("top")
     n_a = F.ceil(F.col("n_top") / TILE).cast("int")

@@ -135,6 +135,19 @@ def test_near_duplicates_of_nothing(spark):
     assert minhash_forest.near_duplicates(docs(spark, [])).collect() == []
 
 
+def test_regions_of_other_documents_are_not_taken_for_the_same(spark):
+    """Two pairs of documents whose sums of 40-bit hashes are equal."""
+    n = 4000
+    low = spark.range(n).select((F.xxhash64("id") % 2**40).alias("low")).toPandas()["low"].to_numpy()
+    a, b = np.triu_indices(n, 1)
+    order = np.argsort(low[a] + low[b], kind="stable")
+    equal = order[np.flatnonzero(np.diff((low[a] + low[b])[order]) == 0)[0] :][:2]
+    pairs = [(k, int(c), int(c)) for k, x in enumerate(equal) for c in (a[x], b[x])]
+    assert len({c for _, c, _ in pairs}) == 4
+    stats = minhash_forest._stats(spark.createDataFrame(pairs, "region long, cid long, group long"))
+    assert stats.drop("region", "top").distinct().count() == 2
+
+
 # --- 2: byte-level BPE ------------------------------------------------------------------------------------------------
 
 
