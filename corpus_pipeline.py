@@ -11,6 +11,9 @@ from eventspark.llm import line_dedup, minhash_forest, packing, quality_rules, w
 from eventspark.llm.queries import WORD_BPE
 from eventspark.llm.session import stored
 
+#: Documents of the pipeline are near copies from this Jaccard similarity of their five-word shingles on (percent).
+NEAR = 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -34,7 +37,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Exact and near copies of a document are one page of its site, so that a text is not boilerplate for being copied;
     which of them stays is for the next stage. Rows without a doc_id are one page where their texts are equal.
     """
-    found = minhash_forest.near_duplicates(docs).filter("doc_id is not null")
+    found = minhash_forest.near_duplicates(docs, percent=NEAR).filter("doc_id is not null")
     found = stored(found.groupBy(F.col("doc_id").alias("found_id")).agg(F.min("component_id").alias("copy_of")))
     pages = docs.join(found, F.col("doc_id") == F.col("found_id"), "left")
     pages = pages.withColumn("copy_of", F.coalesce("copy_of", F.xxhash64("text")))
@@ -43,7 +46,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, minhash_forest.near_duplicates(docs))
+    return _only(docs, minhash_forest.near_duplicates(docs, percent=NEAR))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

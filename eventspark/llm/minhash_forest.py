@@ -6,13 +6,14 @@ signatures, each starting at another value; sets that agree in the first values
 1. *Neighbours.* In the first orders, blocks of sets that follow one another, hence share the longest prefixes, are
    compared exactly. This joins most groups of copies at a cost in proportion to their size.
 2. *Regions.* In all orders, whatever the first step left apart inside a region is compared exactly. A region that holds
-   many components is deepened, value by value, up to ``DEEPEST``; only pairs between different components are looked
+   many components is deepened, value by value, up to ``deepest(percent)``; only pairs between different components are looked
    at, the largest component of a region in one row of tiles against the rest, so a group of thousands of copies is not
    compared with itself again.
 
 Pairs never leave a task: a tile gives a spanning forest of its links. Links hold on the full sets (48-bit hashes of
-shingles). A pair at the threshold is missed by all regions with a probability of about 2e-7, and of up to about 5e-4 if all
-its regions are crowded enough to be deepened to ``DEEPEST``.
+shingles). A pair at a threshold of 85 % is missed by all regions with a probability of about 2e-7, and of up to about 5e-4
+if all its regions are crowded enough to be deepened to six values; at 80 %, of about 1e-5, and of up to about 2e-4 if all
+are deepened to four.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from eventspark.llm.words import mix, shingles
 TREES, STEP = 16, 4
 VALUES = TREES * STEP
 SHALLOWEST, DEEPEST = 3, 6
+#: How often a pair at the threshold may be in no common region where all its regions are deepened.
+MISSED = 6e-4
 FIRST_TREES = 2
 BLOCK, TILE, CROWD = 96, 256, 64
 _RNG = np.random.default_rng(20240607)
@@ -38,6 +41,12 @@ _XOR = _RNG.integers(0, 1 << 32, VALUES, dtype=np.uint32)
 _MUL = _RNG.integers(0, 1 << 31, VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
+def deepest(percent: int) -> int:
+    """The most values, up to ``DEEPEST``, that regions may share before pairs at the threshold are missed too often."""
+    missed = lambda d: (1 - (percent / 100) ** d) ** TREES
+    return max(d for d in range(SHALLOWEST + 1, DEEPEST + 1) if d == SHALLOWEST + 1 or missed(d) <= MISSED)
+
+
 def signature(hashes: np.ndarray) -> np.ndarray:
     """The minima of a non-empty set under ``VALUES`` bijections of 32 bits."""
     low = np.full(VALUES, 0xFFFFFFFF, dtype=np.uint32)
@@ -196,20 +205,21 @@ def _stats(rows: DataFrame) -> DataFrame:
 
 def _between(members: DataFrame, classes: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between different groups of a region, for all regions at the depth that suits each."""
+    last = deepest(percent)
     rows = members.join(groups, "cid", "left").withColumn("group", F.coalesce("group", "cid"))
     at = stored(_stats(rows).filter("n_groups > 1"))
     crowded = at.filter(F.col("n_groups") > CROWD).select("region")
     deep = rows.join(crowded, "region", "left_semi").join(classes.select("cid", "sig"), "cid")
     order = _tree_order("sig", F.col("tree"))
     at_depth = F.transform(
-        F.sequence(F.lit(SHALLOWEST + 1), F.lit(DEEPEST)),
+        F.sequence(F.lit(SHALLOWEST + 1), F.lit(last)),
         lambda d: F.struct(d.alias("depth"), F.xxhash64("tree", d, F.substring(order, F.lit(1), 4 * d)).alias("region")),
     )
     deep = stored(deep.select("tree", "cid", "group", F.inline(at_depth)))
     fits = _stats(deep).filter("n_groups > 1")
     chosen = (
         deep.join(fits, "region")
-        .filter((F.col("n_groups") <= CROWD) | (F.col("depth") == DEEPEST))
+        .filter((F.col("n_groups") <= CROWD) | (F.col("depth") == last))
         .groupBy("tree", "cid", "group")
         .agg(F.min(F.struct("depth", "region", *at.columns[1:])).alias("x"))
         .select("cid", "group", "x.*")

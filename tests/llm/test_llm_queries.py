@@ -78,3 +78,17 @@ def test_copies_are_not_boilerplate(spark):
     assert all(r.text == (texts[r.doc_id] if r.doc_id is not None else own[0])[menu:] and r.n_chars == len(r.text) for r in got)
     kept = corpus_pipeline.duplicate_stage(spark, spark.createDataFrame(got, docs.schema), DIR).collect()
     assert {r.doc_id for r in kept} == {*range(100), 100, 160}
+
+
+def test_pipeline_links_documents_from_80_percent_on(spark):
+    """Two edits in 100 words: 86 of 106 shingles are shared."""
+    words = [f"w{i}" for i in range(100)]
+    edited = [w if i not in (30, 60) else "new" for i, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(edited[:50]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.duplicate_stage(spark, docs, DIR).collect()} == {1, 3}
+
+
+def test_deepened_regions_miss_few_pairs():
+    assert minhash_forest.deepest(85) == 6 and minhash_forest.deepest(80) == 4
+    assert all((1 - (p / 100) ** minhash_forest.deepest(p)) ** minhash_forest.TREES < 6e-4 for p in range(80, 101))
