@@ -106,13 +106,16 @@ def format_conversations(turns: DataFrame, path: str) -> DataFrame:
     """``turns (conv_id, turn, role, text, ..)`` -> ``conv_id, formatted, ids, loss`` (a mask value per id).
 
     One row per conversation, its turns by ``turn`` (nulls first; ties by role and text, repeated rows each). A null role or
-    text counts as empty; rows with a null conv_id are a conversation of their own. A row holds a whole conversation, so its
+    text counts as empty; each row with a null conv_id is a conversation of its own. A row holds a whole conversation, so its
     size is that of the longest. Other columns are ignored. An empty table gives no rows.
     """
     spark = ready(turns.sparkSession)
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     turn = F.struct(F.col("turn").cast("long").alias("turn"), empty("role"), empty("text"))
-    whole = turns.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    conv = F.col("conv_id").cast("long")
+    own = F.when(conv.isNull(), F.monotonically_increasing_id())
+    rows = turns.select(conv.alias("conv_id"), own.alias("own"), turn.alias("turn"))
+    whole = rows.groupBy("conv_id", "own").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
     whole = whole.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"], t["text"])).alias("turns"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -312,6 +312,13 @@ def test_chat_round_trip_and_mask(spark):
     assert chat.format_conversations(frame.limit(0), CHAT_BPE).count() == 0
 
 
+def test_rows_without_a_conversation_are_one_each(spark):
+    turns = [(None, i, "user", f"t{i}") for i in range(9)] + [(1, i, "user", f"t{i}") for i in range(3)]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    said = [[t for _, t in chat.parse(x.formatted)] for x in chat.format_conversations(frame, CHAT_BPE).collect()]
+    assert sorted(said) == sorted([["t0", "t1", "t2"], *([f"t{i}"] for i in range(9))])
+
+
 # --- 8: revisits ------------------------------------------------------------------------------------------------------
 
 
