@@ -1,5 +1,7 @@
 """The registered queries against SQL, and the pipeline stage by stage."""
 
+from collections import Counter
+
 import duckdb
 import pytest
 
@@ -92,3 +94,61 @@ def test_pipeline_links_documents_from_80_percent_on(spark):
 def test_deepened_regions_miss_few_pairs():
     assert minhash_forest.deepest(85) == 6 and minhash_forest.deepest(80) == 4
     assert all((1 - (p / 100) ** minhash_forest.deepest(p)) ** minhash_forest.TREES < 6e-4 for p in range(80, 101))
+
+
+def plain_components(texts):
+    """Document -> smallest document it is linked with, by all pairs of five-word shingle sets at 80 %."""
+    sets = {}
+    for i, t in texts.items():
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set()
+    root = {i: i for i in texts}
+    for i in sorted(texts):
+        for j in sorted(texts):
+            if j > i and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) > 0:
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    return root
+
+
+def plain_lines(texts, source):
+    root = plain_components(texts)
+    held, pages = Counter(), Counter()
+    for host, _ in {(source[i], root[i]) for i in texts}:
+        pages[host] += 1
+    for host, _, line in {(source[i], root[i], x.strip()) for i, t in texts.items() for x in t.split("\n") if x.strip()}:
+        held[host, line] += 1
+    often = {k for k, n in held.items() if n >= 5 and n > 0.02 * pages[k[0]]}
+    return {i: "\n".join(x for x in t.split("\n") if (source[i], x.strip()) not in often) for i, t in texts.items()}
+
+
+def test_pipeline_against_a_plain_chain(spark, tmp_path):
+    """Groups of copies are large against their sources; the classifier's verdicts are taken as given."""
+    texts = [page(i, [f"p{i}w{k}" for k in range(40)]) for i in range(60)]
+    texts += [page("x", [f"x{k}" for k in range(40)])] * 20
+    texts += [page("y", [f"y{k}" for k in range(120)]) + f" of edition {i}" for i in range(20)]
+    texts += ["too short a text"] * 5 + [" ".join(["again and again it is said in these words"] * 9)]
+    texts = dict(enumerate(texts, 10**9))
+    source = {i: "ab"[i % 2] for i in texts}
+    docs = [(i, t, "en", source[i], len(t)) for i, t in texts.items()]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{DIR}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+
+    def stage(texts, n):
+        rows = [(i, t, "en", source[i], len(t)) for i, t in texts.items()]
+        made = corpus_pipeline.STAGES[n][1](spark, spark.createDataFrame(rows, docs.schema), str(tmp_path)).collect()
+        assert len({r.doc_id for r in made}) == len(made)
+        return {r.doc_id: r.text for r in made}
+
+    ruled = {i: t for i, t in texts.items() if len(t.split()) >= 20 and "again" not in t}
+    assert stage(texts, 0) == ruled
+    judged = stage(ruled, 1)
+    assert judged.items() <= ruled.items() and len(judged) > 50
+    lined = plain_lines(judged, source)
+    assert stage(judged, 2) == lined
+    root = plain_components(lined)
+    kept = {i: t for i, t in lined.items() if root[i] == i}
+    assert stage(lined, 3) == kept and len(kept) < len(lined) and all(kept.values())
+    packed = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()
+    assert {r.doc_id for r in packed} == set(kept)
