@@ -7,7 +7,8 @@ word has an arc. Both sum to one over the words, the end and the unknown.
 
 No task holds the whole model. Documents are dealt into chunks of bounded size. A chunk sends the n-grams it meets, with its
 own training counts, to the shards that n-grams hash to; a shard adds them up and returns to each chunk what others have
-counted. With these totals a chunk compiles the part of the automaton that its texts can reach and walks through them.
+counted. With these totals a chunk evaluates the automaton in closed form at every word of its texts; states and arcs are
+not built, and the model stops at bigrams.
 """
 
 from __future__ import annotations
