@@ -17,6 +17,7 @@ from eventspark.llm import (
     minhash_forest,
     packing,
     quality_rules,
+    url_filter,
     warc,
     weak_quality,
 )
@@ -79,6 +80,12 @@ def op10_embedding_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_tiles.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = url_filter.judge(pages, url_filter.RULES, url_filter.listed_domains(pages))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -92,10 +99,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_warc_revisits,
         op9_best_two_fit,
         op10_embedding_tiles,
+        op11_bloom_cascade,
     )
 }
 ORACLES: dict[str, str] = {
     "op4_quality_rules": quality_rules.SQL,
     "op5_line_dedup": line_dedup.SQL,
     "op8_warc_revisits": warc.SQL,
+    "op11_bloom_cascade": url_filter.SQL,
 }
