@@ -17,7 +17,9 @@ from eventspark.llm import (
     minhash_forest,
     packing,
     quality_rules,
+    spelling,
     url_filter,
+    vector_codes,
     warc,
     weak_quality,
 )
@@ -86,6 +88,14 @@ def op11_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_spelling_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_pivot_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.product_codes(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -100,6 +110,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_best_two_fit,
         op10_embedding_tiles,
         op11_bloom_cascade,
+        op12_spelling_tiles,
+        op13_pivot_codes,
     )
 }
 ORACLES: dict[str, str] = {

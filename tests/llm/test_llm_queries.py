@@ -31,7 +31,7 @@ def test_query_against_sql(spark, sql, name):
     assert sorted(repr(tuple(r)) for r in df.select(columns).collect()) == want and want
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"op12_spelling_tiles"}))
 def test_query_has_a_row_for_each_input(spark, name):
     df = QUERIES[name](spark, DIR)
     key = df.columns[0]
