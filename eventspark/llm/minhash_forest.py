@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventspark.llm.graph import components
-from eventspark.llm.session import ready, stored, tasks
+from eventspark.llm.joins import join_unique
+from eventspark.llm.session import discard, ready, stored, tasks
 from eventspark.llm.words import mix, shingles
 
 TREES, STEP = 16, 4
@@ -271,8 +272,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
     classes = stored(
         sketches.filter("key is not null")
         .groupBy("key")
-        .agg(one, F.first("sig").alias("sig"))
-        .select("key", "one.doc_id", "one.text_hash", "sig")
+        .agg(one, F.first("sig").alias("sig"), F.count("*").alias("copies"))
+        .select("key", "one.doc_id", "one.text_hash", "sig", "copies")
         .withColumn("cid", F.monotonically_increasing_id())
     )
     regions = classes.select("cid", "sig").mapInArrow(_orders, "tree int, region long, cid long")
@@ -297,12 +298,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
     links = links.select(F.coalesce("a_group", "a").alias("a"), F.coalesce("b_group", "b").alias("b"))
     second = components(links)
     second = second.select(F.col("node").alias("group"), F.col("root").alias("later"))
-    roots = classes.select("key", "cid").join(groups, "cid", "left").withColumn("group", F.coalesce("group", "cid"))
-    roots = roots.join(second, "group", "left").select("key", F.coalesce("later", "group").alias("root"))
-    placed = stored(rows.select("doc_id", "n_shingles", "key").join(roots, "key", "left"))
-    least = placed.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = placed.join(least, "root", "left")
-    component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    roots = classes.select("key", "cid", "doc_id", "copies").join(groups, "cid", "left")
+    roots = roots.withColumn("group", F.coalesce("group", "cid")).join(second, "group", "left")
+    roots = stored(roots.select("key", "doc_id", "copies", F.coalesce("later", "group").alias("root")))
+    least = stored(roots.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("classes")))
+    known = stored(join_unique(roots.drop("doc_id"), least, "root", "classes").drop("root"))
+    discard(members, sets, order, roots, least)
+    out = join_unique(rows.select("doc_id", "n_shingles", "key"), known, "key", "copies")
+    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )

@@ -20,6 +20,7 @@ from eventspark.llm import (
     chat,
     embedding_tiles,
     graph,
+    joins,
     line_dedup,
     minhash_forest,
     packing,
@@ -272,6 +273,54 @@ def test_boilerplate_is_relative_to_the_host(spark):
     assert line_dedup.without_boilerplate(docs(spark, [])).count() == 0
 
 
+def sites(spark, n=110):
+    """A site of ``n`` pages with a menu; ten of them are copies of one text. Helper names of the operator are columns."""
+    rows = [(i, f"menu\nown {i}\nfoot") for i in range(n - 10)] + [(1000 + i, "menu\nthe copied\ntext") for i in range(10)]
+    named = {c: F.lit(c) for c in ("drops", "of", "gone", "kept", "kept_lines", "host", "digest", "line", "page", "id")}
+    return docs(spark, rows).withColumns(named)
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_copies_keep_their_text_and_columns_stay(spark, monkeypatch, most):
+    monkeypatch.setattr(line_dedup, "BROADCAST", most)
+    frame = sites(spark)
+    out = line_dedup.without_boilerplate(frame)
+    assert set(out.columns) == {*frame.columns, "n_lines", "n_dropped"}
+    got = {x.doc_id: x for x in out.collect()}
+    assert len(got) == 110 and got[5].text == "own 5" and all(x.of == "of" and x.kept_lines == "kept_lines" for x in got.values())
+    assert all(got[1000 + i].text == "the copied\ntext" and got[1000 + i].n_dropped == 1 for i in range(10))
+    null = frame.withColumn("source", F.lit(None).cast("string"))
+    assert {x.text for x in line_dedup.without_boilerplate(null).filter("doc_id < 3").collect()} == {"own 0", "own 1", "own 2"}
+
+
+def test_rows_with_one_copy_of_are_one_page(spark):
+    rows = [(i, f"menu\nown {i}") for i in range(20)] + [(100 + i, f"same\nlast {i}") for i in range(20)] + [(None, "same\nx")]
+    same = spark.createDataFrame([(100 + i, 100) for i in range(20)], "doc_id long, copy_of long")
+    got = {x.doc_id: x.text for x in line_dedup.without_boilerplate(docs(spark, rows), copies=same).collect()}
+    assert got[3] == "own 3" and got[107] == "same\nlast 7" and got[None] == "same\nx"
+    plain = {x.doc_id: x.text for x in line_dedup.without_boilerplate(docs(spark, rows)).collect()}
+    assert plain[107] == "last 7" and plain[None] == "x"
+
+
+def test_texts_stay_where_they_are(spark, capsys):
+    frame = spark.read.parquet(f"{DIR}/documents.parquet")
+    line_dedup.without_boilerplate(frame).explain("formatted")
+    plan = capsys.readouterr().out
+    moved = [x for x in plan.split("\n\n") if "Exchange" in x.split("\n")[0] and "Broadcast" not in x.split("\n")[0]]
+    assert not any("text#" in x for x in moved)
+
+
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_join_of_hot_keys(spark, monkeypatch, hot):
+    monkeypatch.setattr(joins, "HOT", hot)
+    monkeypatch.setattr(joins, "BROADCAST", 2)
+    rows = [(i, k) for i, k in enumerate([1] * 50 + [2] * 9 + [3] * 5 + [4, 5] + [None] * 30)]
+    frame = spark.createDataFrame(rows, "i long, k long")
+    facts = spark.createDataFrame([(1, "a", 50), (2, "b", 9), (3, "c", 5), (4, None, 1), (6, "z", 0)], "k long, v string, n long")
+    got = {x.i: x.v for x in joins.join_unique(frame, facts, "k", "n").collect()}
+    assert got == {i: {1: "a", 2: "b", 3: "c"}.get(k) for i, k in rows}
+
+
 # --- 6: weak labels ---------------------------------------------------------------------------------------------------
 
 

@@ -96,6 +96,26 @@ def test_deepened_regions_miss_few_pairs():
     assert all((1 - (p / 100) ** minhash_forest.deepest(p)) ** minhash_forest.TREES < 6e-4 for p in range(80, 101))
 
 
+@pytest.mark.parametrize("n", range(4))
+def test_stages_on_odd_tables(spark, n):
+    """Null ids and texts, empty texts, repeated rows, and columns named as the stages' helpers; and no rows at all."""
+    good = "In the end the house was quiet, and the people of the town said that it would be a long winter for all of them."
+    rows = [(1, None), (2, ""), (3, good), (3, good), (None, good + " x"), (None, None), (5, "a\n\n" + good)]
+    docs = spark.createDataFrame([(i, t, "en", None, 1, *"abcdef") for i, t in rows], (
+        "doc_id long, text string, lang string, source string, n_chars long, kept_id string, found_id string, "
+        "copy_of string, kept string, doc_id_of string, component_id string"
+    ))
+    for frame in (docs, docs.limit(0)):
+        out = corpus_pipeline.STAGES[n][1](spark, frame, DIR)
+        assert out.columns == docs.columns
+        ids = sorted(repr(r.doc_id) for r in out.collect())
+        assert set(ids) <= {repr(r.doc_id) for r in frame.collect()}
+        if frame is docs:
+            # the rules and the classifier reject empty texts; document 5 is a near copy of 3
+            want = ["1", "2"] * (n >= 2) + ["3", "3"] + ["5"] * (n < 3) + ["None", "None"]
+            assert ids == want
+
+
 def plain_components(texts):
     """Document -> smallest document it is linked with, by all pairs of five-word shingle sets at 80 %."""
     sets = {}
