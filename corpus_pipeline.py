@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventspark.llm import line_dedup, minhash_forest, packing, quality_rules, weak_quality
 from eventspark.llm.queries import WORD_BPE
-from eventspark.llm.session import stored
+from eventspark.llm.session import fresh, stored
 
 #: Documents of the pipeline are near copies from this Jaccard similarity of their five-word shingles on (percent).
 NEAR = 80
@@ -17,10 +17,20 @@ NEAR = 80
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+#: Ids of documents to leave out that are broadcast at most; more are joined by a shuffle.
+BROADCAST = 100_000
+
+
 def _only(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The documents whose verdict is ``kept``; doc_id identifies a document (rows without one are judged together)."""
-    kept = verdicts.filter("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(docs.columns)
+    name = fresh("doc_id_of", docs)
+    judged = verdicts.groupBy(F.col("doc_id").alias(name)).agg(F.bool_or("kept").alias("kept"))
+    judged = stored(judged)
+    gone = judged.filter("not kept").select(name)
+    same = F.col("doc_id").eqNullSafe(F.col(name))
+    if gone.count() <= BROADCAST:
+        return docs.join(F.broadcast(gone), same, "left_anti")
+    return docs.join(judged.filter("kept").select(name), same, "left_semi")
 
 
 def rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +48,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     which of them stays is for the next stage. Rows without a doc_id are one page where their texts are equal.
     """
     found = minhash_forest.near_duplicates(docs, percent=NEAR).filter("doc_id is not null")
-    found = stored(found.groupBy(F.col("doc_id").alias("found_id")).agg(F.min("component_id").alias("copy_of")))
-    pages = docs.join(found, F.col("doc_id") == F.col("found_id"), "left")
-    pages = pages.withColumn("copy_of", F.coalesce("copy_of", F.xxhash64("text")))
-    cleaned = line_dedup.without_boilerplate(pages, copies="copy_of")
+    found = found.select("doc_id", F.col("component_id").alias("copy_of"))
+    cleaned = line_dedup.without_boilerplate(docs, copies=found)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
