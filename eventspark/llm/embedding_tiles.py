@@ -2,9 +2,10 @@
 
 Vectors are scaled to unit length and rounded to 8 bits with a scale of their own. For x = s*q + e the product of two
 vectors differs from the quantised one by no more than |s*q||e'| + |e| (Cauchy-Schwarz), so most pairs are decided by the
-tile product alone; only pairs whose upper bound reaches the threshold are computed again in double precision. Equal
-vectors are one class with a count. A tile returns, per vector, how many vectors it is linked with, and a spanning forest of
-the links, never the pairs. Every pair of classes is in exactly one tile.
+tile product alone; only pairs whose upper bound reaches the threshold are computed again in double precision. The terms of
+the bound are two more components of the tile's matrices: one product and one comparison decide a pair. Equal vectors are
+one class with a count. A tile returns, per vector, how many vectors it is linked with, and a spanning forest of the links,
+never the pairs. Every pair of classes is in exactly one tile.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventspark.llm.graph import components
-from eventspark.llm.session import ready, stored, tasks
+from eventspark.llm.joins import join_unique
+from eventspark.llm.session import discard, ready, stored, tasks
 
-BLOCK, SUB = 4096, 512
-#: Room for the rounding of double (and of exact float32) arithmetic in the bounds.
-SLACK = 1e-9
+#: Rows of a block at most and at least, as far as there are enough tasks, and rows compared at once.
+BLOCK, LEAST, SUB = 16384, 1024, 1024
 
 
 def _units(vectors: list) -> np.ndarray:
@@ -38,17 +39,23 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return q, scale, np.sqrt((back * back).sum(axis=1)), np.sqrt(((x - back) ** 2).sum(axis=1))
 
 
+def bounds(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Matrices whose products of rows are upper bounds of the rows' cosines, and the room their float32 sums need."""
+    q, scale, length, error = quantised(x)
+    back = q * scale[:, None]
+    left = np.concatenate([back, length[:, None], error[:, None]], axis=1)
+    right = np.concatenate([back, error[:, None], np.ones((len(x), 1))], axis=1)
+    # rounding to float32 and summing so many products, whose absolute values sum up to 8 at most
+    return left.astype(np.float32), right.astype(np.float32), (left.shape[1] + 8) * 2.0**-21
+
+
 def linked_pairs(x: np.ndarray, i: slice, j: slice, parts: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of the pairs of two slices with cosine >= threshold (of one slice with itself: i < j)."""
-    q, scale, length, error = parts
-    # products of int8 values are whole numbers below 2**24 for up to 1,040 dimensions: exact in float32, in any order
-    kind = np.float32 if q.shape[1] * 127 * 127 < 1 << 24 else np.float64
-    upper = (q[i].astype(kind) @ q[j].astype(kind).T) * scale[i, None] * scale[None, j]
-    upper += length[i, None] * error[None, j] + error[i, None]
-    maybe = upper >= threshold - SLACK
+    left, right, room = parts
+    maybe = left[i] @ right[j].T >= np.float32(threshold - room)
     if i == j:
         maybe = np.triu(maybe, 1)
-    a, b = np.nonzero(maybe)
+    a, b = np.divmod(np.flatnonzero(maybe), maybe.shape[1])
     a, b = a + i.start, b + j.start
     hit = np.empty(len(a), dtype=bool)
     for k in range(0, len(a), 1 << 14):
@@ -63,7 +70,7 @@ def _tile(threshold: float):
         cid, block = table.column("cid").to_numpy(), table.column("block").to_numpy()
         copies = table.column("copies").to_numpy()
         x = _units(table.column("vector").to_pylist())
-        parts = quantised(x)
+        parts = bounds(x)
         left, right = (x.as_py() for x in key)
         split = int(np.searchsorted(block, right)) if left != right else len(cid)
         cut = lambda lo, hi: [slice(k, min(k + SUB, hi)) for k in range(lo, hi, SUB)]
@@ -119,19 +126,23 @@ def near_vectors(
     columns are ignored. An empty table gives no rows.
     """
     spark = ready(vectors.sparkSession)
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
+    kind = vectors.schema[vector].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast(kind).alias("vector"))
     finite = F.forall("vector", lambda v: F.coalesce(F.abs(v) < F.lit(math.inf), F.lit(False)))
     good = F.coalesce(finite & F.exists("vector", lambda v: v != 0), F.lit(False))
-    rows = rows.withColumn("vector", F.when(good, F.col("vector")))
-    classes = stored(
-        rows.filter("vector is not null")
-        .groupBy("vector")
-        .agg(F.count("*").alias("copies"))
-        .withColumn("cid", F.monotonically_increasing_id())
-    )
-    # blocks of about ``block`` classes of one dimension
-    sizes = classes.groupBy(F.size("vector").alias("dim")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = classes.withColumn("dim", F.size("vector")).join(sizes, "dim")
+    # 128 bits stand for a vector; a component of -0.0 equals 0.0
+    plain = F.transform("vector", lambda v: F.when(v == 0, F.lit(0.0)).otherwise(v))
+    mark = F.struct(F.xxhash64(plain).alias("a"), F.xxhash64(F.lit("b"), plain).alias("b"))
+    rows = rows.withColumn("mark", F.when(good, mark))
+    found = rows.filter("mark is not null").groupBy("mark").agg(F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    classes = stored(found.withColumn("cid", F.monotonically_increasing_id()))
+    # blocks of classes of one dimension: few, as each vector is sent to as many tiles, but enough for all tasks
+    enough = math.ceil(math.sqrt(6 * tasks(spark)))
+    count = F.count("*")
+    blocks = F.greatest(F.ceil(count / block), F.least(F.lit(enough), F.ceil(count / LEAST))).cast("int")
+    sizes = classes.groupBy(F.size("vector").alias("dim")).agg(blocks.alias("blocks"))
+    dealt = classes.repartition(tasks(spark)).withColumn("dim", F.size("vector")).join(F.broadcast(sizes), "dim")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     mates = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
@@ -148,15 +159,14 @@ def near_vectors(
     counts = found.filter("links is not null").groupBy("cid").agg(F.sum("links").alias("links"))
     joined = components(found.filter("other is not null").select(F.col("cid").alias("a"), F.col("other").alias("b")))
     joined = joined.select(F.col("node").alias("cid"), "root")
-    info = classes.join(counts, "cid", "left").join(joined, "cid", "left")
-    info = info.select(
-        "vector",
-        F.coalesce("root", "cid").alias("root"),
-        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-    )
-    placed = stored(rows.join(info, "vector", "left").select("vec_id", "n_links", "root"))
-    least = placed.filter("root is not null").groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    out = placed.join(least, "root", "left")
+    info = classes.select("mark", "cid", "copies").join(counts, "cid", "left").join(joined, "cid", "left")
+    n_links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
+    info = stored(info.select("mark", "copies", F.coalesce("root", "cid").alias("root"), n_links.alias("n_links")))
+    placed = stored(join_unique(rows.select("vec_id", "mark"), info, "mark", "copies").drop("mark"))
+    least = placed.filter("root is not null").groupBy("root")
+    least = stored(least.agg(F.min("vec_id").alias("component_id"), F.count("*").alias("members")))
+    discard(classes, found, info)
+    out = join_unique(placed, least, "root", "members")
     component = F.when(F.col("root").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")

@@ -448,6 +448,7 @@ def test_bounds_hold_and_links_are_exact(spark):
     x[7] = x[3]
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     bad = [(1000, None), (1001, []), (1002, [0.0] * 16), (1003, [1.0, None] * 8), (1004, [math.nan] * 16), (1005, [math.inf] * 16)]
+    bad += [(None, [1.0, 5.0, 7.0]), (None, None)]
     bad += [(1006, [1.0, 2.0]), (1007, [2.0, 4.0])]
     frame = spark.createDataFrame(rows + bad + [(7, rows[7][1])], "vec_id long, embedding array<float>")
     frame = frame.withColumns({"vector": F.lit("v"), "cid": F.lit(1), "links": F.lit(2)})
@@ -464,6 +465,8 @@ def test_bounds_hold_and_links_are_exact(spark):
             break
         label = new
     want = sorted((i, int(near[k].sum()), int(label[k])) for k, (i, _) in enumerate(all_rows))
+    assert [tuple(g) for g in got if g.vec_id is None] == [(None, 0, None, True)] * 2
+    got = [g for g in got if g.vec_id is not None]
     mine = sorted(tuple(g)[:3] for g in got if g.vec_id < 1000)
     assert mine == want
     assert {g.vec_id: (g.n_links, g.component_id) for g in got if g.vec_id >= 1000} == {
@@ -472,4 +475,7 @@ def test_bounds_hold_and_links_are_exact(spark):
     q, scale, length, error = embedding_tiles.quantised(y)
     gap = np.abs(y @ y.T - (q.astype(float) @ q.astype(float).T) * np.outer(scale, scale))
     assert (gap <= np.outer(length, error) + error[:, None] + 1e-12).all()
+    left, right, room = embedding_tiles.bounds(y)
+    assert ((left @ right.T).astype(float) + room >= y @ y.T).all()
+    assert ((left @ right.T).astype(float) - y @ y.T).max() < 0.05
     assert embedding_tiles.near_vectors(frame.limit(0)).count() == 0
