@@ -138,28 +138,36 @@ def _muon_btag_limit(x: Column, c: LeptonCuts) -> Column:
     return t * c.btag_loose + (1 - t) * c.btag_medium
 
 
-def muons(df: DataFrame, c: LeptonCuts = DEFAULT.leptons) -> DataFrame:
-    """Loose, fakeable and tight muons, hardest cone-pt first."""
-    loose = coll.select(
-        F.col("Muon"),
-        lambda x: ops.all_of(
-            at_least(x["pt"], c.muon_pt), F.abs(x["eta"]) <= c.muon_eta, _near_vertex(x, c), x["looseId"]
-        ),
-    )
-    stamped = _stamped(loose, lambda x: muon_conept(x, c))
-    df = df.withColumn("muons", coll.sort(stamped, lambda x: x["conept"], desc=True))
-    fakeable = lambda x: at_least(x["conept"], c.conept_min) & (
+def loose_muon(x: Column, c: LeptonCuts) -> Column:
+    return ops.all_of(at_least(x["pt"], c.muon_pt), F.abs(x["eta"]) <= c.muon_eta, _near_vertex(x, c), x["looseId"])
+
+
+def fakeable_muon(x: Column, c: LeptonCuts) -> Column:
+    return at_least(x["conept"], c.conept_min) & (
         _jet_btag_at_most(x, c.btag_medium)
         | ((x["jetRelIso"] < c.muon_fake_rel_iso) & (x["jetBtag"].isNull() | (x["jetBtag"] < _muon_btag_limit(x, c))))
     )
-    tight = lambda x: ops.all_of(
+
+
+def tight_muon(x: Column, c: LeptonCuts) -> Column:
+    return ops.all_of(
         at_least(x["conept"], c.conept_min),
         _jet_btag_at_most(x, c.btag_medium),
         at_least(x["mvaTTH"], c.muon_mva),
         x["mediumId"],
     )
+
+
+def muons(df: DataFrame, c: LeptonCuts = DEFAULT.leptons) -> DataFrame:
+    """Loose, fakeable and tight muons, hardest cone-pt first."""
+    loose = coll.select(F.col("Muon"), lambda x: loose_muon(x, c))
+    stamped = _stamped(loose, lambda x: muon_conept(x, c))
+    df = df.withColumn("muons", coll.sort(stamped, lambda x: x["conept"], desc=True))
     return df.withColumns(
-        {"fake_muons": coll.select(F.col("muons"), fakeable), "tight_muons": coll.select(F.col("muons"), tight)}
+        {
+            "fake_muons": coll.select(F.col("muons"), lambda x: fakeable_muon(x, c)),
+            "tight_muons": coll.select(F.col("muons"), lambda x: tight_muon(x, c)),
+        }
     )
 
 
@@ -177,36 +185,40 @@ def _electron_quality(x: Column, c: LeptonCuts) -> Column:
     )
 
 
+def loose_electron(x: Column, c: LeptonCuts) -> Column:
+    return ops.all_of(
+        at_least(x["pt"], c.electron_pt),
+        F.abs(x["eta"]) <= c.electron_eta,
+        _near_vertex(x, c),
+        x["lostHits"] <= c.electron_lost_hits,
+    )
+
+
+def fakeable_electron(x: Column, c: LeptonCuts) -> Column:
+    by_mva = F.when(x["mvaTTH"] < c.electron_mva, _jet_btag_at_most(x, c.btag_tight)).otherwise(
+        _jet_btag_at_most(x, c.btag_medium)
+    )
+    return ops.all_of(
+        _electron_quality(x, c),
+        at_least(x["mvaTTH"], c.electron_mva) | ((x["jetRelIso"] < c.electron_fake_rel_iso) & x["mvaNoIso_WP90"]),
+        by_mva,
+    )
+
+
+def tight_electron(x: Column, c: LeptonCuts) -> Column:
+    return ops.all_of(_electron_quality(x, c), at_least(x["mvaTTH"], c.electron_mva), _jet_btag_at_most(x, c.btag_medium))
+
+
 def electrons(df: DataFrame, c: LeptonCuts = DEFAULT.leptons) -> DataFrame:
     """Loose, muon-cleaned, fakeable and tight electrons, hardest cone-pt first; needs :func:`muons` first."""
-    loose = coll.select(
-        F.col("Electron"),
-        lambda x: ops.all_of(
-            at_least(x["pt"], c.electron_pt),
-            F.abs(x["eta"]) <= c.electron_eta,
-            _near_vertex(x, c),
-            x["lostHits"] <= c.electron_lost_hits,
-        ),
-    )
+    loose = coll.select(F.col("Electron"), lambda x: loose_electron(x, c))
     stamped = _stamped(loose, lambda x: electron_conept(x, c))
     df = df.withColumn("electrons", coll.sort(stamped, lambda x: x["conept"], desc=True))
     df = df.withColumn("clean_electrons", coll.clean(F.col("electrons"), F.col("muons"), c.clean_dr))
-    by_mva = lambda x: F.when(
-        x["mvaTTH"] < c.electron_mva, _jet_btag_at_most(x, c.btag_tight)
-    ).otherwise(_jet_btag_at_most(x, c.btag_medium))
-    fakeable = lambda x: ops.all_of(
-        _electron_quality(x, c),
-        at_least(x["mvaTTH"], c.electron_mva)
-        | ((x["jetRelIso"] < c.electron_fake_rel_iso) & x["mvaNoIso_WP90"]),
-        by_mva(x),
-    )
-    tight = lambda x: ops.all_of(
-        _electron_quality(x, c), at_least(x["mvaTTH"], c.electron_mva), _jet_btag_at_most(x, c.btag_medium)
-    )
     return df.withColumns(
         {
-            "fake_electrons": coll.select(F.col("clean_electrons"), fakeable),
-            "tight_electrons": coll.select(F.col("clean_electrons"), tight),
+            "fake_electrons": coll.select(F.col("clean_electrons"), lambda x: fakeable_electron(x, c)),
+            "tight_electrons": coll.select(F.col("clean_electrons"), lambda x: tight_electron(x, c)),
         }
     )
 
@@ -214,22 +226,23 @@ def electrons(df: DataFrame, c: LeptonCuts = DEFAULT.leptons) -> DataFrame:
 # --- taus --------------------------------------------------------------------------------------------------------
 
 
+def good_tau(x: Column, c: TauCuts) -> Column:
+    return ops.all_of(
+        above(x["pt"], c.pt),
+        F.abs(x["eta"]) < c.eta,
+        F.abs(x["dxy"]) <= c.dxy,
+        F.abs(x["dz"]) <= c.dz,
+        x["idDecayModeOldDMs"],
+        x["decayMode"].isin(*c.decay_modes),
+        ops.bit(x["idDeepTau2017v2p1VSjet"], c.jet_bit),
+        ops.bit(x["idDeepTau2017v2p1VSe"], c.electron_bit),
+        ops.bit(x["idDeepTau2017v2p1VSmu"], c.muon_bit),
+    )
+
+
 def taus(df: DataFrame, c: TauCuts = DEFAULT.taus) -> DataFrame:
     """Hadronic taus away from fakeable leptons."""
-    good = coll.select(
-        F.col("Tau"),
-        lambda x: ops.all_of(
-            above(x["pt"], c.pt),
-            F.abs(x["eta"]) < c.eta,
-            F.abs(x["dxy"]) <= c.dxy,
-            F.abs(x["dz"]) <= c.dz,
-            x["idDecayModeOldDMs"],
-            x["decayMode"].isin(*c.decay_modes),
-            ops.bit(x["idDeepTau2017v2p1VSjet"], c.jet_bit),
-            ops.bit(x["idDeepTau2017v2p1VSe"], c.electron_bit),
-            ops.bit(x["idDeepTau2017v2p1VSmu"], c.muon_bit),
-        ),
-    )
+    good = coll.select(F.col("Tau"), lambda x: good_tau(x, c))
     off_electrons = coll.clean(good, F.col("fake_electrons"), c.clean_dr)
     return df.withColumn("taus", coll.clean(off_electrons, F.col("fake_muons"), c.clean_dr))
 
@@ -243,52 +256,68 @@ def lead_leptons(df: DataFrame, channel: str) -> DataFrame:
     return df.withColumn("lead_leptons", leading(F.col("fake_electrons"), F.col("fake_muons")))
 
 
+def good_jet(x: Column, c: JetCuts) -> Column:
+    return ops.all_of(
+        x["jetId"].bitwiseAND(F.lit(c.jet_id_mask)) != 0, at_least(x["pt"], c.pt), F.abs(x["eta"]) <= c.eta
+    )
+
+
+def b_jet(x: Column, c: JetCuts) -> Column:
+    return above(x["btagDeepFlavB"], c.btag)
+
+
 def jets(df: DataFrame, c: JetCuts = DEFAULT.jets) -> DataFrame:
     """Small jets by pt, the same by b-tag score, and b jets; needs :func:`lead_leptons` first."""
-    good = coll.select(
-        F.col("Jet"),
-        lambda x: ops.all_of(
-            x["jetId"].bitwiseAND(F.lit(c.jet_id_mask)) != 0, at_least(x["pt"], c.pt), F.abs(x["eta"]) <= c.eta
-        ),
-    )
+    good = coll.select(F.col("Jet"), lambda x: good_jet(x, c))
     by_pt = coll.sort(good, lambda x: x["pt"], desc=True)
     df = df.withColumn("ak4_jets", coll.keep_apart(by_pt, F.col("lead_leptons"), c.clean_dr))
     return df.withColumns(
         {
             "ak4_jets_by_btag": coll.sort(F.col("ak4_jets"), lambda x: x["btagDeepFlavB"], desc=True),
-            "ak4_bjets": coll.select(F.col("ak4_jets"), lambda x: above(x["btagDeepFlavB"], c.btag)),
+            "ak4_bjets": coll.select(F.col("ak4_jets"), lambda x: b_jet(x, c)),
         }
     )
 
 
+def good_fat_jet(x: Column, c: JetCuts) -> Column:
+    return ops.all_of(
+        at_least(x["pt"], c.fat_pt),
+        F.abs(x["eta"]) <= c.fat_eta,
+        x["jetId"].bitwiseAND(F.lit(c.jet_id_mask)) != 0,
+        at_least(x["msoftdrop"], c.softdrop[0]) & (x["msoftdrop"] <= c.softdrop[1]),
+        F.try_divide(x["tau2"], x["tau1"]) <= c.tau21,
+    )
+
+
+def good_sub_jets(x: Column, c: JetCuts) -> Column:
+    good = lambda s: s.isNotNull() & at_least(s["pt"], c.sub_pt) & (F.abs(s["eta"]) <= c.sub_eta)
+    return good(x["subJet1"]) & good(x["subJet2"])
+
+
+def b_fat_jet(x: Column, c: JetCuts) -> Column:
+    tagged = lambda s: at_least(s["pt"], c.fat_btag_pt) & above(s["btagDeepB"], c.fat_btag)
+    return tagged(x["subJet1"]) | tagged(x["subJet2"])
+
+
+def fat_key(channel: str) -> str:
+    """Field by which the fat jets of a channel are sorted."""
+    return "pt" if channel == "DL" else "btagDeepB"
+
+
 def fat_jets(df: DataFrame, channel: str, c: JetCuts = DEFAULT.jets) -> DataFrame:
     """Fat jets with their sub-jets attached, b-tagged fat jets and small jets away from the leading one.
 
     Sorted by pt for channel DL and by b-tag score for SL; needs :func:`jets` first.
     """
-    own = coll.select(
-        F.col("FatJet"),
-        lambda x: ops.all_of(
-            at_least(x["pt"], c.fat_pt),
-            F.abs(x["eta"]) <= c.fat_eta,
-            x["jetId"].bitwiseAND(F.lit(c.jet_id_mask)) != 0,
-            at_least(x["msoftdrop"], c.softdrop[0]) & (x["msoftdrop"] <= c.softdrop[1]),
-            F.try_divide(x["tau2"], x["tau1"]) <= c.tau21,
-        ),
-    )
+    own = coll.select(F.col("FatJet"), lambda x: good_fat_jet(x, c))
     sub = lambda x, which: coll.follow(F.col("SubJet"), x[f"{which}Idx"])
     attached = F.transform(
         own, lambda x: x.withField("subJet1", sub(x, "subJet1")).withField("subJet2", sub(x, "subJet2"))
     )
-    sub_ok = lambda s: s.isNotNull() & at_least(s["pt"], c.sub_pt) & (F.abs(s["eta"]) <= c.sub_eta)
-    good = coll.select(attached, lambda x: sub_ok(x["subJet1"]) & sub_ok(x["subJet2"]))
-    key = "pt" if channel == "DL" else "btagDeepB"
-    ordered = coll.sort(good, lambda x: x[key], desc=True)
+    good = coll.select(attached, lambda x: good_sub_jets(x, c))
+    ordered = coll.sort(good, lambda x: x[fat_key(channel)], desc=True)
     df = df.withColumn("ak8_jets", coll.keep_apart(ordered, F.col("lead_leptons"), c.fat_clean_dr))
-    tagged = lambda s: at_least(s["pt"], c.fat_btag_pt) & above(s["btagDeepB"], c.fat_btag)
-    df = df.withColumn(
-        "ak8_bjets", coll.select(F.col("ak8_jets"), lambda x: tagged(x["subJet1"]) | tagged(x["subJet2"]))
-    )
+    df = df.withColumn("ak8_bjets", coll.select(F.col("ak8_jets"), lambda x: b_fat_jet(x, c)))
     return df.withColumn("ak4_away", far_from(F.col("ak4_jets"), coll.at(F.col("ak8_bjets"), 0), c.away_dr))
 
 

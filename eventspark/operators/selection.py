@@ -106,15 +106,23 @@ def _paired(cut):
     return lambda a, b: _opposite(a, b) & cut(kin.inv_mass(a, b))
 
 
+def low_mass_pair(limit: float = LOW_MASS) -> coll.PairPredicate:
+    return _paired(lambda x: x < limit)
+
+
+def z_pair(mass: float = Z_MASS, window: float = Z_WINDOW) -> coll.PairPredicate:
+    return _paired(lambda x: F.abs(x - mass) <= window)
+
+
 def no_low_mass(e: Column, m: Column, limit: float = LOW_MASS) -> Column:
     """No opposite-charge pair of any flavour below ``limit``."""
-    low = _paired(lambda x: x < limit)
+    low = low_mass_pair(limit)
     return ~(coll.any_pair(e, low) | coll.any_pair(m, low) | coll.any_cross(e, m, low))
 
 
 def no_z(e: Column, m: Column, mass: float = Z_MASS, window: float = Z_WINDOW) -> Column:
     """No opposite-charge pair of one flavour within ``window`` of ``mass``."""
-    near = _paired(lambda x: F.abs(x - mass) <= window)
+    near = z_pair(mass, window)
     return ~(coll.any_pair(e, near) | coll.any_pair(m, near))
 
 
@@ -146,14 +154,18 @@ DL_FLAVOURS = {
 DL_PAIRS = {"ee": "ee", "mumu": "mm", "emu": "em"}
 
 
-def dl_columns(df: DataFrame) -> DataFrame:
-    """Pairs the two-lepton selections read."""
-    df = with_vetoes(lepton_pairs(df, "tight_electrons", "tight_muons"))
+def mixed_by_pt(df: DataFrame) -> DataFrame:
+    """Leptons of the first mixed pair by pt."""
     mixed = F.col("first_em")
     lead, sub = ops.lead_sub(kin.four_vector(mixed["l1"]), kin.four_vector(mixed["l2"]))
     return df.withColumns({"em_lead": lead, "em_sub": sub})
 
 
+def dl_columns(df: DataFrame) -> DataFrame:
+    """Pairs the two-lepton selections read."""
+    return mixed_by_pt(with_vetoes(lepton_pairs(df, "tight_electrons", "tight_muons")))
+
+
 def dl_selections(base: Selection) -> list[Selection]:
     """Boosted and resolved selections for ee, mumu and emu."""
     low, z = F.col("ok_low"), F.col("ok_z")

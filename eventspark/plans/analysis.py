@@ -95,12 +95,16 @@ def channel(
     score: Column | None = None,
     cuts: Cuts = DEFAULT,
     vary: Callable[[DataFrame], DataFrame] | None = None,
+    more: DataFrame | None = None,
 ) -> Channel:
     """Objects and selections of channel ``DL`` or ``SL`` for already triggered and weighted events.
 
     ``vary`` may repeat the events with changed jets (see :func:`syst.object_variations`); the leptons, which do not
     depend on jet momenta, are built before it, once per event.
 
+    ``more`` has events with everything that selections and plots read already in it (see
+    :func:`crowded_objects.summary`); they are added before the selections, and only columns of both stay.
+
     With ``score`` (an expression over the derived collections) the two-lepton channel also gets the score categories
     and their plots.
     """
@@ -110,6 +114,9 @@ def channel(
     if vary is not None:
         found = vary(found)
     found = objects.fat_jets(objects.jets(found, cuts.jets), name, cuts.jets)
+    if more is not None:
+        both = [c for c in found.columns if c in more.columns]
+        found = found.select(both).unionByName(more.select(both))
     if name == "DL":
         chosen, drawn = selection.dl_selections(base), plots.dl_plots
         if score is not None:

@@ -1,7 +1,8 @@
 """Event frames derived from the order and line-item tables.
 
-One event is one order, whatever its size; its items are the order's lines. The
-``items`` frame has one simple collection; the ``collisions`` frame has the collections the object definitions read.
+One event is one order, whatever its size; its items are the order's lines. The ``items`` frame has one simple
+collection; the ``collisions`` frame has the collections the object definitions read. Each frame can leave out crowded
+orders, which the ``crowd_of_..`` functions give as rows.
 """
 
 from __future__ import annotations
@@ -10,7 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventspark.functions import coll
+from eventspark.operators import crowded
 from eventspark.operators import nest as nesting
+from eventspark.operators.checkpoints import pinned
+from eventspark.operators.crowded_objects import Crowd
 from eventspark.sources import catalog as sample_catalog
 
 ITEM_ORDER = ["ln", "pk", "sk", "q", "price"]
@@ -85,12 +89,21 @@ def _header_columns() -> list[Column]:
     ]
 
 
-def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headers with their raw lines as an ordered array ``items``."""
+def crowded_orders(spark: SparkSession, sf_dir: str) -> DataFrame | None:
+    """Keys and sizes of the orders that are not nested."""
+    return crowded.crowded_keys(table(spark, sf_dir, "lineitem").select("l_orderkey"), "l_orderkey")
+
+
+def _ordinary(df: DataFrame, key: str, without: DataFrame | None) -> DataFrame:
+    return df if without is None else crowded.split(df, key, without, False)
+
+
+def nested(spark: SparkSession, sf_dir: str, without: DataFrame | None = None) -> DataFrame:
+    """Headers with their raw lines as an ordered array ``items``; the orders ``without`` are left out."""
     return nesting.nest(
-        headers(spark, sf_dir),
+        _ordinary(headers(spark, sf_dir), "o_orderkey", without),
         "o_orderkey",
-        raw_items(spark, sf_dir),
+        _ordinary(raw_items(spark, sf_dir), "l_orderkey", without),
         "l_orderkey",
         ITEM_ORDER,
         list(ITEM_FIELDS),
@@ -109,34 +122,33 @@ def _ref(r: Column, at: Column, size: Column) -> Column:
     return F.when((at >= 0) & (at < size), at).otherwise(-1)
 
 
-def _simple_items() -> Column:
-    kind = lambda r: F.when(r["rf"] == "R", "electron").when(r["rf"] == "A", "muon").otherwise("jet")
-    return F.transform(
-        "items",
-        lambda r, i: F.struct(
-            i.alias("idx"),
-            kind(r).alias("kind"),
-            r["q"].alias("pt"),
-            *_axis(r),
-            r["tax"].alias("mass"),
-            _charge(r).alias("charge"),
-            (r["price"] / 105000.0).alias("btag"),
-            r["sk"].alias("mask"),
-            _ref(r, r["ln"] - 1, F.size("items")).alias("ref"),
-        ),
+def _simple_item(r: Column, i: Column, size: Column) -> Column:
+    return F.struct(
+        i.alias("idx"),
+        F.when(r["rf"] == "R", "electron").when(r["rf"] == "A", "muon").otherwise("jet").alias("kind"),
+        r["q"].alias("pt"),
+        *_axis(r),
+        r["tax"].alias("mass"),
+        _charge(r).alias("charge"),
+        (r["price"] / 105000.0).alias("btag"),
+        r["sk"].alias("mask"),
+        _ref(r, r["ln"] - 1, size).alias("ref"),
     )
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _simple_items() -> Column:
+    return F.transform("items", lambda r, i: _simple_item(r, i, F.size("items")))
+
+
+def items(spark: SparkSession, sf_dir: str, without: DataFrame | None = None) -> DataFrame:
     """Events with one collection ``items`` of electrons, muons and jets."""
-    return nested(spark, sf_dir).withColumn("items", _simple_items())
+    return nested(spark, sf_dir, without).withColumn("items", _simple_items())
 
 
-def item_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+def item_lists(spark: SparkSession, sf_dir: str, without: DataFrame | None = None) -> DataFrame:
     """The collections alone (``o_orderkey, items``), for queries that need no event-level column."""
-    lists = nesting.nest_items(
-        raw_items(spark, sf_dir), "l_orderkey", ITEM_ORDER, list(ITEM_FIELDS)
-    )
+    lines = _ordinary(raw_items(spark, sf_dir), "l_orderkey", without)
+    lists = nesting.nest_items(lines, "l_orderkey", ITEM_ORDER, list(ITEM_FIELDS))
     return lists.withColumn("items", _simple_items()).withColumnRenamed("l_orderkey", "o_orderkey")
 
 
@@ -300,9 +312,11 @@ COLLECTIONS = {
 }
 
 
-def collisions(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = tuple(COLLECTIONS)) -> DataFrame:
+def collisions(
+    spark: SparkSession, sf_dir: str, names: tuple[str, ...] = tuple(COLLECTIONS), without: DataFrame | None = None
+) -> DataFrame:
     """Events with the collections the object definitions read; ``idx`` is the position in each collection."""
-    df = nested(spark, sf_dir)
+    df = nested(spark, sf_dir, without)
 
     def build(name: str) -> Column:
         make, keep = COLLECTIONS[name]
@@ -310,3 +324,44 @@ def collisions(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = tuple(
         return F.transform(lines, lambda r, i: make(r, F.size("items")).withField("idx", i))
 
     return df.select(*[c for c in df.columns if c != "items"], *[build(n).alias(n) for n in names])
+
+
+def _crowded_lines(spark: SparkSession, sf_dir: str, keys: DataFrame) -> DataFrame:
+    return crowded.split(raw_items(spark, sf_dir), "l_orderkey", keys, True).withColumnRenamed("l_orderkey", "o_orderkey")
+
+
+def _line_order() -> Column:
+    return F.struct(*ITEM_ORDER, *[f for f in ITEM_FIELDS if f not in ITEM_ORDER])
+
+
+def crowd_of_lists(spark: SparkSession, sf_dir: str, keys: DataFrame) -> Crowd:
+    """What :func:`item_lists` has, for the orders ``keys``, as rows."""
+    found = crowded.items_of(_crowded_lines(spark, sf_dir, keys), "o_orderkey", _line_order(), _simple_item).pinned()
+    return Crowd(keys.select(F.col(keys.columns[0]).alias("o_orderkey")), {"items": found})
+
+
+def _with_headers(spark: SparkSession, sf_dir: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    heads = pinned(crowded.split(headers(spark, sf_dir), "o_orderkey", keys, True))
+    return heads, heads.select("o_orderkey")
+
+
+def crowd_of_items(spark: SparkSession, sf_dir: str, keys: DataFrame) -> Crowd:
+    """What :func:`items` has, for the orders ``keys``, as rows."""
+    heads, own = _with_headers(spark, sf_dir, keys)
+    return Crowd(heads, crowd_of_lists(spark, sf_dir, own).collections)
+
+
+def crowd_of_collisions(
+    spark: SparkSession, sf_dir: str, keys: DataFrame, names: tuple[str, ...] = tuple(COLLECTIONS)
+) -> Crowd:
+    """What :func:`collisions` has, for the orders ``keys``, as rows."""
+    heads, own = _with_headers(spark, sf_dir, keys)
+    whole = lambda r, i, size: r.withField("idx", i).withField("size", size)
+    lines = crowded.items_of(_crowded_lines(spark, sf_dir, own), "o_orderkey", _line_order(), whole).pinned()
+
+    def build(name: str) -> crowded.Items:
+        make, keep = COLLECTIONS[name]
+        chosen = lines if keep is None else crowded.renumbered(lines.select(keep))
+        return chosen.mapped(lambda r: make(r, r["size"]).withField("idx", r["idx"]))
+
+    return Crowd(heads, {n: build(n) for n in names})
\ No newline at end of file

@@ -9,6 +9,7 @@ from eventspark.operators import events, mlprep
 from eventspark.operators.selection import Selection, with_flags
 from eventspark.plans import fixture as fx
 from eventspark.sources import catalog, events_io
+from suite.either import either
 from suite.registry import query
 from suite.sqlparts import dr, invm, with_ctes
 
@@ -124,8 +125,14 @@ def class_tag(spark, d):
     ),
 )
 def bit_test(spark, d):
-    rows = coll.rows(fx.item_lists(spark, d), "items", *KEYS)
-    return rows.select(*KEYS, "idx", *[ops.bit(F.col("mask"), b).alias(f"bit{b}") for b in (0, 3, 6)])
+    bits = lambda x: [ops.bit(x["mask"], b).alias(f"bit{b}") for b in (0, 3, 6)]
+    return either(
+        spark,
+        d,
+        fx.item_lists,
+        lambda ev: coll.rows(ev, "items", *KEYS).select(*KEYS, "idx", *bits({"mask": F.col("mask")})),
+        lambda c: c["items"].rows.select(*KEYS, "item.idx", *bits(F.col("item"))),
+    )
 
 
 @query(
@@ -138,10 +145,20 @@ def bit_test(spark, d):
 )
 def delta_r(spark, d):
     """Distance of every item to the first one of its event."""
+    return _to_first(spark, d, lambda a, b: r4(kin.delta_r(a, b)).alias("dr"))
+
+
+def _to_first(spark, d, value):
+    def finish(rows):
+        return rows.filter(F.col("item.idx") > 0).select(*KEYS, "item.idx", value(F.col("first"), F.col("item")))
+
     first = coll.at(F.col("items"), 0)
-    rows = fx.item_lists(spark, d).select(*KEYS, first.alias("first"), F.explode("items").alias("item"))
-    return rows.filter(F.col("item.idx") > 0).select(
-        *KEYS, "item.idx", r4(kin.delta_r(F.col("first"), F.col("item"))).alias("dr")
+    return either(
+        spark,
+        d,
+        fx.item_lists,
+        lambda ev: finish(ev.select(*KEYS, first.alias("first"), F.explode("items").alias("item"))),
+        lambda c: finish(c["items"].with_event(c["items"].first("first")).rows),
     )
 
 
@@ -154,11 +171,7 @@ def delta_r(spark, d):
     ),
 )
 def inv_mass(spark, d):
-    first = coll.at(F.col("items"), 0)
-    rows = fx.item_lists(spark, d).select(*KEYS, first.alias("first"), F.explode("items").alias("item"))
-    return rows.filter(F.col("item.idx") > 0).select(
-        *KEYS, "item.idx", F.round(kin.inv_mass(F.col("first"), F.col("item")), 3).alias("m")
-    )
+    return _to_first(spark, d, lambda a, b: F.round(kin.inv_mass(a, b), 3).alias("m"))
 
 
 @query(
@@ -170,9 +183,13 @@ def inv_mass(spark, d):
     ),
 )
 def pair_charge(spark, d):
-    a, b = coll.at(F.col("items"), 0), coll.at(F.col("items"), 1)
-    out = fx.item_lists(spark, d).select(*KEYS, kin.total_charge(a, b).alias("total_charge"))
-    return out.filter(F.col("total_charge").isNotNull())
+    def finish(rows, items):
+        total = kin.total_charge(coll.at(F.col(items), 0), coll.at(F.col(items), 1))
+        return rows.select(*KEYS, total.alias("total_charge")).filter(F.col("total_charge").isNotNull())
+
+    return either(
+        spark, d, fx.item_lists, lambda ev: finish(ev, "items"), lambda c: finish(c["items"].heads("heads"), "heads")
+    )
 
 
 @query(
@@ -190,20 +207,32 @@ def pair_charge(spark, d):
     ),
 )
 def lead_sublead(spark, d):
-    rows = fx.item_lists(spark, d).select(
-        *KEYS, coll.at(fx.of_kind("electron"), 0).alias("e"), coll.at(fx.of_kind("muon"), 0).alias("m")
-    )
-    lead, sub = ops.lead_sub(F.col("e"), F.col("m"))
-    out = rows.select(*KEYS, "e", "m", lead.alias("lead"), sub.alias("sub"))
-    return out.filter(F.col("e").isNotNull() & F.col("m").isNotNull()).select(
-        *KEYS,
-        F.col("lead.pt").alias("lead_pt"),
-        F.col("sub.pt").alias("sub_pt"),
-        r4(F.col("lead.eta")).alias("lead_eta"),
-        (F.col("e.pt") >= F.col("m.pt")).alias("electron_leads"),
+    def finish(rows):
+        lead, sub = ops.lead_sub(F.col("e"), F.col("m"))
+        out = rows.select(*KEYS, "e", "m", lead.alias("lead"), sub.alias("sub"))
+        return out.filter(F.col("e").isNotNull() & F.col("m").isNotNull()).select(
+            *KEYS,
+            F.col("lead.pt").alias("lead_pt"),
+            F.col("sub.pt").alias("sub_pt"),
+            r4(F.col("lead.eta")).alias("lead_eta"),
+            (F.col("e.pt") >= F.col("m.pt")).alias("electron_leads"),
+        )
+
+    return either(
+        spark,
+        d,
+        fx.item_lists,
+        lambda ev: finish(
+            ev.select(*KEYS, coll.at(fx.of_kind("electron"), 0).alias("e"), coll.at(fx.of_kind("muon"), 0).alias("m"))
+        ),
+        lambda c: finish(c.joined(_kind(c, "electron").first("e"), _kind(c, "muon").first("m"))),
     )
 
 
+def _kind(crowd, kind):
+    return crowd["items"].select(lambda x: x["kind"] == kind)
+
+
 # --- collections -----------------------------------------------------------------------------------------------
 
 
@@ -212,8 +241,14 @@ def lead_sublead(spark, d):
     with_ctes("SELECT o_orderkey, idx, pt FROM items WHERE pt >= 25 AND abs(eta) <= 2.4", "items"),
 )
 def coll_select(spark, d):
-    kept = coll.select(F.col("items"), lambda x: (x["pt"] >= 25) & (F.abs(x["eta"]) <= 2.4))
-    return fx.item_lists(spark, d).select(*KEYS, F.inline(kept)).select(*KEYS, "idx", "pt")
+    cut = lambda x: (x["pt"] >= 25) & (F.abs(x["eta"]) <= 2.4)
+    return either(
+        spark,
+        d,
+        fx.item_lists,
+        lambda ev: ev.select(*KEYS, F.inline(coll.select(F.col("items"), cut))).select(*KEYS, "idx", "pt"),
+        lambda c: c["items"].select(cut).rows.select(*KEYS, "item.idx", "item.pt"),
+    )
 
 
 @query(
@@ -231,7 +266,13 @@ def coll_map(spark, d):
         default=0.9 * x["pt"] * (1 + x["btag"]),
     )
     mapped = coll.with_field(F.col("items"), "conept", value)
-    return fx.item_lists(spark, d).select(*KEYS, F.inline(mapped)).select(*KEYS, "idx", "conept")
+    return either(
+        spark,
+        d,
+        fx.item_lists,
+        lambda ev: ev.select(*KEYS, F.inline(mapped)).select(*KEYS, "idx", "conept"),
+        lambda c: c["items"].mapped(lambda x: x.withField("conept", value(x))).rows.select(*KEYS, "item.idx", "item.conept"),
+    )
 
 
 @query(
@@ -243,9 +284,16 @@ def coll_map(spark, d):
     ),
 )
 def coll_sort(spark, d):
-    ordered = coll.sort(F.col("items"), lambda x: x["pt"], desc=True)
-    rows = fx.item_lists(spark, d).select(*KEYS, F.posexplode(ordered).alias("pos", "x"))
-    return rows.select(*KEYS, "x.idx", "pos")
+    by_pt = lambda x: x["pt"]
+    ordered = F.posexplode(coll.sort(F.col("items"), by_pt, desc=True)).alias("pos", "item")
+    finish = lambda rows: rows.select(*KEYS, "item.idx", "pos")
+    return either(
+        spark,
+        d,
+        fx.item_lists,
+        lambda ev: finish(ev.select(*KEYS, ordered)),
+        lambda c: finish(c["items"].sort(by_pt, desc=True).positions()),
+    )
 
 
 @query(
@@ -257,7 +305,15 @@ def coll_sort(spark, d):
     ),
 )
 def coll_any(spark, d):
-    return fx.items(spark, d).select(*KEYS, coll.any_(F.col("items"), lambda x: x["pt"] > 45).alias("has_hard"))
+    hard = lambda x: x["pt"] > 45
+    n = F.coalesce("n", F.lit(0))
+    return either(
+        spark,
+        d,
+        fx.items,
+        lambda ev: ev.select(*KEYS, coll.any_(F.col("items"), hard).alias("has_hard")),
+        lambda c: c.joined(c["items"].counts(n=hard(F.col("item")))).select(*KEYS, (n > 0).alias("has_hard")),
+    )
 
 
 @query(
@@ -272,7 +328,14 @@ def coll_any(spark, d):
 )
 def coll_size(spark, d):
     kinds = {"n_el": "electron", "n_mu": "muon", "n_jet": "jet"}
-    return fx.items(spark, d).select(*KEYS, *[coll.n(fx.of_kind(k)).alias(a) for a, k in kinds.items()])
+    counted = lambda c: c["items"].counts(**{n: F.col("item.kind") == k for n, k in kinds.items()})
+    return either(
+        spark,
+        d,
+        fx.items,
+        lambda ev: ev.select(*KEYS, *[coll.n(fx.of_kind(k)).alias(a) for a, k in kinds.items()]),
+        lambda c: c.joined(counted(c)).select(*KEYS, *[F.coalesce(n, F.lit(0)).cast("int").alias(n) for n in kinds]),
+    )
 
 
 @query(
@@ -285,12 +348,17 @@ def coll_size(spark, d):
     ),
 )
 def coll_at(spark, d):
-    return fx.items(spark, d).select(*KEYS, coll.at(F.col("items"), 2)["pt"].alias("third_pt"))
+    def third(c):
+        found = c["items"].positions().filter("pos = 2").select(*KEYS, F.col("item.pt").alias("third_pt"))
+        return c.joined(found).select(*KEYS, "third_pt")
 
+    return either(
+        spark, d, fx.items, lambda ev: ev.select(*KEYS, coll.at(F.col("items"), 2)["pt"].alias("third_pt")), third
+    )
 
-def _pair_rows(lists, pairs):
-    rows = lists.select(*KEYS, F.inline(pairs))
-    return rows.select(
+
+def _pair_rows(pairs):
+    return pairs.select(
         *KEYS,
         F.col("l1.idx").alias("i"),
         F.col("l2.idx").alias("j"),
@@ -312,8 +380,11 @@ def _opposite(a, b):
     ),
 )
 def os_pairs_same(spark, d):
-    lists = fx.item_lists(spark, d).withColumn("electrons", fx.of_kind("electron"))
-    return _pair_rows(lists, coll.pairs(F.col("electrons"), _opposite))
+    def nested(ev):
+        lists = ev.withColumn("electrons", fx.of_kind("electron"))
+        return _pair_rows(lists.select(*KEYS, F.inline(coll.pairs(F.col("electrons"), _opposite))))
+
+    return either(spark, d, fx.item_lists, nested, lambda c: _pair_rows(_kind(c, "electron").pairs(None, _opposite)))
 
 
 @query(
@@ -326,8 +397,13 @@ def os_pairs_same(spark, d):
     ),
 )
 def os_pairs_cross(spark, d):
-    lists = fx.item_lists(spark, d).withColumns({"e": fx.of_kind("electron"), "m": fx.of_kind("muon")})
-    return _pair_rows(lists, coll.cross(F.col("e"), F.col("m"), _opposite))
+    def nested(ev):
+        lists = ev.withColumns({"e": fx.of_kind("electron"), "m": fx.of_kind("muon")})
+        return _pair_rows(lists.select(*KEYS, F.inline(coll.cross(F.col("e"), F.col("m"), _opposite))))
+
+    return either(
+        spark, d, fx.item_lists, nested, lambda c: _pair_rows(_kind(c, "electron").pairs(_kind(c, "muon"), _opposite))
+    )
 
 
 @query(
@@ -347,7 +423,16 @@ def coll_follow(spark, d):
             coll.follow(F.col("items"), x["ref"])["pt"].alias("ref_pt"),
         ),
     )
-    return fx.item_lists(spark, d).select(*KEYS, F.inline(followed))
+    there = lambda c: c["items"].follow(c["items"], "ref", "there").rows
+    return either(
+        spark,
+        d,
+        fx.item_lists,
+        lambda ev: ev.select(*KEYS, F.inline(followed)),
+        lambda c: there(c).select(
+            *KEYS, "item.idx", F.col("there.idx").alias("ref_idx"), F.col("there.pt").alias("ref_pt")
+        ),
+    )
 
 
 @query(
@@ -360,11 +445,18 @@ def coll_follow(spark, d):
     ),
 )
 def overlap_removal(spark, d):
-    lists = fx.item_lists(spark, d).withColumns(
-        {"jets": fx.of_kind("jet"), "leptons": coll.select(F.col("items"), lambda x: x["kind"] != "jet")}
-    )
-    kept = coll.clean(F.col("jets"), F.col("leptons"), 1.5)
-    return lists.select(*KEYS, F.inline(kept)).select(*KEYS, "idx", "pt")
+    def nested(ev):
+        lists = ev.withColumns(
+            {"jets": fx.of_kind("jet"), "leptons": coll.select(F.col("items"), lambda x: x["kind"] != "jet")}
+        )
+        kept = coll.clean(F.col("jets"), F.col("leptons"), 1.5)
+        return lists.select(*KEYS, F.inline(kept)).select(*KEYS, "idx", "pt")
+
+    def crowd(c):
+        kept = _kind(c, "jet").clean(c["items"].select(lambda x: x["kind"] != "jet"), 1.5)
+        return kept.rows.select(*KEYS, "item.idx", "item.pt")
+
+    return either(spark, d, fx.item_lists, nested, crowd)
 
 
 _RANKED = """SELECT o_orderkey, eta, phi, pt, CASE kind WHEN 'electron' THEN 'e' ELSE 'm' END AS f,
@@ -391,13 +483,24 @@ WHERE j.kind = 'jet' AND CASE {cases} ELSE true END"""
 
 
 def _clean_rows(spark, d, leading):
-    lepton = lambda kind: coll.sort(
-        coll.with_field(fx.of_kind(kind), "conept", lambda x: x["pt"]), lambda x: x["conept"], desc=True
-    )
-    lists = fx.item_lists(spark, d).withColumns({"e": lepton("electron"), "m": lepton("muon"), "jets": fx.of_kind("jet")})
-    lists = lists.withColumn("leads", leading(F.col("e"), F.col("m")))
-    kept = coll.keep_apart(F.col("jets"), F.col("leads"), 1.0)
-    return lists.select(*KEYS, F.inline(kept)).select(*KEYS, "idx")
+    def nested(ev):
+        lepton = lambda kind: coll.sort(
+            coll.with_field(fx.of_kind(kind), "conept", lambda x: x["pt"]), lambda x: x["conept"], desc=True
+        )
+        lists = ev.withColumns({"e": lepton("electron"), "m": lepton("muon"), "jets": fx.of_kind("jet")})
+        lists = lists.withColumn("leads", leading(F.col("e"), F.col("m")))
+        kept = coll.keep_apart(F.col("jets"), F.col("leads"), 1.0)
+        return lists.select(*KEYS, F.inline(kept)).select(*KEYS, "idx")
+
+    def crowd(c):
+        lepton = lambda kind: (
+            _kind(c, kind).mapped(lambda x: x.withField("conept", x["pt"])).sort(lambda x: x["conept"], desc=True)
+        )
+        heads = c.joined(lepton("electron").heads("e"), lepton("muon").heads("m"))
+        leads = heads.select(*KEYS, leading(F.col("e"), F.col("m")).alias("leads"))
+        return _kind(c, "jet").keep_apart(leads, "leads", 1.0).rows.select(*KEYS, "item.idx")
+
+    return either(spark, d, fx.item_lists, nested, crowd)
 
 
 @query(

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventspark.functions import coll
-from eventspark.operators import norm, objects, selection, syst, weights
+from eventspark.operators import crowded_objects, norm, objects, selection, syst, weights
 from eventspark.plans import analysis
 from eventspark.plans import fixture as fx
 from eventspark.sources import catalog, skim
+from suite.either import either
 from suite.registry import query
 from suite.sqlparts import CTES, DL_TREE, NEEDS, SL_TREE, with_ctes
 
@@ -32,6 +36,20 @@ def _levels(df, levels):
     return df.select(*KEYS, F.inline(every))
 
 
+def _crowd_levels(crowd, levels):
+    one = lambda name, column: crowd[column].positions().select(
+        *KEYS, F.lit(name).alias("level"), "pos", "item.idx", "item.pt"
+    )
+    return reduce(DataFrame.unionByName, [one(name, column) for name, column in levels.items()])
+
+
+def _objects(spark, d, names, nested, crowd, levels):
+    """Levels of collections made by ``nested`` from events and by ``crowd`` from crowded ones."""
+    return either(
+        spark, d, fx.collisions, lambda ev: _levels(nested(ev), levels), lambda c: _crowd_levels(crowd(c), levels), names
+    )
+
+
 # --- objects ---------------------------------------------------------------------------------------------------
 
 _OBJ = "SELECT '{lvl}' AS level, o_orderkey, CAST({pos} AS INTEGER) AS pos, CAST(idx AS INTEGER) AS idx, pt FROM {cte}"
@@ -50,11 +68,17 @@ def obj_conept(spark, d):
     value = lambda flavour, conept: lambda x: F.struct(
         F.lit(flavour).alias("flavour"), x["idx"].alias("idx"), conept(x).alias("conept")
     )
-    every = F.concat(
-        F.transform("Muon", value("muon", objects.muon_conept)),
-        F.transform("Electron", value("electron", objects.electron_conept)),
+    kinds = {"Muon": value("muon", objects.muon_conept), "Electron": value("electron", objects.electron_conept)}
+    every = F.concat(*[F.transform(name, of) for name, of in kinds.items()])
+    rows = lambda c: [c[name].rows.select(*KEYS, of(F.col("item")).alias("x")) for name, of in kinds.items()]
+    return either(
+        spark,
+        d,
+        fx.collisions,
+        lambda ev: ev.select(*KEYS, F.inline(every)),
+        lambda c: reduce(DataFrame.unionByName, rows(c)).select(*KEYS, "x.*"),
+        tuple(kinds),
     )
-    return fx.collisions(spark, d, ("Muon", "Electron")).select(*KEYS, F.inline(every))
 
 
 @query(
@@ -70,8 +94,8 @@ def obj_conept(spark, d):
     ),
 )
 def obj_muons(spark, d):
-    df = objects.muons(fx.collisions(spark, d, ("Muon", "Jet")))
-    return _levels(df, {"loose": "muons", "fake": "fake_muons", "tight": "tight_muons"})
+    levels = {"loose": "muons", "fake": "fake_muons", "tight": "tight_muons"}
+    return _objects(spark, d, ("Muon", "Jet"), objects.muons, crowded_objects.muons, levels)
 
 
 @query(
@@ -92,10 +116,16 @@ def obj_muons(spark, d):
     ),
 )
 def obj_electrons(spark, d):
-    df = objects.electrons(objects.muons(fx.collisions(spark, d, LEPTONS)))
-    return _levels(
-        df, {"loose": "electrons", "clean": "clean_electrons", "fake": "fake_electrons", "tight": "tight_electrons"}
-    )
+    levels = {"loose": "electrons", "clean": "clean_electrons", "fake": "fake_electrons", "tight": "tight_electrons"}
+    return _objects(spark, d, LEPTONS, _leptons, _crowd_leptons, levels)
+
+
+def _leptons(df):
+    return objects.electrons(objects.muons(df))
+
+
+def _crowd_leptons(crowd):
+    return crowded_objects.electrons(crowded_objects.muons(crowd))
 
 
 @query(
@@ -103,13 +133,29 @@ def obj_electrons(spark, d):
     with_ctes("SELECT o_orderkey, CAST(idx AS INTEGER) AS idx, pt FROM tau", "tau"),
 )
 def obj_taus(spark, d):
-    df = objects.taus(objects.electrons(objects.muons(fx.collisions(spark, d, (*LEPTONS, "Tau")))))
-    return coll.rows(df, "taus", *KEYS).select(*KEYS, "idx", "pt")
+    return either(
+        spark,
+        d,
+        fx.collisions,
+        lambda ev: coll.rows(objects.taus(_leptons(ev)), "taus", *KEYS).select(*KEYS, "idx", "pt"),
+        lambda c: crowded_objects.taus(_crowd_leptons(c))["taus"].rows.select(*KEYS, "item.idx", "item.pt"),
+        (*LEPTONS, "Tau"),
+    )
+
+
+def _with_jets(df, channel):
+    return objects.jets(objects.lead_leptons(_leptons(df), channel))
 
 
-def _with_jets(spark, d, channel, names):
-    df = objects.electrons(objects.muons(fx.collisions(spark, d, names)))
-    return objects.jets(objects.lead_leptons(df, channel))
+def _with_fat_jets(df, channel):
+    return objects.fat_jets(_with_jets(df, channel), channel)
+
+
+def _crowd_jets(crowd, channel, fat=False):
+    found = _crowd_leptons(crowd)
+    lead = crowded_objects.lead_leptons(found, channel)
+    found = crowded_objects.jets(found, lead)
+    return crowded_objects.fat_jets(found, lead, channel) if fat else found
 
 
 @query(
@@ -127,8 +173,8 @@ def _with_jets(spark, d, channel, names):
     ),
 )
 def obj_jets(spark, d):
-    df = _with_jets(spark, d, "DL", LEPTONS)
-    return _levels(df, {"dl_jet": "ak4_jets", "dl_btag": "ak4_jets_by_btag", "dl_b": "ak4_bjets"})
+    levels = {"dl_jet": "ak4_jets", "dl_btag": "ak4_jets_by_btag", "dl_b": "ak4_bjets"}
+    return _objects(spark, d, LEPTONS, lambda ev: _with_jets(ev, "DL"), lambda c: _crowd_jets(c, "DL"), levels)
 
 
 @query(
@@ -146,8 +192,11 @@ def obj_jets(spark, d):
     ),
 )
 def obj_fatjets(spark, d):
-    df = objects.fat_jets(_with_jets(spark, d, "SL", (*LEPTONS, "FatJet", "SubJet")), "SL")
-    return _levels(df, {"sl_fat": "ak8_jets", "sl_fat_b": "ak8_bjets", "sl_away": "ak4_away"})
+    levels = {"sl_fat": "ak8_jets", "sl_fat_b": "ak8_bjets", "sl_away": "ak4_away"}
+    names = (*LEPTONS, "FatJet", "SubJet")
+    return _objects(
+        spark, d, names, lambda ev: _with_fat_jets(ev, "SL"), lambda c: _crowd_jets(c, "SL", fat=True), levels
+    )
 
 
 @query(
@@ -156,8 +205,14 @@ def obj_fatjets(spark, d):
 )
 def clean_from_fatjet(spark, d):
     """Small jets farther than 1.2 from the leading b-tagged fat jet; none when there is no such fat jet."""
-    df = objects.fat_jets(_with_jets(spark, d, "DL", (*LEPTONS, "FatJet", "SubJet")), "DL")
-    return coll.rows(df, "ak4_away", *KEYS).select(*KEYS, "idx", "pt")
+    return either(
+        spark,
+        d,
+        fx.collisions,
+        lambda ev: coll.rows(_with_fat_jets(ev, "DL"), "ak4_away", *KEYS).select(*KEYS, "idx", "pt"),
+        lambda c: _crowd_jets(c, "DL", fat=True)["ak4_away"].rows.select(*KEYS, "item.idx", "item.pt"),
+        (*LEPTONS, "FatJet", "SubJet"),
+    )
 
 
 # --- selections ------------------------------------------------------------------------------------------------
@@ -172,17 +227,34 @@ def score_expr():
 SCORE_SQL = "coalesce(te0_pt / (te0_pt + 10.0), 0.0)"
 
 
+def _channel(spark, d, name, score=None):
+    keys = fx.crowded_orders(spark, d)
+    more = None if keys is None else crowded_objects.summary(fx.crowd_of_collisions(spark, d, keys), name)
+    return analysis.channel(fx.collisions(spark, d, without=keys), name, score, more=more)
+
+
 def dl_channel(spark, d, score=None):
-    return analysis.channel(fx.collisions(spark, d), "DL", score)
+    return _channel(spark, d, "DL", score)
 
 
 def sl_channel(spark, d):
-    return analysis.channel(fx.collisions(spark, d), "SL")
+    return _channel(spark, d, "SL")
+
+
+def _leptons_only(spark, d, *columns):
+    """Keys and columns the two-lepton selections read."""
+    return either(
+        spark,
+        d,
+        fx.collisions,
+        lambda ev: selection.dl_columns(_leptons(ev)).select(*KEYS, *columns),
+        lambda c: _crowd_selection(_crowd_leptons(c)).select(*KEYS, *columns),
+        LEPTONS,
+    )
 
 
-def _leptons_only(spark, d):
-    df = objects.electrons(objects.muons(fx.collisions(spark, d, LEPTONS)))
-    return selection.dl_columns(df)
+def _crowd_selection(found):
+    return found.joined(crowded_objects.vetoes(found), *crowded_objects.lepton_pairs(found))
 
 
 @query(
@@ -196,20 +268,19 @@ def _leptons_only(spark, d):
 )
 def dl_pt_cut(spark, d):
     cuts = {"elelptSel": "first_ee", "mumuptSel": "first_mm", "elmuptSel": "first_em"}
-    flags = [F.coalesce(selection.pair_conept_cut(F.col(c)), F.lit(False)).alias(n) for n, c in cuts.items()]
-    return _leptons_only(spark, d).select(*KEYS, *flags)
+    return _leptons_only(
+        spark, d, *[F.coalesce(selection.pair_conept_cut(F.col(c)), F.lit(False)).alias(n) for n, c in cuts.items()]
+    )
 
 
 @query("low_mll_veto", with_ctes("SELECT o_orderkey, ok_low AS keep FROM wide_dl", "wide_dl"))
 def low_mll_veto(spark, d):
-    low, _ = selection.vetoes()
-    return _leptons_only(spark, d).select(*KEYS, low.alias("keep"))
+    return _leptons_only(spark, d, F.col("ok_low").alias("keep"))
 
 
 @query("z_veto", with_ctes("SELECT o_orderkey, ok_z AS keep FROM wide_dl", "wide_dl"))
 def z_veto(spark, d):
-    _, z = selection.vetoes()
-    return _leptons_only(spark, d).select(*KEYS, z.alias("keep"))
+    return _leptons_only(spark, d, F.col("ok_z").alias("keep"))
 
 
 @query(
@@ -221,7 +292,7 @@ def z_veto(spark, d):
     ),
 )
 def pair_multiplicity(spark, d):
-    df = _leptons_only(spark, d).select(*KEYS, "n_ee", "n_mm", "n_em")
+    df = _leptons_only(spark, d, "n_ee", "n_mm", "n_em")
     return df.withColumn("only_ee", (F.col("n_ee") == 1) & (F.col("n_mm") == 0) & (F.col("n_em") == 0))
 
 
