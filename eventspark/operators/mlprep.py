@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from eventspark.functions import ops
 from eventspark.operators import hist, prefix, roc
 
 
@@ -16,10 +17,17 @@ def add_tag(df: DataFrame, process: str = "process", token: str = "HH", other: s
     return df.withColumn("tag", F.when(F.col(process).contains(token), token).otherwise(other))
 
 
+def class_rows(df: DataFrame, classes: Sequence[str], tag: str = "tag") -> DataFrame:
+    """``(tag, n)`` for every expected class, with 0 where it has no rows, from one aggregation."""
+    counts = df.agg(*[F.count_if(F.col(tag) == c).alias(f"c{i}") for i, c in enumerate(classes)])
+    return counts.select(
+        F.inline(F.array(*[F.struct(F.lit(c).alias("tag"), F.col(f"c{i}").alias("n")) for i, c in enumerate(classes)]))
+    )
+
+
 def check_classes(df: DataFrame, classes: Sequence[str], tag: str = "tag") -> None:
-    """Raise when an expected class has no rows. One aggregation with one flag per class."""
-    row = df.agg(*[F.max(F.col(tag) == c).alias(f"c{i}") for i, c in enumerate(classes)]).first()
-    missing = [c for i, c in enumerate(classes) if not row[i]]
+    """Raise when an expected class has no rows."""
+    missing = [r["tag"] for r in class_rows(df, classes, tag).collect() if not r["n"]]
     if missing:
         raise ValueError(f"classes without rows: {missing}")
 
@@ -182,11 +190,12 @@ def discriminant(signal: Sequence[Column], other: Sequence[Column]) -> Column:
 
 def categorise(score: Column, edges: Sequence[tuple[float, float]]) -> Column:
     """Number (1..n) of the open interval that contains the score; NULL on a boundary or outside."""
-    out = None
-    for i, (lo, hi) in enumerate(edges, 1):
-        inside = (score > lo) & (score < hi)
-        out = F.when(inside, i) if out is None else out.when(inside, i)
-    return out
+    return ops.multi_switch(*[(inside, F.lit(i)) for i, inside in category_cuts(score, edges).items()], default=F.lit(None))
+
+
+def category_cuts(score: Column, edges: Sequence[tuple[float, float]]) -> dict[int, Column]:
+    """Number (from 1) and condition of each open interval."""
+    return {i: ops.in_range(lo, score, hi) for i, (lo, hi) in enumerate(edges, 1)}
 
 
 # Score intervals of the four event categories.

@@ -8,9 +8,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventspark.functions import ops
 from eventspark.operators import events, hist, objects, report, selection, weights
-from eventspark.operators.mlprep import SCORE_EDGES
+from eventspark.operators.mlprep import SCORE_EDGES, category_cuts
 from eventspark.operators.objects import DEFAULT, Cuts
 from eventspark.operators.selection import Selection
 from eventspark.plans import plots
@@ -84,9 +83,7 @@ def simulation_weight(
 
 def categories(parent: Selection, score: Column) -> list[Selection]:
     """One selection per score interval."""
-    return [
-        parent.refine(f"DNNcat{i}", cut=ops.in_range(lo, score, hi)) for i, (lo, hi) in enumerate(SCORE_EDGES, 1)
-    ]
+    return [parent.refine(f"DNNcat{i}", cut=inside) for i, inside in category_cuts(score, SCORE_EDGES).items()]
 
 
 def channel(

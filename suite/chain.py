@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventspark.operators import events, hist, report, syst, weights
+from eventspark.operators import events, hist, mlprep, model, report, scoring, syst, weights
+from eventspark.operators.selection import with_flags
 from eventspark.plans import analysis
 from eventspark.plans import fixture as fx
+from eventspark.sources import skim
 from suite.physics import (
     CATALOG_SQL,
     DL_FLAGS,
@@ -20,6 +22,7 @@ from suite.physics import (
     jec_table,
     met_sql,
     scale_table,
+    sl_channel,
 )
 from suite.registry import query
 from suite.reports import PLOT_SQL, fill_sql, rounded
@@ -161,3 +164,40 @@ def syst_hist(spark, d):
     )
     dl = analysis.channel(fx.collisions(spark, d), "DL", vary=vary)
     return rounded(hist_of(dl, "weight", ("sample", "variation")))
+
+
+_SCORED = "sel_SL_resolved_e AND weight > 0"
+
+
+@query(
+    "scored_channel",
+    with_ctes(
+        f"""SELECT count(*) AS n, round(sum(weight * CASE WHEN contains(sample, 'HH') THEN 1.0 ELSE 0.0 END), 3) + 0.0 AS true_weight,
+              round(sum(weight * CASE WHEN contains(sample, 'HH') THEN 1.0 ELSE 0.0 END), 3) + 0.0 AS scored_weight, true AS once
+            FROM sel_sl WHERE {_SCORED}""",
+        "sel_sl",
+    ),
+)
+def scored_channel(spark, d):
+    """Skim, train, score inside the analysis and categorise: a converged linear model with a free intercept gives the skimmed
+    events their weight in the class, and an event is in one category at most."""
+    sl = sl_channel(spark, d)
+    table = sl.skim(F.col("weight")).withColumn("label", F.col("sample").contains("HH").cast("double"))
+    features = list(skim.sl_features())
+    fitted = model.train(
+        mlprep.drop_nonpositive(table), features, "label", "weight", kind="logistic", iterations=300, tol=1e-12, l2=1e-3
+    )
+    df = sl.events.withColumn("score", scoring.of_pipeline(fitted, skim.sl_features()))
+    parent = next(s for s in sl.selections if s.name == "SL_resolved_e")
+    chosen = analysis.categories(parent, F.col("score"))
+    df = with_flags(df, chosen)
+    found = [F.when(F.col(c.flag), 1).otherwise(0) for c in chosen]
+    values = {"w": F.col("weight"), "p": F.col("score"), "in_category": sum(found[1:], found[0])}
+    rows = skim.rows(df, F.col(parent.flag), values, ("sample",)).filter("w > 0")
+    label = F.col("sample").contains("HH").cast("double")
+    return rows.agg(
+        F.count("*").alias("n"),
+        (F.round(F.sum(F.col("w") * label), 3) + 0.0).alias("true_weight"),
+        (F.round(F.sum(F.col("w") * F.col("p")), 3) + 0.0).alias("scored_weight"),
+        (F.max("in_category") <= 1).alias("once"),
+    )

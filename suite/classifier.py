@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from eventspark.operators import hist, mlprep, model, roc
+from eventspark.operators import hist, mlprep, model, network, roc, scoring
 from eventspark.plans import fixture as fx
 from suite.registry import query
 from suite.sqlparts import with_ctes
@@ -248,6 +248,71 @@ def train_balance(spark, d):
     )
 
 
+@query(
+    "class_check",
+    with_ctes(
+        """SELECT c.tag, count(m.tag) AS n FROM (VALUES ('HH'), ('background'), ('absent')) c(tag) LEFT JOIN ml m USING (tag)
+           GROUP BY c.tag""",
+        "ml",
+    ),
+)
+def class_check(spark, d):
+    return mlprep.class_rows(tagged(spark, d), (*CLASSES, "absent"))
+
+
+def _network(spark, d, **options):
+    rows, features = embedding_rows(spark, d)
+    rows = rows.withColumn("held", F.col("vec_id") % 4 == 0)
+    return rows, network.fit(rows, features, "label", "w", F.col("held"), **options)
+
+
+@query(
+    "network_balance",
+    """SELECT vec_id % 4 = 0 AS held, count(*) AS n,
+         CASE WHEN vec_id % 4 <> 0 THEN sum(w * y) END AS true_weight, CASE WHEN vec_id % 4 <> 0 THEN sum(w * y) END AS scored_weight
+       FROM (SELECT vec_id, CAST(1 + vec_id % 5 AS DOUBLE) AS w, CASE WHEN label < 5 THEN 1.0 ELSE 0.0 END AS y
+             FROM embeddings) GROUP BY vec_id % 4 = 0, vec_id % 4 <> 0""",
+)
+def network_balance(spark, d):
+    """A weighted network, scored as a column; its last offset gives the training rows their weight in the class."""
+    rows, net = _network(spark, d, hidden=(16, 8), epochs=3, steps=4)
+    rows = rows.withColumn("score", net.score({f: F.col(f) for f in net.features}))
+    weight = lambda c: F.when(~F.first("held"), F.round(F.sum(F.col("w") * F.col(c)), 4))
+    return rows.groupBy("held").agg(
+        F.count("*").alias("n"), weight("label").alias("true_weight"), weight("score").alias("scored_weight")
+    )
+
+
+@query(
+    "network_history",
+    """SELECT CAST(e AS INTEGER) AS epoch, CAST((e + 1) * least(2, count(DISTINCT vec_id)) AS INTEGER) AS steps,
+         CAST(0.02 AS DOUBLE) * CASE WHEN e < 3 THEN 1.0::DOUBLE WHEN e < 5 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END AS rate, e = 0 AS best,
+         true AS finite
+       FROM range(6) t(e), embeddings GROUP BY e""",
+)
+def network_history(spark, d):
+    """No loss can be better by 100 than the first: two reductions, and the end after five epochs of waiting."""
+    plan = network.Schedule(rate=0.02, min_delta=100.0, plateau=2, factor=0.5, patience=5)
+    _, net = _network(spark, d, hidden=(4,), epochs=30, steps=2, schedule=plan, balance=False)
+    finite = ~(F.isnan("loss") | F.isnan("val_loss")) & (F.col("loss") > 0) & (F.col("val_loss") > 0)
+    return net.history(spark).select("epoch", "steps", "rate", "best", finite.alias("finite"))
+
+
+@query(
+    "trees_score",
+    """SELECT vec_id, true AS equal, true AS inside FROM embeddings""",
+)
+def trees_score(spark, d):
+    """Boosted trees, stopped early on the held rows, as a column; equal to the scores of the model's own transformer."""
+    rows, features = embedding_rows(spark, d)
+    rows = rows.withColumn("held", F.col("vec_id") % 4 == 0)
+    made = model.train(rows, features[:8], "label", "w", kind="gbt", validation="held", iterations=6)
+    own = scoring.of_pipeline(made)
+    both = model.score(made, rows).withColumn("own", own)
+    equal = F.abs(F.col("own") - F.col("score")) < 1e-9
+    return both.select("vec_id", equal.alias("equal"), ((F.col("own") > 0) & (F.col("own") < 1)).alias("inside"))
+
+
 @query(
     "discriminant",
     with_ctes("SELECT o_orderkey, round(ln(score / (1 - score)), 6) + 0.0 AS d_hh FROM ml", "ml"),
