@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_, or_
 
@@ -22,8 +23,9 @@ def any_of(*cuts: Column) -> Column:
     return reduce(or_, cuts) if cuts else F.lit(False)
 
 
-def negate(cut: Column) -> Column:
-    return ~passed(cut)
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def at_least(x: Column, low) -> Column:

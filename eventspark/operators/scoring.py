@@ -6,12 +6,14 @@ Parameters are one folded literal each; a model's size bounds the plan, not the
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from eventspark.functions.ops import bound
+
 Rows = list[list[float]]
 #: Parameters of a model that is compiled at most.
 MAX_PARAMETERS = 200_000
@@ -35,11 +37,6 @@ def _normalised(columns: Sequence[Column], mean: Sequence[float], deviation: Seq
     return F.array(*scaled)
 
 
-def _with(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once, however often ``use`` mentions it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _dot(a: Column, b: Column, start: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), start, lambda acc, x: acc + x)
 
@@ -64,7 +61,7 @@ def _layer(x: Column, units: Column, rectified: bool) -> Column:
 
         return F.transform(units, one)
 
-    return _with(x, outputs)
+    return bound(x, outputs)
 
 
 def dense(columns, mean, deviation, layers) -> Column:
@@ -104,7 +101,7 @@ def trees(x: Column, forest: Sequence[tuple[float, dict[str, list]]], depth: int
 
         return F.get(tree["v"], F.aggregate(levels, F.lit(0), down))
 
-    return _with(x, lambda values: F.aggregate(found, F.lit(0.0), lambda acc, tree: acc + tree["w"] * walked(tree, values)))
+    return bound(x, lambda values: F.aggregate(found, F.lit(0.0), lambda acc, tree: acc + tree["w"] * walked(tree, values)))
 
 
 def of_pipeline(model: PipelineModel, columns: Mapping[str, Column] | None = None) -> Column:

@@ -53,8 +53,56 @@ def merge(df: DataFrame, scales: DataFrame, n_samples: int, include_data: bool =
 
 
 def write(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Write parquet; an existing skim is left alone unless ``overwrite``."""
-    df.write.mode("overwrite" if overwrite else "ignore").parquet(path)
+    """Write parquet; a finished skim is left alone unless ``overwrite``, a half-written one is written anew."""
+    if overwrite or not _finished(df.sparkSession, path):
+        df.write.mode("overwrite").parquet(path)
+
+
+def _finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write into ``path`` has been committed: its mark is the last file that appears."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def write_samples(
+    df: DataFrame, path: str, samples: Sequence[str], by: str = "sample", overwrite: Sequence[str] = (), together: int = 32
+) -> list[str]:
+    """Write the rows of each sample into a folder ``<by>=<name>`` of its own and return the samples written.
+
+    A sample whose folder bears the mark of a finished write is left untouched, unless named in ``overwrite``; all others,
+    half-written ones included, are written anew. A run that was stopped is completed by the same call, and reads only the
+    samples it still has to write if ``df`` lets the filter through. ``together`` samples share one pass over the events, with
+    a mark for each after their commit; a sample without rows gets its mark too.
+    """
+    spark = df.sparkSession
+    missing = [s for s in samples if s in overwrite or not _finished(spark, f"{path}/{by}={_folder(s)}")]
+    for i in range(0, len(missing), together):
+        some = missing[i : i + together]
+        for s in some:
+            _unmark(spark, f"{path}/{by}={_folder(s)}")
+        rows = df.filter(F.col(by).isin(*some))
+        # replaces the folders of the samples that have rows, and no other
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+        for s in some:
+            _mark(spark, f"{path}/{by}={_folder(s)}")
+    return missing
+
+
+def _folder(value: str) -> str:
+    """A partition folder's name for a value, as the writer escapes it."""
+    odd = set('"#%\'*/:=?\\\x7f{[]^') | {chr(i) for i in range(1, 32)}
+    return "".join(f"%{ord(c):02X}" if c in odd else c for c in value)
+
+
+def _unmark(spark: SparkSession, folder: str) -> None:
+    """Remove the mark and what an earlier write has left, so that a sample without rows has none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _mark(spark: SparkSession, folder: str) -> None:
+    mark = spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")
+    mark.getFileSystem(spark._jsc.hadoopConfiguration()).create(mark, True).close()
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from eventspark.functions import coll
 from eventspark.operators import crowded_objects, norm, objects, selection, syst, weights
+from eventspark.operators.corrections import Binning, Category, Formula, evaluate
 from eventspark.plans import analysis
 from eventspark.plans import fixture as fx
 from eventspark.sources import catalog, skim
@@ -631,3 +632,91 @@ def syst_object(spark, d):
     return per_event.groupBy("sample", "variation").agg(
         F.sum("n").alias("n_jets"), F.round(F.sum("met_pt"), 6).alias("met")
     )
+
+
+# --- nested correction tables ----------------------------------------------------------------------------------
+
+
+def _log_rise(x, p):
+    return p[0] + p[1] * F.log(x["pt"])
+
+
+def _product(x, p):
+    return p[0] * (1 + p[1] * x["pt"] * x["btag"])
+
+
+_FORMULA_SQL = {_log_rise: "({0} + {1} * ln(pt))", _product: "({0} * (1 + {1} * pt * btag))"}
+_PT_EDGES = (5.0, 12.0, 20.0, 31.0, 45.0)
+
+
+def _by_pt(base, beyond):
+    cells = [Formula((_log_rise, _product)[i % 2], (base + 0.01 * i, 0.002 * (i + 1))) for i in range(4)]
+    return Binning("pt", _PT_EDGES, cells, beyond)
+
+
+#: Kind, then a binning of eta of its own, then of pt, then a formula or a number.
+NESTED_TABLE = Category(
+    "kind",
+    {
+        "electron": Binning("eta", (-2.5, -1.0, 0.0, 1.0, 2.5), [_by_pt(0.9 + 0.02 * i, "clamp") for i in range(4)], 0.5),
+        "muon": Binning("eta", (-1.5, 0.0, 1.5), [_by_pt(1.1, None), 1.25], "clamp"),
+    },
+    default=Binning("btag", (0.0, 0.4, 0.8), [0.97, _by_pt(0.8, 1.5)], None),
+)
+
+
+def table_sql(node):
+    """Nested CASE expressions for a table."""
+    if node is None:
+        return "CAST(NULL AS DOUBLE)"
+    if isinstance(node, Category):
+        cases = " ".join(f"WHEN {node.input} = '{k}' THEN {table_sql(v)}" for k, v in node.of.items())
+        return f"CASE {cases} ELSE {table_sql(node.default)} END"
+    if isinstance(node, Binning):
+        v = node.input
+        cells = zip(node.edges, node.edges[1:], node.of, strict=False)
+        cases = " ".join(f"WHEN {v} >= {lo!r} AND {v} < {hi!r} THEN {table_sql(n)}" for lo, hi, n in cells)
+        if node.beyond == "clamp":
+            ends = f"WHEN {v} < {node.edges[0]!r} THEN {table_sql(node.of[0])} ELSE {table_sql(node.of[-1])}"
+        else:
+            ends = f"ELSE {table_sql(node.beyond)}"
+        return f"CASE {cases} {ends} END"
+    if isinstance(node, Formula):
+        return _FORMULA_SQL[node.fn].format(*[f"{p!r}::DOUBLE" for p in node.parameters])
+    return f"{float(node)!r}::DOUBLE"
+
+
+@query(
+    "nested_corrections",
+    with_ctes(f"SELECT o_orderkey, idx, round({table_sql(NESTED_TABLE)}, 6) + 0.0 AS factor FROM items", "items"),
+)
+def nested_corrections(spark, d):
+    """Three levels, binnings that differ between branches, and two formulas."""
+    inputs = lambda x: {n: x[n] for n in ("kind", "eta", "pt", "btag")}
+    rounded = lambda x: (F.round(evaluate(NESTED_TABLE, inputs(x)), 6) + 0.0).alias("factor")
+    found = F.transform("items", lambda x: F.struct(x["idx"].alias("idx"), rounded(x)))
+    return either(
+        spark,
+        d,
+        fx.item_lists,
+        lambda ev: ev.select(*KEYS, F.inline(found)),
+        lambda c: c["items"].rows.select(*KEYS, "item.idx", rounded(F.col("item"))),
+    )
+
+
+@query(
+    "nested_weight",
+    with_ctes(
+        f"""SELECT e.o_orderkey, round(coalesce(w, 1.0), 6) + 0.0 AS w FROM ev e LEFT JOIN (
+              SELECT o_orderkey, product(coalesce({table_sql(NESTED_TABLE)}, 1.0)) AS w FROM items GROUP BY o_orderkey) i
+            USING (o_orderkey)""",
+        "ev",
+        "items",
+    ),
+)
+def nested_weight(spark, d):
+    """The product of an event's factors; an item without one counts as 1."""
+    inputs = lambda x: {n: x[n] for n in ("kind", "eta", "pt", "btag")}
+    factor = lambda x: F.coalesce(evaluate(NESTED_TABLE, inputs(x)), F.lit(1.0))
+    w = weights.lookup_product(F.col("items"), factor)
+    return fx.items(spark, d).select(*KEYS, (F.round(w, 6) + 0.0).alias("w"))
