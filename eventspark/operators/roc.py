@@ -7,8 +7,10 @@ all rows to one task and the area needs no ordering at all.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventspark.operators import prefix
@@ -146,3 +148,62 @@ def pairwise(df: DataFrame, tag: Column, classes: Sequence[str]) -> DataFrame:
         ]
     )
     return df.select("*", F.inline(F.array_compact(rows)))
+
+
+# --- bounded curves for continuous scores -----------------------------------------------------------------------
+
+#: Cells of a score grid.
+CELLS = 4096
+
+
+def grid(
+    df: DataFrame, y: Column, score: Column, weight: Column, by: Sequence[str] = (), cells: int = CELLS, lo: float = 0.0, hi: float = 1.0
+) -> DataFrame:
+    """``(by, cell, pos, neg)``: weight of positives and negatives per cell of equal width over [lo, hi].
+
+    Cells are the same for all data, so grids of parts add up (:func:`merged`), and at most ``cells`` rows a task are
+    shuffled, however many distinct scores there are. A score beyond the ends counts in the last cell there; a null or NaN
+    score counts nowhere.
+    """
+    value = score.cast("double")
+    inside = F.floor((value - lo) / (hi - lo) * cells)
+    cell = F.least(F.greatest(inside, F.lit(0)), F.lit(cells - 1)).cast("int")
+    flat = df.select(*by, F.when(value.isNotNull() & ~F.isnan(value), cell).alias("cell"), (y == 1).alias("_y"), weight.cast("double").alias("_w"))
+    pick = lambda keep: F.sum(F.when(keep, F.col("_w")).otherwise(0.0))
+    counted = flat.groupBy(*by, "cell").agg(pick(F.col("_y")).alias("pos"), pick(~F.col("_y")).alias("neg"))
+    return counted.filter(F.col("cell").isNotNull())
+
+
+def merged(grids: Sequence[DataFrame], by: Sequence[str] = ()) -> DataFrame:
+    """One grid from those of several parts of the data."""
+    both = reduce(DataFrame.unionByName, grids)
+    return both.groupBy(*by, "cell").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def grid_curve(cells_of: DataFrame, by: Sequence[str] = (), cells: int = CELLS, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
+    """ROC points at the lower edges of the cells, where they are exact, with ``tpr_error`` and ``fpr_error``: how far the
+    rates of a threshold inside a cell can be from those at its edge.
+
+    The windows run over the cells of one grid, never over rows.
+    """
+    down = W.partitionBy(*by).orderBy(F.col("cell").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    whole = W.partitionBy(*by)
+    rate = lambda part, side: F.try_divide(part, F.sum(side).over(whole))
+    totals = cells_of.select(
+        "*",
+        (F.col("cell") * ((hi - lo) / cells) + lo).alias("threshold"),
+        F.sum("pos").over(down).alias("tp"),
+        F.sum("neg").over(down).alias("fp"),
+        rate(F.col("pos"), "pos").alias("tpr_error"),
+        rate(F.col("neg"), "neg").alias("fpr_error"),
+    )
+    return totals.withColumns({"tpr": rate(F.col("tp"), "pos"), "fpr": rate(F.col("fp"), "neg")})
+
+
+def grid_auc(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Area under the points of :func:`grid_curve`, and ``error``: the area of the true curve, with all scores apart, differs
+    by no more, as inside a cell positives and negatives may come in any order."""
+    area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
+    unknown = F.sum(F.col("pos") * F.col("neg") / 2)
+    both = F.sum("pos") * F.sum("neg")
+    return points.groupBy(*by).agg(F.try_divide(area, both).alias("auc"), F.try_divide(unknown, both).alias("error"))

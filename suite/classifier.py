@@ -381,6 +381,60 @@ def auc(spark, d):
     return roc.auc(hh_curve(spark, d)).select(r(F.col("auc"), 6).alias("auc"))
 
 
+_GRID = """
+SELECT tag, cell, threshold, pos, neg, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER a AS all_pos, sum(neg) OVER a AS all_neg
+FROM (SELECT sample AS tag, least(CAST(floor(score * 32) AS INTEGER), 31) AS cell, least(floor(score * 32), 31) / 32.0::DOUBLE AS threshold,
+        coalesce(sum(w_roc) FILTER (tag = 'HH' OR o_orderkey % 3 = 0), 0) AS pos,
+        coalesce(sum(w_roc) FILTER (NOT (tag = 'HH' OR o_orderkey % 3 = 0)), 0) AS neg FROM ml GROUP BY ALL)
+WINDOW w AS (PARTITION BY tag ORDER BY cell DESC), a AS (PARTITION BY tag)"""
+
+
+def _sample_grid(spark, d):
+    """Two parts of the rows, merged; with labels that give every sample both classes."""
+    rows = tagged(spark, d)
+    y = ((F.col("tag") == "HH") | (F.col("o_orderkey") % 3 == 0)).cast("int")
+    parts = [rows.filter(F.col("o_orderkey") % 2 == i) for i in (0, 1)]
+    grids = [roc.grid(p, y, F.col("score"), F.col("w_roc"), ["sample"], cells=32) for p in parts]
+    return rows.withColumn("y", y), roc.grid_curve(roc.merged(grids, ["sample"]), ["sample"], cells=32)
+
+
+@query(
+    "roc_grid",
+    with_ctes(
+        """SELECT tag AS sample, cell, threshold, tp, fp, round(tp / nullif(all_pos, 0), 6) + 0.0 AS tpr, round(fp / nullif(all_neg, 0), 6) + 0.0 AS fpr,
+             round(pos / nullif(all_pos, 0), 6) + 0.0 AS tpr_error FROM grid""",
+        "ml",
+        grid=_GRID,
+    ),
+)
+def roc_grid(spark, d):
+    """Curves per sample from grids of 32 cells, exact at the cells' edges."""
+    _, points = _sample_grid(spark, d)
+    rates = [(r(F.col(c), 6) + 0.0).alias(c) for c in ("tpr", "fpr", "tpr_error")]
+    return points.select("sample", "cell", "threshold", "tp", "fp", *rates)
+
+
+@query(
+    "auc_grid",
+    with_ctes(
+        """SELECT tag AS sample, round(sum(neg * (tp - pos / 2)) / nullif(max(all_pos) * max(all_neg), 0) + 1e-9, 6) + 0.0 AS auc,
+             round(sum(pos * neg / 2) / nullif(max(all_pos) * max(all_neg), 0) + 1e-9, 6) + 0.0 AS error, true AS covers
+           FROM grid GROUP BY tag""",
+        "ml",
+        grid=_GRID,
+    ),
+)
+def auc_grid(spark, d):
+    """Areas with their errors; the exact area of every sample lies inside."""
+    rows, points = _sample_grid(spark, d)
+    exact = roc.auc(roc.curve(rows, F.col("y"), F.col("score"), F.col("w_roc"), ["sample"]), ["sample"])
+    both = roc.grid_auc(points, ["sample"]).join(exact.withColumnRenamed("auc", "exact"), "sample")
+    covers = F.abs(F.col("auc") - F.col("exact")) <= F.col("error") + 1e-12
+    return both.select(
+        "sample", (r(F.col("auc") + 1e-9, 6) + 0.0).alias("auc"), (r(F.col("error") + 1e-9, 6) + 0.0).alias("error"), covers.alias("covers")
+    )
+
+
 @query(
     "significance",
     with_ctes(f"SELECT threshold, s_above, b_above, round(z, 6) + 0.0 AS z FROM ({_SIG})", "ml", steps=_STEPS),

@@ -688,12 +688,12 @@ def table_sql(node):
 
 @query(
     "nested_corrections",
-    with_ctes(f"SELECT o_orderkey, idx, round({table_sql(NESTED_TABLE)}, 6) + 0.0 AS factor FROM items", "items"),
+    with_ctes(f"SELECT o_orderkey, idx, round({table_sql(NESTED_TABLE)} + 1e-9, 6) + 0.0 AS factor FROM items", "items"),
 )
 def nested_corrections(spark, d):
     """Three levels, binnings that differ between branches, and two formulas."""
     inputs = lambda x: {n: x[n] for n in ("kind", "eta", "pt", "btag")}
-    rounded = lambda x: (F.round(evaluate(NESTED_TABLE, inputs(x)), 6) + 0.0).alias("factor")
+    rounded = lambda x: (F.round(evaluate(NESTED_TABLE, inputs(x)) + 1e-9, 6) + 0.0).alias("factor")
     found = F.transform("items", lambda x: F.struct(x["idx"].alias("idx"), rounded(x)))
     return either(
         spark,
@@ -707,7 +707,7 @@ def nested_corrections(spark, d):
 @query(
     "nested_weight",
     with_ctes(
-        f"""SELECT e.o_orderkey, round(coalesce(w, 1.0), 6) + 0.0 AS w FROM ev e LEFT JOIN (
+        f"""SELECT e.o_orderkey, round(coalesce(w, 1.0) + 1e-9, 6) + 0.0 AS w FROM ev e LEFT JOIN (
               SELECT o_orderkey, product(coalesce({table_sql(NESTED_TABLE)}, 1.0)) AS w FROM items GROUP BY o_orderkey) i
             USING (o_orderkey)""",
         "ev",
@@ -715,8 +715,8 @@ def nested_corrections(spark, d):
     ),
 )
 def nested_weight(spark, d):
-    """The product of an event's factors; an item without one counts as 1."""
+    """The product of an event's factors; an item without one counts as 1. (No value ends in a half after the shift.)"""
     inputs = lambda x: {n: x[n] for n in ("kind", "eta", "pt", "btag")}
     factor = lambda x: F.coalesce(evaluate(NESTED_TABLE, inputs(x)), F.lit(1.0))
     w = weights.lookup_product(F.col("items"), factor)
-    return fx.items(spark, d).select(*KEYS, (F.round(w, 6) + 0.0).alias("w"))
+    return fx.items(spark, d).select(*KEYS, (F.round(w + 1e-9, 6) + 0.0).alias("w"))
