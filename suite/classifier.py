@@ -418,7 +418,7 @@ def roc_grid(spark, d):
     "auc_grid",
     with_ctes(
         """SELECT tag AS sample, round(sum(neg * (tp - pos / 2)) / nullif(max(all_pos) * max(all_neg), 0) + 1e-9, 6) + 0.0 AS auc,
-             round(sum(pos * neg / 2) / nullif(max(all_pos) * max(all_neg), 0) + 1e-9, 6) + 0.0 AS error, true AS covers
+             round(sum(pos * neg / 2) / nullif(max(all_pos) * max(all_neg), 0) + 1e-9, 6) + 0.0 AS error, CASE WHEN max(all_pos) * max(all_neg) > 0 THEN true END AS covers
            FROM grid GROUP BY tag""",
         "ml",
         grid=_GRID,
