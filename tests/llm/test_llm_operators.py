@@ -259,6 +259,42 @@ def test_cutoffs_need_evidence_and_respect_strata(spark):
     assert quality_rules.judge(docs(spark, []), labels).count() == 0
 
 
+def test_strata_have_cutoffs_of_their_own_and_the_small_ones_share_theirs(spark):
+    """At sf0.01: two strata, different steps, documents that only a cutoff rejects, and a plain recount of the guarantee."""
+    d = "/root/testdata/sf0.01"
+    documents, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    measured = quality_rules.measures(documents).cache()
+    table = {r.stratum: r for r in quality_rules.cutoffs(quality_rules.steps(measured, labels)).collect()}
+    assert set(table) == {"en", None} and table[None].pooled and not table["en"].pooled
+    assert table["en"].last != table[None].last and None not in (table["en"].last, table[None].last)
+    good = {r.doc_id for r in labels.groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").collect()}
+    rows = [r for r in measured.collect() if not r.base_failed and r.doc_id in good]
+    for stratum, t in table.items():
+        mine = [r for r in rows if (r.lang == "en") == (stratum == "en")]
+        cuts = {r: t[f"{r}_cut"] for r in quality_rules.CUTOFFS}
+        k = sum(any(c is not None and r[rule] > c for rule, c in cuts.items()) for r in mine)
+        tail = lambda k, n: sum(math.comb(n, i) * 0.05**i * 0.95 ** (n - i) for i in range(k + 1))
+        assert len(mine) == t.n and tail(k, t.n) <= 0.05 / 2
+        if t.last == len(quality_rules.PATH) - 1:
+            continue
+        # the next step is one too many
+        rule, i = quality_rules.PATH[t.last + 1]
+        cuts[rule] = quality_rules.CUTOFFS[rule][i]
+        k = sum(any(c is not None and r[rule] > c for rule, c in cuts.items()) for r in mine)
+        assert tail(k, t.n) > 0.05 / 2
+    kept = quality_rules.judge(documents, labels).collect()
+    assert sum(not r.kept and not r.base_failed for r in kept) > 20
+    assert sum(not r.kept and not r.base_failed and r.doc_id in good for r in kept) < 0.05 * len(rows)
+
+
+def test_large_counts_are_bounded_not_summed(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "SUMMED", 5)
+    cases = [(0, 90, True), (0, 50, False), (3, 219, True), (9, 219, False), (20, 2000, True), (90, 2000, False), (100, 2000, False)]
+    for k, n, want in cases:
+        cols = [F.lit(x).cast("long") for x in (k, n)]
+        assert spark.range(1).select(quality_rules.admissible(*cols, 0.05, F.lit(0.0125))).first()[0] is want, (k, n)
+
+
 # --- 5: line dedup ----------------------------------------------------------------------------------------------------
 
 
