@@ -1,14 +1,15 @@
-"""Scoring texts with a weighted backoff automaton of smoothed bigrams learnt from all training documents.
+"""Scoring texts with a weighted backoff automaton of smoothed n-grams learnt from all training documents.
 
 The model: P(w) = (c(w) + 1) / (N + V + 1), one share being left for unknown words, and after a word h
 P(w | h) = (c(h w) + m P(w)) / (c(h) + m). As an automaton, a word (or the start) is a state; a seen bigram is an arc from
 h with weight log P(w | h); a failure arc leads from h to the empty state with weight log(m / (c(h) + m)), from which every
-word has an arc. Both sum to one over the words, the end and the unknown.
+word has an arc. Both sum to one over the words, the end and the unknown. n-grams are of one and two words.
 
 No task holds the whole model. Documents are dealt into chunks of bounded size. A chunk sends the n-grams it meets, with its
 own training counts, to the shards that n-grams hash to; a shard adds them up and returns to each chunk what others have
-counted. With these totals a chunk evaluates the automaton in closed form at every word of its texts; states and arcs are
-not built, and the model stops at bigrams.
+counted. With these totals a chunk compiles the part of the automaton that its texts can reach (:class:`Automaton`) and walks
+them from left to right, many texts abreast: every text carries its state, follows failure arcs until an arc for the next word
+is found, and adds up the weights.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from eventspark.llm.words import mix, windows, word_hashes
 #: Bytes of text in a chunk, on average.
 CHUNK = 10_000_000
 PRIOR = 32.0
+#: Words of a text that are walked in one piece.
+PIECE = 256
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
 
@@ -61,19 +64,75 @@ class Chunk:
         before[self.first] = START
         pairs = windows(np.stack([before, word], axis=1).ravel(), 2)[::2] if len(word) else word
         learning = np.repeat(learns, self.n_tokens)
-        self.keys, self.at, self.own = [], [], []
+        self.keys, self.at, self.own, self.seen_at = [], [], [], []
         for x in (word, pairs):
-            keys, at = np.unique(x, return_inverse=True)
+            keys, seen_at, at = np.unique(x, return_index=True, return_inverse=True)
+            self.seen_at.append(seen_at)
             self.keys.append(keys)
             self.at.append(at)
             self.own.append(np.bincount(at[learning], minlength=len(keys)).astype(np.uint32))
         self.starts = int(learns.sum())
 
-    def history_counts(self, word_counts: np.ndarray, starts: int) -> np.ndarray:
-        """How often what precedes each token was seen (any word that is not an end is followed by something)."""
-        out = np.roll(word_counts[self.at[0]], 1)
-        out[self.first] = starts
-        return out
+
+class Automaton:
+    """The states, arcs and failure arcs that the texts of a chunk can reach.
+
+    State 0 is the empty one, state 1 + i belongs to word i, the last is the start. Arcs are sorted by state and word; the arcs
+    of the empty state are one array over the words. ``fails_to`` and ``fail_weight`` hold a failure arc for every other state.
+    After a word the walk is in that word's state.
+    """
+
+    def __init__(self, chunk: Chunk, words: np.ndarray, pairs: np.ndarray, n: int, v: int, starts: int, prior: float) -> None:
+        self.n_words = len(words)
+        self.start = self.n_words + 1
+        self.empty_arcs = np.log10(words + 1.0) - np.log10(float(n + v + 1))
+        history = np.concatenate([[0], words, [starts]]).astype(np.float64)
+        self.fails_to = np.zeros(len(history), dtype=np.int64)
+        self.fail_weight = np.log10(prior) - np.log10(history + prior)
+        seen = np.flatnonzero(pairs > 0)
+        token = chunk.seen_at[1][seen]
+        word = chunk.at[0][token]
+        state = np.where(np.isin(token, chunk.first), self.start, chunk.at[0][token - 1] + 1)
+        order = np.lexsort((word, state))
+        word, state, seen = word[order], state[order], seen[order]
+        self.arcs = state * self.n_words + word
+        self.arc_weight = np.log10(pairs[seen] + prior * 10.0 ** self.empty_arcs[word]) - np.log10(history[state] + prior)
+
+    def walk(self, words: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Accumulated weight of every text: ``length`` words each, from ``first`` on."""
+        # a long text is walked in pieces; a piece starts in the state of the word before it
+        pieces = -(-length // PIECE)
+        text = np.repeat(np.arange(len(first)), pieces)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = first[text] + number * PIECE
+        left = np.minimum(length[text] - number * PIECE, PIECE)
+        order = np.argsort(-left, kind="stable")
+        text, begin, left, number = text[order], begin[order], left[order], number[order]
+        state = np.where(number == 0, self.start, words[begin - 1] + 1)
+        total = np.zeros(len(text))
+        for step in range(int(left[0]) if len(left) else 0):
+            going = int(np.searchsorted(-left, -step, side="left"))
+            word = words[begin[:going] + step]
+            total[:going] += self._next(state[:going], word)
+            state[:going] = word + 1
+        return np.bincount(text, weights=total, minlength=len(first))
+
+    def _next(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Weight of reading a word in each state, failure arcs included."""
+        weight = np.zeros(len(word))
+        rows, now = np.arange(len(word)), state
+        while len(rows):
+            key = now * self.n_words + word[rows]
+            at = np.searchsorted(self.arcs, key)
+            found = (now > 0) & (at < len(self.arcs))
+            found[found] = self.arcs[at[found]] == key[found]
+            weight[rows[found]] += self.arc_weight[at[found]]
+            ends = now == 0
+            weight[rows[ends]] += self.empty_arcs[word[rows[ends]]]
+            rows, now = rows[~(found | ends)], now[~(found | ends)]
+            weight[rows] += self.fail_weight[now]
+            now = self.fails_to[now]
+        return weight
 
 
 def _texts(table: pa.Table) -> list[bytes]:
@@ -147,14 +206,8 @@ def _score(n: int, v: int, starts: int, prior: float):
                 total[base + _unplanes(row["at"], np.uint32).astype(np.int64)] += _unplanes(row["more"], np.uint64).astype(np.int64)
                 base += row["size"]
             counts.append(total)
-        word, pair = counts[0][chunk.at[0]], counts[1][chunk.at[1]]
-        # the automaton: arcs of the empty state, failure arcs, and arcs of the other states
-        plain = np.log10(counts[0] + 1.0) - np.log10(float(n + v + 1))
-        loose = plain[chunk.at[0]]
-        history = chunk.history_counts(counts[0], starts)
-        fails = np.log10(prior) - np.log10(history + prior)
-        arcs = np.log10(pair + prior * 10.0**loose) - np.log10(history + prior)
-        walk = np.where(pair > 0, arcs, fails + loose)
+        automaton = Automaton(chunk, *counts, n, v, starts, prior)
+        word = counts[0][chunk.at[0]]
         per_doc = lambda x: np.add.reduceat(x, chunk.first) if len(x) else x
         return pa.table(
             {
@@ -163,8 +216,8 @@ def _score(n: int, v: int, starts: int, prior: float):
                 "n_tokens": pa.array(chunk.n_tokens),
                 "n_known": pa.array(per_doc((word > 0).astype(np.int64)), pa.int64()),
                 "train_tokens": pa.array(np.full(len(docs), n, dtype=np.int64)),
-                "base_score": pa.array(per_doc(loose), pa.float64()),
-                "score": pa.array(per_doc(walk), pa.float64()),
+                "base_score": pa.array(per_doc(automaton.empty_arcs[chunk.at[0]]), pa.float64()),
+                "score": pa.array(automaton.walk(chunk.at[0], chunk.first, chunk.n_tokens), pa.float64()),
             }
         )
 
@@ -187,7 +240,7 @@ def scores(docs: DataFrame, prior: float = PRIOR, chunk_bytes: int = CHUNK, fold
     ).withColumn("learns", ~F.col("held_out"))
     whole = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.col("learns").cast("long")).alias("n")).first()
     parts = max(1, -(-(whole.bytes or 0) // chunk_bytes))
-    spread = F.xxhash64(F.coalesce("doc_id", F.xxhash64("text")))
+    spread = F.xxhash64("doc_id", "text")
     rows = rows.withColumn("chunk", F.pmod(spread, F.lit(parts)).cast("int"))
     asked = rows.groupBy("chunk").applyInArrow(_requests(parts), "chunk int, shard int, kind int, keys binary, counts binary")
     answer = "chunk int, shard int, kind int, size long, at binary, more binary, tokens long, distinct long"

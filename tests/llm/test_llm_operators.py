@@ -219,6 +219,38 @@ def test_scores_against_plain_counts(spark):
     assert backoff_lm.scores(docs(spark, [])).collect() == []
 
 
+def test_automaton_walks_like_a_plain_one(monkeypatch):
+    """States, arcs and failure arcs as data: a text at a time, word by word, gives the same as all abreast and in pieces."""
+    r = random.Random(2)
+    texts = [" ".join(r.choice("abcdefg") for _ in range(n)).encode() for n in (0, 1, 5, 40, 700)]
+    learns = np.array([True, False, True, True, False])
+    chunk = backoff_lm.Chunk(texts, learns)
+    words, pairs = (x.astype(np.int64) for x in chunk.own)
+    n, v, starts = int(words.sum()), int((words > 0).sum()), 3
+    made = backoff_lm.Automaton(chunk, words, pairs, n, v, starts, 4.0)
+    arcs = {divmod(int(a), made.n_words): w for a, w in zip(made.arcs, made.arc_weight, strict=True)}
+
+    def plain(tokens):
+        state, total = made.start, 0.0
+        for w in tokens:
+            while (state, w) not in arcs and state:
+                total, state = total + made.fail_weight[state], int(made.fails_to[state])
+            total += arcs[state, w] if state else made.empty_arcs[w]
+            state = w + 1
+        return total
+
+    tokens = [chunk.at[0][a : a + n].tolist() for a, n in zip(chunk.first, chunk.n_tokens, strict=True)]
+    for piece in (256, 3):
+        monkeypatch.setattr(backoff_lm, "PIECE", piece)
+        assert made.walk(chunk.at[0], chunk.first, chunk.n_tokens) == pytest.approx([plain(t) for t in tokens], rel=1e-12)
+    assert len(arcs) == len(made.arcs) and (made.fails_to == 0).all()
+    # what leaves a state: its arcs, and the failure arc times what the empty state has beyond them
+    for state in {s for s, _ in arcs}:
+        own = {w: 10**x for (s, w), x in arcs.items() if s == state}
+        rest = 1 - sum(10 ** made.empty_arcs[w] for w in own)
+        assert sum(own.values()) + 10 ** made.fail_weight[state] * rest == pytest.approx(1)
+
+
 def test_held_out_texts_are_more_likely_than_by_single_words(spark):
     held = backoff_lm.scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out")
     x = held.agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
