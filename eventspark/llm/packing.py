@@ -191,6 +191,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1) -> Data
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # all pieces are stored: what this process holds of words and pieces is needed no longer
+        _ENCODERS.clear()
         for batch in batches:
             length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
