@@ -96,6 +96,11 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Give up what this process holds of words and pieces; called by name, as a task's function has copies of globals."""
+    _ENCODERS.clear()
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1) -> DataFrame:
     """Documents as pieces of at most ``capacity`` ids, each document closed by the id ``end``.
 
@@ -191,8 +196,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1) -> Data
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # all pieces are stored: what this process holds of words and pieces is needed no longer
-        _ENCODERS.clear()
+        # all pieces are stored by now
+        forget()
         for batch in batches:
             length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)

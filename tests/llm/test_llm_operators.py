@@ -491,6 +491,13 @@ def test_best_two_fit_replaces_the_smallest():
     assert {n: rows.tolist() for n, rows in plan.items()}[2][0][1] == plan[6][0][1] and plan[3][0][1] != plan[6][0][1]
 
 
+def test_a_process_gives_up_its_encoders_and_makes_them_again():
+    before = packing.encoder(WORD_BPE).encode("Some words, some more.")
+    packing.forget()
+    assert not packing._ENCODERS
+    assert packing.encoder(WORD_BPE).encode("Some words, some more.") == before
+
+
 def test_packing_is_whole_and_tight(spark):
     rows = [(x.doc_id + 100, x.text) for x in spark.read.parquet(f"{DIR}/documents.parquet").collect()] + EDGES
     got = packing.pack(docs(spark, rows), WORD_BPE, capacity=512).toPandas()
