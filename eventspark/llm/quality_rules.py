@@ -37,7 +37,7 @@ CUTOFFS = {
 }
 #: Steps in their order: each sets one rule to the cutoff of that number; rounds go from the loosest cutoffs to the tightest.
 PATH = [(rule, i) for i in reversed(range(9)) for rule in CUTOFFS]
-#: Beyond so many rejections of good documents the tail is bounded from above (Chernoff) instead of summed.
+#: Terms of the tail that are listed at once; all of them are summed, however many.
 SUMMED = 20_000
 
 
@@ -115,7 +115,10 @@ def measures(docs: DataFrame) -> DataFrame:
 
 
 def binomial_tail(k: Column, n: Column, p: Column) -> Column:
-    """P(at most ``k`` of ``n``) at rate ``p``, summed from logarithms so that large ``n`` does not underflow."""
+    """P(at most ``k`` of ``n``) at rate ``p``, summed from logarithms so that large ``n`` does not underflow.
+
+    Every term is summed, block by block, so that a large ``k`` needs time but no more memory.
+    """
     first = n * F.log1p(-p)
     start = F.struct(first.alias("log"), F.exp(first).alias("sum"))
 
@@ -123,17 +126,15 @@ def binomial_tail(k: Column, n: Column, p: Column) -> Column:
         log = a["log"] + F.log((n - i + 1) / i) + F.log(p / (1 - p))
         return F.struct(log.alias("log"), (a["sum"] + F.exp(log)).alias("sum"))
 
-    upto = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<long>"))
-    return F.aggregate(upto, start, step, lambda a: a["sum"])
+    size = F.lit(SUMMED).cast("long")
+    firsts = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k, size)).otherwise(F.array().cast("array<long>"))
+    block = lambda a, i: F.aggregate(F.sequence(i, F.least(k, i + size - 1)), a, step)
+    return F.aggregate(firsts, start, block, lambda a: a["sum"])
 
 
 def admissible(k: Column, n: Column, risk: float, level: Column) -> Column:
     """Whether ``k`` of ``n`` show a rate of at most ``risk`` at ``level``; nothing is summed where ``k`` is not below it."""
-    rate = k / n
-    other = (1 - rate) * F.log((1 - rate) / (1 - risk))
-    divergence = F.when(k > 0, rate * F.log(rate / risk)).otherwise(F.lit(0.0)) + other
-    tail = F.when(k <= SUMMED, binomial_tail(F.least(k, F.lit(SUMMED).cast("long")), n, F.lit(risk))).otherwise(F.exp(-n * divergence))
-    return F.when((n > 0) & (k < n * risk), tail <= level).otherwise(F.lit(False))
+    return F.when((n > 0) & (k < n * risk), binomial_tail(k, n, F.lit(risk)) <= level).otherwise(F.lit(False))
 
 
 def first_step(rules: Sequence[tuple[str, int]] = PATH) -> Column:

@@ -327,6 +327,20 @@ def test_large_counts_are_bounded_not_summed(spark, monkeypatch):
         assert spark.range(1).select(quality_rules.admissible(*cols, 0.05, F.lit(0.0125))).first()[0] is want, (k, n)
 
 
+def test_verdicts_do_not_change_their_kind_with_the_size(spark):
+    """Beyond ``SUMMED`` rejections the exact tail still decides; a bound from above refused the first of each pair."""
+    def tail(k, n):
+        logs = (math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(0.05) + (n - i) * math.log(0.95) for i in range(k + 1))
+        return math.fsum(math.exp(x) for x in logs)
+
+    for k, n, want in ((24_600, 500_000, True), (24_700, 500_000, False), (49_450, 1_000_000, True), (49_600, 1_000_000, False)):
+        assert (tail(k, n) <= 0.0125) is want
+        cols = [F.lit(x).cast("long") for x in (k, n)]
+        fine, found = quality_rules.admissible(*cols, 0.05, F.lit(0.0125)), quality_rules.binomial_tail(*cols, F.lit(0.05))
+        row = spark.range(1).select(fine.alias("fine"), found.alias("tail")).first()
+        assert row.fine is want and row.tail == pytest.approx(tail(k, n), rel=1e-6), (k, n)
+
+
 # --- 5: line dedup ----------------------------------------------------------------------------------------------------
 
 
