@@ -50,6 +50,11 @@ def sort(arr: Column, key: Callable[[Column], Column], desc: bool = False) -> Co
     return F.sort_array(ranked)["item"]
 
 
+def only_where(df: DataFrame, keep: Column, *names: str) -> DataFrame:
+    """Collections that are NULL in the events for which ``keep`` does not hold: what is made of them costs nothing there."""
+    return df.withColumns({c: F.when(keep, F.col(c)) for c in names})
+
+
 def any_(arr: Column, pred: Predicate) -> Column:
     return F.exists(arr, lambda x: F.coalesce(pred(x), F.lit(False)))
 

@@ -63,14 +63,18 @@ def fill(
 def fill_many(df: DataFrame, plots: Sequence[Plot], weight: Column, by: Sequence[str] = ()) -> DataFrame:
     """All histograms in one pass over ``df``.
 
-    An event that passes any selection turns into one (plot, value) row per histogram; others emit nothing. The rows
-    are combined inside the partition before the only shuffle, whose size per task is histograms x bins x ``by`` groups.
-    The values are built inside the generator: from a named array column Catalyst would derive a "not empty" filter and
-    push it, with every expression it depends on, below the object layer.
+    An event turns into one (plot, value) row per histogram of the selections it passes, and emits nothing for the others.
+    The rows are combined inside the partition before the only shuffle, whose size per task is histograms x bins x ``by``
+    groups. The values are built inside the generator: from a named array column Catalyst would derive a "not empty" filter
+    and push it, with every expression it depends on, below the object layer.
     """
-    any_flag = ops.any_of(*[F.col(f) for f in dict.fromkeys(p.flag for p in plots)])
-    values = F.array(*[F.when(F.col(p.flag), p.var.cast("double")) for p in plots])
-    flat = df.select(*by, weight.alias("_w"), F.posexplode(F.when(any_flag, values)).alias("plot_id", "v"))
+    of_flag: dict[str, list[Column]] = {}
+    for i, p in enumerate(plots):
+        entry = F.struct(F.lit(i).alias("plot_id"), p.var.cast("double").alias("v"))
+        of_flag.setdefault(p.flag, []).append(entry)
+    none = F.array().cast("array<struct<plot_id:int,v:double>>")
+    values = F.concat(*[F.when(F.col(f), F.array(*entries)).otherwise(none) for f, entries in of_flag.items()])
+    flat = df.select(*by, weight.alias("_w"), F.inline(values))
     of_plot = lambda params: F.get(F.array(*[F.lit(x) for x in params]), F.col("plot_id"))
     lo, hi = of_plot([float(p.lo) for p in plots]), of_plot([float(p.hi) for p in plots])
     filled = flat.filter(F.col("v").isNotNull()).withColumn("bin", bin_index(F.col("v"), of_plot([p.n for p in plots]), lo, hi))

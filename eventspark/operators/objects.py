@@ -310,9 +310,12 @@ def fat_jets(df: DataFrame, channel: str, c: JetCuts = DEFAULT.jets) -> DataFram
     Sorted by pt for channel DL and by b-tag score for SL; needs :func:`jets` first.
     """
     own = coll.select(F.col("FatJet"), lambda x: good_fat_jet(x, c))
-    sub = lambda x, which: coll.follow(F.col("SubJet"), x[f"{which}Idx"])
-    attached = F.transform(
-        own, lambda x: x.withField("subJet1", sub(x, "subJet1")).withField("subJet2", sub(x, "subJet2"))
+    sub = lambda x, of, which: coll.follow(of, x[f"{which}Idx"])
+    attached = ops.bound(
+        F.col("SubJet"),
+        lambda of: F.transform(
+            own, lambda x: x.withField("subJet1", sub(x, of, "subJet1")).withField("subJet2", sub(x, of, "subJet2"))
+        ),
     )
     good = coll.select(attached, lambda x: good_sub_jets(x, c))
     ordered = coll.sort(good, lambda x: x[fat_key(channel)], desc=True)

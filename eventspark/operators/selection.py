@@ -132,9 +132,10 @@ def vetoes() -> tuple[Column, Column]:
     return no_low_mass(e, m), no_z(e, m)
 
 
-def with_vetoes(df: DataFrame) -> DataFrame:
-    low, z = vetoes()
-    return df.withColumns({"ok_low": low, "ok_z": z})
+def with_vetoes(df: DataFrame, where: Column | None = None) -> DataFrame:
+    """Both vetoes as columns; with ``where`` they are looked for in those events only and NULL in the others."""
+    found = dict(zip(("ok_low", "ok_z"), vetoes(), strict=True))
+    return df.withColumns(found if where is None else {c: F.when(where, v) for c, v in found.items()})
 
 
 def pair_conept_cut(pair: Column, each: float = 15.0, leading: float = 25.0) -> Column:
@@ -166,6 +167,15 @@ def dl_columns(df: DataFrame) -> DataFrame:
     return mixed_by_pt(with_vetoes(lepton_pairs(df, "tight_electrons", "tight_muons")))
 
 
+def _one_pair(own: str) -> list[Column]:
+    return [F.col(f"n_{p}") == (1 if p == own else 0) for p in DL_PAIRS.values()]
+
+
+def dl_tight() -> Column:
+    """Whether the tight leptons, with :func:`lepton_pairs`, are those of a last two-lepton selection."""
+    return ops.any_of(*[ops.passed(ops.all_of(*_one_pair(p), pair_conept_cut(F.col(f"first_{p}")))) for p in DL_PAIRS.values()])
+
+
 def dl_selections(base: Selection) -> list[Selection]:
     """Boosted and resolved selections for ee, mumu and emu."""
     low, z = F.col("ok_low"), F.col("ok_z")
@@ -176,7 +186,7 @@ def dl_selections(base: Selection) -> list[Selection]:
         off_z = hard.refine(os_name, cut=[low, z])
         one_pair = off_z.refine(
             f"dileptonCut_{flavour}",
-            cut=[F.col(f"n_{p}") == (1 if p == own else 0) for p in DL_PAIRS.values()],
+            cut=_one_pair(own),
         )
         boosted.append(one_pair.refine(f"DL_boosted_{flavour}", cut=F.size("ak8_bjets") >= 1))
         resolved.append(
@@ -195,10 +205,7 @@ def sl_columns(df: DataFrame) -> DataFrame:
     return with_vetoes(df)
 
 
-def sl_selections(base: Selection, electron_conept: float = 32.0, muon_conept: float = 25.0) -> list[Selection]:
-    """Resolved and boosted selections, inclusive and for one electron or one muon."""
-    low, z = F.col("ok_low"), F.col("ok_z")
-    start = base.refine("OSoutZsel", cut=[low, z, F.size("taus") == 0])
+def _one_lepton(electron_conept: float = 32.0, muon_conept: float = 25.0) -> tuple[list[Column], list[Column]]:
     one_electron = [
         coll.at(F.col("tight_electrons"), 0)["conept"] > electron_conept,
         F.size("tight_electrons") == 1,
@@ -209,6 +216,19 @@ def sl_selections(base: Selection, electron_conept: float = 32.0, muon_conept: f
         F.size("tight_electrons") == 0,
         F.size("tight_muons") == 1,
     ]
+    return one_electron, one_muon
+
+
+def sl_tight() -> Column:
+    """Whether the tight leptons are those of a last one-lepton selection."""
+    return ops.any_of(*[ops.passed(ops.all_of(*cuts)) for cuts in _one_lepton()])
+
+
+def sl_selections(base: Selection, electron_conept: float = 32.0, muon_conept: float = 25.0) -> list[Selection]:
+    """Resolved and boosted selections, inclusive and for one electron or one muon."""
+    low, z = F.col("ok_low"), F.col("ok_z")
+    start = base.refine("OSoutZsel", cut=[low, z, F.size("taus") == 0])
+    one_electron, one_muon = _one_lepton(electron_conept, muon_conept)
     regions = {
         "SL_resolved": [F.size("ak4_jets") >= 3, F.size("ak4_bjets") >= 1, F.size("ak8_bjets") == 0],
         "SL_boosted": [F.size("ak8_bjets") >= 1, F.size("ak4_away") >= 1],

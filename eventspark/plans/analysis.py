@@ -7,14 +7,20 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
+from eventspark.functions import coll, ops
 from eventspark.operators import events, hist, objects, report, selection, weights
+from eventspark.operators.checkpoints import pinned
 from eventspark.operators.mlprep import SCORE_EDGES, category_cuts
 from eventspark.operators.objects import DEFAULT, Cuts
 from eventspark.operators.selection import Selection
 from eventspark.plans import plots
 from eventspark.sources import catalog, skim
 
+#: Column by which ``vary`` may tell the events whose collections are needed, if a channel is made with ``last``.
+PASSED = "_passed"
+
 
 @dataclass(frozen=True)
 class Channel:
@@ -24,6 +30,8 @@ class Channel:
     events: DataFrame
     selections: list[Selection]
     make_plots: Callable[[], list[hist.Plot]]
+    #: Whether the events have the flags of inner nodes.
+    inner: bool = True
 
     def weighted(self, column: str, weight: Column) -> Channel:
         """The channel with a weight that may use its objects, as a column."""
@@ -37,6 +45,8 @@ class Channel:
         return hist.fill_many(self.events, self.plots, weight, by)
 
     def cutflow(self, weight: Column, by: tuple[str, ...] = ("sample",)) -> DataFrame:
+        if not self.inner:
+            raise ValueError("a cut-flow needs the inner nodes; make the channel without `last`")
         return report.cutflow(self.events, self.selections, weight, by)
 
     def skim(self, weight: Column, keep: tuple[str, ...] = ("sample",)) -> DataFrame:
@@ -93,6 +103,7 @@ def channel(
     cuts: Cuts = DEFAULT,
     vary: Callable[[DataFrame], DataFrame] | None = None,
     more: DataFrame | None = None,
+    last: bool = False,
 ) -> Channel:
     """Objects and selections of channel ``DL`` or ``SL`` for already triggered and weighted events.
 
@@ -104,12 +115,18 @@ def channel(
 
     With ``score`` (an expression over the derived collections) the two-lepton channel also gets the score categories
     and their plots.
+
+    With ``last`` only the selections by lepton flavour, which plots and skims are of, are made (see :func:`_last`), and the
+    collections of an event whose leptons fail all of them are NULL.
     """
     base = Selection("noSel")
-    found = objects.define_leptons(df, name, cuts)
-    found = selection.dl_columns(found) if name == "DL" else selection.sl_columns(found)
-    if vary is not None:
-        found = vary(found)
+    if last:
+        found = _last(df, name, cuts, vary)
+    else:
+        found = objects.define_leptons(df, name, cuts)
+        found = selection.dl_columns(found) if name == "DL" else selection.sl_columns(found)
+        if vary is not None:
+            found = vary(found)
     found = objects.fat_jets(objects.jets(found, cuts.jets), name, cuts.jets)
     if more is not None:
         both = [c for c in found.columns if c in more.columns]
@@ -122,4 +139,56 @@ def channel(
             drawn = lambda: plots.score_plots(F.col("score")) + plots.dl_plots()
     else:
         chosen, drawn = selection.sl_selections(base), plots.sl_plots
-    return Channel(name, selection.with_flags(found, chosen), chosen, drawn)
+    flagged = selection.with_flags(found, chosen)
+    if last:
+        # the flags of inner nodes do not hold for events left out early
+        chosen = [s for s in chosen if s.name not in ("SL_resolved", "SL_boosted")]
+        inner = {s.flag for s in selection.expanded(chosen)} - {s.flag for s in chosen} - {base.flag}
+        flagged = flagged.drop(*inner)
+    return Channel(name, flagged, chosen, drawn, inner=not last)
+
+
+def _last(df: DataFrame, name: str, cuts: Cuts, vary: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """Leptons, and what else the selections read of those events only whose leptons pass a last selection.
+
+    Cheap conditions come first: tight leptons, then vetoes and taus, then jets. Stored collections that only one later step
+    reads are built in that step, so they are not built for the others at all.
+    """
+    found = df if "tight_electrons" in df.columns else objects.electrons(objects.muons(df, cuts.leptons), cuts.leptons)
+    found = _with_tight(found, name)
+    found = objects.taus(coll.only_where(found, F.col("_tight"), "Tau"), cuts.taus)
+    found = selection.with_vetoes(objects.lead_leptons(found, name), F.col("_tight"))
+    passed = [F.col("_tight"), F.col("ok_low"), F.col("ok_z")]
+    if name == "SL":
+        passed.append(F.size("taus") == 0)
+    found = found.withColumn(PASSED, ops.passed(ops.all_of(*passed))).drop("_tight")
+    nested = [f.name for f in found.schema if isinstance(f.dataType, ArrayType | StructType) and f.name != "Jet"]
+    found = coll.only_where(found, F.col(PASSED), *nested)
+    found = found if vary is None else vary(found)
+    return coll.only_where(found, F.col(PASSED), "Jet").drop(PASSED)
+
+
+def _with_tight(df: DataFrame, name: str) -> DataFrame:
+    """With ``_tight``, whether the tight leptons are those of a last selection of the channel, and the pairs it needs."""
+    if name == "DL":
+        df = selection.mixed_by_pt(selection.lepton_pairs(df, "tight_electrons", "tight_muons"))
+    return df.withColumn("_tight", selection.dl_tight() if name == "DL" else selection.sl_tight())
+
+
+def promising(df: DataFrame, names: Sequence[str], cuts: Cuts = DEFAULT) -> DataFrame:
+    """The events whose tight leptons are those of a last selection of one of the channels, stored once with their leptons.
+
+    :func:`channel` with ``last`` takes them for the events: each channel, and each of its results, then reads these few
+    instead of building all events again. Plots of all events (flag of the base selection) need all events.
+    """
+    found = objects.electrons(objects.muons(df, cuts.leptons), cuts.leptons)
+    columns = found.columns
+    for name in names:
+        found = _with_tight(found, name).withColumnRenamed("_tight", f"_tight_{name}")
+    tight = ops.any_of(*[F.col(f"_tight_{name}") for name in names])
+    found = found.select(*columns, tight.alias("_tight"))
+    nested = [f.name for f in found.schema if isinstance(f.dataType, ArrayType | StructType)]
+    found = coll.only_where(found, F.col("_tight"), *nested)
+    # a generator, since a filter would be pushed below the collections and build them a second time
+    kept = found.select(*columns, F.explode(F.when(F.col("_tight"), F.array(F.lit(True)))).alias("_tight"))
+    return pinned(kept.drop("_tight"))

@@ -21,6 +21,7 @@ from suite.physics import (
     flow_sql,
     jec_table,
     met_sql,
+    promising,
     scale_table,
     sl_channel,
 )
@@ -160,9 +161,10 @@ for _name, _f in VARIED.items():
 def syst_hist(spark, d):
     """Resolved two-lepton histograms for jets as they are, up and down; leptons are built once."""
     vary = lambda df: syst.object_variations(
-        df, VARIED, ["Jet", "FatJet", "SubJet"], F.col("type") != "data", met=("met_pt", "met_phi"), met_source="Jet"
+        df, VARIED, ["Jet", "FatJet", "SubJet"], F.col("type") != "data", met=("met_pt", "met_phi"), met_source="Jet",
+        needed=F.col(analysis.PASSED),
     )
-    dl = analysis.channel(fx.collisions(spark, d), "DL", vary=vary)
+    dl = analysis.channel(fx.collisions(spark, d), "DL", vary=vary, last=True)
     return rounded(hist_of(dl, "weight", ("sample", "variation")))
 
 
@@ -181,7 +183,7 @@ _SCORED = "sel_SL_resolved_e AND weight > 0"
 def scored_channel(spark, d):
     """Skim, train, score inside the analysis and categorise: a converged linear model with a free intercept gives the skimmed
     events their weight in the class, and an event is in one category at most."""
-    sl = sl_channel(spark, d)
+    sl = sl_channel(spark, d, promising(spark, d, "SL"))
     table = sl.skim(F.col("weight")).withColumn("label", F.col("sample").contains("HH").cast("double"))
     features = list(skim.sl_features())
     fitted = model.train(

@@ -228,18 +228,25 @@ def score_expr():
 SCORE_SQL = "coalesce(te0_pt / (te0_pt + 10.0), 0.0)"
 
 
-def _channel(spark, d, name, score=None):
+def promising(spark, d, *names):
+    """Events that can be in the last selections of the channels, stored once."""
+    return analysis.promising(fx.collisions(spark, d, without=fx.crowded_orders(spark, d)), names)
+
+
+def _channel(spark, d, name, score=None, events=None):
+    """With ``events`` (of :func:`promising`) only the last selections of these."""
     keys = fx.crowded_orders(spark, d)
     more = None if keys is None else crowded_objects.summary(fx.crowd_of_collisions(spark, d, keys), name)
-    return analysis.channel(fx.collisions(spark, d, without=keys), name, score, more=more)
+    df = fx.collisions(spark, d, without=keys) if events is None else events
+    return analysis.channel(df, name, score, more=more, last=events is not None)
 
 
-def dl_channel(spark, d, score=None):
-    return _channel(spark, d, "DL", score)
+def dl_channel(spark, d, score=None, events=None):
+    return _channel(spark, d, "DL", score, events)
 
 
-def sl_channel(spark, d):
-    return _channel(spark, d, "SL")
+def sl_channel(spark, d, events=None):
+    return _channel(spark, d, "SL", events=events)
 
 
 def _leptons_only(spark, d, *columns):

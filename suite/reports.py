@@ -13,6 +13,7 @@ from suite.physics import (
     SCALES_SQL,
     SCORE_SQL,
     dl_channel,
+    promising,
     scale_table,
     score_expr,
     sl_channel,
@@ -171,10 +172,12 @@ def fill_sql(by: str, plots=None, source: str | None = None, content: str = CONT
 
 @query("hist_many", with_ctes(fill_sql("sample"), "sel_dl", "sel_sl"))
 def hist_many(spark, d):
-    """All 156 histograms of both channels per sample, one pass over the events per channel."""
+    """All 156 histograms of both channels per sample, one pass over the events for both, then one per channel over those
+    with its leptons."""
     w = F.col("weight")
-    dl = dl_channel(spark, d, score_expr()).histograms(w)
-    return rounded(dl.unionByName(sl_channel(spark, d).histograms(w)))
+    found = promising(spark, d, "DL", "SL")
+    dl = dl_channel(spark, d, score_expr(), found).histograms(w)
+    return rounded(dl.unionByName(sl_channel(spark, d, found).histograms(w)))
 
 
 # --- reports on a scored histogram -----------------------------------------------------------------------------
