@@ -104,6 +104,7 @@ def channel(
     vary: Callable[[DataFrame], DataFrame] | None = None,
     more: DataFrame | None = None,
     last: bool = False,
+    stored: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Channel:
     """Objects and selections of channel ``DL`` or ``SL`` for already triggered and weighted events.
 
@@ -117,11 +118,12 @@ def channel(
     and their plots.
 
     With ``last`` only the selections by lepton flavour, which plots and skims are of, are made (see :func:`_last`), and the
-    collections of an event whose leptons fail all of them are NULL.
+    collections of an event whose leptons fail all of them are NULL. Then ``stored`` may add the collections that leptons are
+    not defined by (all but ``Muon``, ``Electron`` and ``Jet``), so that other events' are never built.
     """
     base = Selection("noSel")
     if last:
-        found = _last(df, name, cuts, vary)
+        found = _last(df, name, cuts, vary, stored)
     else:
         found = objects.define_leptons(df, name, cuts)
         found = selection.dl_columns(found) if name == "DL" else selection.sl_columns(found)
@@ -148,22 +150,29 @@ def channel(
     return Channel(name, flagged, chosen, drawn, inner=not last)
 
 
-def _last(df: DataFrame, name: str, cuts: Cuts, vary: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+def _last(
+    df: DataFrame,
+    name: str,
+    cuts: Cuts,
+    vary: Callable[[DataFrame], DataFrame] | None,
+    stored: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Leptons, and what else the selections read of those events only whose leptons pass a last selection.
 
-    Cheap conditions come first: tight leptons, then vetoes and taus, then jets. Stored collections that only one later step
-    reads are built in that step, so they are not built for the others at all.
+    Cheap conditions come first: tight leptons, then vetoes and taus, then jets.
     """
     found = df if "tight_electrons" in df.columns else objects.electrons(objects.muons(df, cuts.leptons), cuts.leptons)
     found = _with_tight(found, name)
+    if stored is not None:
+        late = set(df.columns) - {"Muon", "Electron", "Jet"}
+        found = stored(coll.only_where(found, F.col("_tight"), *[c for c in _nested(found) if c in late]))
     found = objects.taus(coll.only_where(found, F.col("_tight"), "Tau"), cuts.taus)
     found = selection.with_vetoes(objects.lead_leptons(found, name), F.col("_tight"))
     passed = [F.col("_tight"), F.col("ok_low"), F.col("ok_z")]
     if name == "SL":
         passed.append(F.size("taus") == 0)
     found = found.withColumn(PASSED, ops.passed(ops.all_of(*passed))).drop("_tight")
-    nested = [f.name for f in found.schema if isinstance(f.dataType, ArrayType | StructType) and f.name != "Jet"]
-    found = coll.only_where(found, F.col(PASSED), *nested)
+    found = coll.only_where(found, F.col(PASSED), *[c for c in _nested(found) if c != "Jet"])
     found = found if vary is None else vary(found)
     return coll.only_where(found, F.col(PASSED), "Jet").drop(PASSED)
 
@@ -175,11 +184,21 @@ def _with_tight(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn("_tight", selection.dl_tight() if name == "DL" else selection.sl_tight())
 
 
-def promising(df: DataFrame, names: Sequence[str], cuts: Cuts = DEFAULT) -> DataFrame:
+def _nested(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema if isinstance(f.dataType, ArrayType | StructType)]
+
+
+def promising(
+    df: DataFrame,
+    names: Sequence[str],
+    cuts: Cuts = DEFAULT,
+    stored: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """The events whose tight leptons are those of a last selection of one of the channels, stored once with their leptons.
 
     :func:`channel` with ``last`` takes them for the events: each channel, and each of its results, then reads these few
-    instead of building all events again. Plots of all events (flag of the base selection) need all events.
+    instead of building all events again. Plots of all events (flag of the base selection) need all events. ``stored`` may add
+    collections to the events that are kept.
     """
     found = objects.electrons(objects.muons(df, cuts.leptons), cuts.leptons)
     columns = found.columns
@@ -187,8 +206,7 @@ def promising(df: DataFrame, names: Sequence[str], cuts: Cuts = DEFAULT) -> Data
         found = _with_tight(found, name).withColumnRenamed("_tight", f"_tight_{name}")
     tight = ops.any_of(*[F.col(f"_tight_{name}") for name in names])
     found = found.select(*columns, tight.alias("_tight"))
-    nested = [f.name for f in found.schema if isinstance(f.dataType, ArrayType | StructType)]
-    found = coll.only_where(found, F.col("_tight"), *nested)
     # a generator, since a filter would be pushed below the collections and build them a second time
     kept = found.select(*columns, F.explode(F.when(F.col("_tight"), F.array(F.lit(True)))).alias("_tight"))
-    return pinned(kept.drop("_tight"))
+    kept = kept.drop("_tight")
+    return pinned(kept if stored is None else stored(kept))

@@ -316,14 +316,23 @@ def collisions(
     spark: SparkSession, sf_dir: str, names: tuple[str, ...] = tuple(COLLECTIONS), without: DataFrame | None = None
 ) -> DataFrame:
     """Events with the collections the object definitions read; ``idx`` is the position in each collection."""
-    df = nested(spark, sf_dir, without)
+    return with_collections(nested(spark, sf_dir, without), *names).drop("items")
+
+
+def leptons_first(spark: SparkSession, sf_dir: str, without: DataFrame | None = None) -> DataFrame:
+    """:func:`collisions` with what leptons are defined by; :func:`with_collections` adds the other collections later."""
+    return with_collections(nested(spark, sf_dir, without), "Muon", "Electron", "Jet")
+
+
+def with_collections(df: DataFrame, *names: str) -> DataFrame:
+    """Collections of the lines ``items``, which stay; all missing ones without ``names``. They are NULL where ``items`` is."""
 
     def build(name: str) -> Column:
         make, keep = COLLECTIONS[name]
         lines = F.col("items") if keep is None else F.filter("items", keep)
         return F.transform(lines, lambda r, i: make(r, F.size("items")).withField("idx", i))
 
-    return df.select(*[c for c in df.columns if c != "items"], *[build(n).alias(n) for n in names])
+    return df.withColumns({n: build(n) for n in names or COLLECTIONS if n not in df.columns})
 
 
 def _crowded_lines(spark: SparkSession, sf_dir: str, keys: DataFrame) -> DataFrame:

@@ -164,7 +164,8 @@ def syst_hist(spark, d):
         df, VARIED, ["Jet", "FatJet", "SubJet"], F.col("type") != "data", met=("met_pt", "met_phi"), met_source="Jet",
         needed=F.col(analysis.PASSED),
     )
-    dl = analysis.channel(fx.collisions(spark, d), "DL", vary=vary, last=True)
+    stored = lambda df: fx.with_collections(df, "Tau", "FatJet", "SubJet")
+    dl = analysis.channel(fx.leptons_first(spark, d), "DL", vary=vary, last=True, stored=stored)
     return rounded(hist_of(dl, "weight", ("sample", "variation")))
 
 

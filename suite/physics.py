@@ -230,7 +230,8 @@ SCORE_SQL = "coalesce(te0_pt / (te0_pt + 10.0), 0.0)"
 
 def promising(spark, d, *names):
     """Events that can be in the last selections of the channels, stored once."""
-    return analysis.promising(fx.collisions(spark, d, without=fx.crowded_orders(spark, d)), names)
+    df = fx.leptons_first(spark, d, without=fx.crowded_orders(spark, d))
+    return analysis.promising(df, names, stored=lambda kept: fx.with_collections(kept, "Tau", "FatJet", "SubJet").drop("items"))
 
 
 def _channel(spark, d, name, score=None, events=None):

@@ -33,3 +33,14 @@ def test_a_channel_is_one_pass_without_shuffle(spark):
 def test_only_needed_columns_are_read(spark):
     text = plan(fx.item_lists(spark, DIR).select("o_orderkey", F.size("items")))
     assert "l_shipdate" not in text.split("ReadSchema")[1]
+
+
+def test_last_selections_leave_out_the_jets_of_other_events(spark):
+    """Every event stays, and jets are made only where the leptons pass; the inner nodes' flags are not offered."""
+    late = lambda df: fx.with_collections(df, "Tau", "FatJet", "SubJet")
+    short = analysis.channel(fx.leptons_first(spark, DIR), "DL", last=True, stored=late)
+    n, made = short.events.agg(F.count("*"), F.count("ak4_jets")).first()
+    assert n == fx.headers(spark, DIR).count() and made < n / 3
+    assert "sel_elelptSel" not in short.events.columns
+    with pytest.raises(ValueError, match="inner nodes"):
+        short.cutflow(F.col("weight"))
