@@ -149,13 +149,19 @@ def fakeable_muon(x: Column, c: LeptonCuts) -> Column:
     )
 
 
+def _tight_muon_alone(x: Column, conept: Column, c: LeptonCuts) -> Column:
+    """What a tight muon needs besides its jet."""
+    return ops.all_of(at_least(conept, c.conept_min), at_least(x["mvaTTH"], c.muon_mva), x["mediumId"])
+
+
 def tight_muon(x: Column, c: LeptonCuts) -> Column:
-    return ops.all_of(
-        at_least(x["conept"], c.conept_min),
-        _jet_btag_at_most(x, c.btag_medium),
-        at_least(x["mvaTTH"], c.muon_mva),
-        x["mediumId"],
-    )
+    return _tight_muon_alone(x, x["conept"], c) & _jet_btag_at_most(x, c.btag_medium)
+
+
+def muon_candidate(x: Column, low: float, c: LeptonCuts = DEFAULT.leptons) -> Column:
+    """Whether a stored muon's own fields let it be a tight one with a cone-pt above ``low``."""
+    conept = muon_conept(x, c)
+    return ops.passed(ops.all_of(loose_muon(x, c), _tight_muon_alone(x, conept, c), conept > low))
 
 
 def muons(df: DataFrame, c: LeptonCuts = DEFAULT.leptons) -> DataFrame:
@@ -171,12 +177,12 @@ def muons(df: DataFrame, c: LeptonCuts = DEFAULT.leptons) -> DataFrame:
     )
 
 
-def _electron_quality(x: Column, c: LeptonCuts) -> Column:
+def _electron_quality(x: Column, conept: Column, c: LeptonCuts) -> Column:
     """Requirements shared by fakeable and tight electrons."""
     eta_sc = F.abs(x["eta"] + x["deltaEtaSC"])
     shower = F.when(eta_sc <= c.barrel_eta, x["sieie"] <= c.sieie_barrel).otherwise(x["sieie"] <= c.sieie_endcap)
     return ops.all_of(
-        at_least(x["conept"], c.conept_min),
+        at_least(conept, c.conept_min),
         shower,
         x["hoe"] <= c.hoe,
         at_least(x["eInvMinusPInv"], c.e_inv_minus_p_inv),
@@ -199,14 +205,25 @@ def fakeable_electron(x: Column, c: LeptonCuts) -> Column:
         _jet_btag_at_most(x, c.btag_medium)
     )
     return ops.all_of(
-        _electron_quality(x, c),
+        _electron_quality(x, x["conept"], c),
         at_least(x["mvaTTH"], c.electron_mva) | ((x["jetRelIso"] < c.electron_fake_rel_iso) & x["mvaNoIso_WP90"]),
         by_mva,
     )
 
 
+def _tight_electron_alone(x: Column, conept: Column, c: LeptonCuts) -> Column:
+    """What a tight electron needs besides its jet and its distance from muons."""
+    return _electron_quality(x, conept, c) & at_least(x["mvaTTH"], c.electron_mva)
+
+
 def tight_electron(x: Column, c: LeptonCuts) -> Column:
-    return ops.all_of(_electron_quality(x, c), at_least(x["mvaTTH"], c.electron_mva), _jet_btag_at_most(x, c.btag_medium))
+    return _tight_electron_alone(x, x["conept"], c) & _jet_btag_at_most(x, c.btag_medium)
+
+
+def electron_candidate(x: Column, low: float, c: LeptonCuts = DEFAULT.leptons) -> Column:
+    """Whether a stored electron's own fields let it be a tight one with a cone-pt above ``low``."""
+    conept = electron_conept(x, c)
+    return ops.passed(ops.all_of(loose_electron(x, c), _tight_electron_alone(x, conept, c), conept > low))
 
 
 def electrons(df: DataFrame, c: LeptonCuts = DEFAULT.leptons) -> DataFrame:

@@ -138,7 +138,11 @@ def with_vetoes(df: DataFrame, where: Column | None = None) -> DataFrame:
     return df.withColumns(found if where is None else {c: F.when(where, v) for c, v in found.items()})
 
 
-def pair_conept_cut(pair: Column, each: float = 15.0, leading: float = 25.0) -> Column:
+#: Cone-pt of both leptons of a pair, of the harder one, and of the only electron and muon.
+PAIR_EACH, PAIR_LEADING, ONE_ELECTRON, ONE_MUON = 15.0, 25.0, 32.0, 25.0
+
+
+def pair_conept_cut(pair: Column, each: float = PAIR_EACH, leading: float = PAIR_LEADING) -> Column:
     a, b = pair["l1"]["conept"], pair["l2"]["conept"]
     above = ops.above
     return above(a, each) & above(b, each) & (above(a, leading) | above(b, leading))
@@ -205,7 +209,7 @@ def sl_columns(df: DataFrame) -> DataFrame:
     return with_vetoes(df)
 
 
-def _one_lepton(electron_conept: float = 32.0, muon_conept: float = 25.0) -> tuple[list[Column], list[Column]]:
+def _one_lepton(electron_conept: float = ONE_ELECTRON, muon_conept: float = ONE_MUON) -> tuple[list[Column], list[Column]]:
     one_electron = [
         coll.at(F.col("tight_electrons"), 0)["conept"] > electron_conept,
         F.size("tight_electrons") == 1,
@@ -224,7 +228,7 @@ def sl_tight() -> Column:
     return ops.any_of(*[ops.passed(ops.all_of(*cuts)) for cuts in _one_lepton()])
 
 
-def sl_selections(base: Selection, electron_conept: float = 32.0, muon_conept: float = 25.0) -> list[Selection]:
+def sl_selections(base: Selection, electron_conept: float = ONE_ELECTRON, muon_conept: float = ONE_MUON) -> list[Selection]:
     """Resolved and boosted selections, inclusive and for one electron or one muon."""
     low, z = F.col("ok_low"), F.col("ok_z")
     start = base.refine("OSoutZsel", cut=[low, z, F.size("taus") == 0])

@@ -180,7 +180,11 @@ def _last(
 def _with_tight(df: DataFrame, name: str) -> DataFrame:
     """With ``_tight``, whether the tight leptons are those of a last selection of the channel, and the pairs it needs."""
     if name == "DL":
-        df = selection.mixed_by_pt(selection.lepton_pairs(df, "tight_electrons", "tight_muons"))
+        # a pair needs two: with fewer its columns are NULL, which fails the selections as no pair does
+        two = F.size("tight_electrons") + F.size("tight_muons") >= 2
+        df = df.withColumns({f"_{c}": F.when(two, F.col(c)) for c in ("tight_electrons", "tight_muons")})
+        df = selection.mixed_by_pt(selection.lepton_pairs(df, "_tight_electrons", "_tight_muons"))
+        df = df.drop("_tight_electrons", "_tight_muons")
     return df.withColumn("_tight", selection.dl_tight() if name == "DL" else selection.sl_tight())
 
 
@@ -188,6 +192,26 @@ def _nested(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, ArrayType | StructType)]
 
 
+def candidates(names: Sequence[str], cuts: Cuts = DEFAULT) -> list[tuple[dict[str, coll.Predicate], int]]:
+    """What the stored leptons of every event that :func:`promising` keeps fulfil by their own fields.
+
+    For each channel conditions by collection and the least number of leptons that fulfil theirs; an event keeps to one of
+    the channels.
+    """
+
+    def above(muon: float, electron: float) -> dict[str, coll.Predicate]:
+        return {
+            "Muon": lambda x: objects.muon_candidate(x, muon, cuts.leptons),
+            "Electron": lambda x: objects.electron_candidate(x, electron, cuts.leptons),
+        }
+
+    of_channel = {
+        "DL": (above(selection.PAIR_EACH, selection.PAIR_EACH), 2),
+        "SL": (above(selection.ONE_MUON, selection.ONE_ELECTRON), 1),
+    }
+    return [of_channel[name] for name in names]
+
+
 def promising(
     df: DataFrame,
     names: Sequence[str],
@@ -198,7 +222,7 @@ def promising(
 
     :func:`channel` with ``last`` takes them for the events: each channel, and each of its results, then reads these few
     instead of building all events again. Plots of all events (flag of the base selection) need all events. ``stored`` may add
-    collections to the events that are kept.
+    collections to the events that are kept. ``df`` may leave out events without enough :func:`candidates`.
     """
     found = objects.electrons(objects.muons(df, cuts.leptons), cuts.leptons)
     columns = found.columns

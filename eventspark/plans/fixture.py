@@ -7,10 +7,12 @@ orders, which the ``crowd_of_..`` functions give as rows.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventspark.functions import coll
+from eventspark.functions import coll, ops
 from eventspark.operators import crowded
 from eventspark.operators import nest as nesting
 from eventspark.operators.checkpoints import pinned
@@ -98,8 +100,13 @@ def _ordinary(df: DataFrame, key: str, without: DataFrame | None) -> DataFrame:
     return df if without is None else crowded.split(df, key, without, False)
 
 
-def nested(spark: SparkSession, sf_dir: str, without: DataFrame | None = None) -> DataFrame:
-    """Headers with their raw lines as an ordered array ``items``; the orders ``without`` are left out."""
+def nested(
+    spark: SparkSession, sf_dir: str, without: DataFrame | None = None, having: nesting.Having = ()
+) -> DataFrame:
+    """Headers with their raw lines as an ordered array ``items``; the orders ``without`` are left out.
+
+    With ``having`` only the orders whose lines reach one of its sums.
+    """
     return nesting.nest(
         _ordinary(headers(spark, sf_dir), "o_orderkey", without),
         "o_orderkey",
@@ -107,6 +114,7 @@ def nested(spark: SparkSession, sf_dir: str, without: DataFrame | None = None) -
         "l_orderkey",
         ITEM_ORDER,
         list(ITEM_FIELDS),
+        having,
     )
 
 
@@ -319,9 +327,33 @@ def collisions(
     return with_collections(nested(spark, sf_dir, without), *names).drop("items")
 
 
-def leptons_first(spark: SparkSession, sf_dir: str, without: DataFrame | None = None) -> DataFrame:
-    """:func:`collisions` with what leptons are defined by; :func:`with_collections` adds the other collections later."""
-    return with_collections(nested(spark, sf_dir, without), "Muon", "Electron", "Jet")
+def leptons_first(
+    spark: SparkSession,
+    sf_dir: str,
+    without: DataFrame | None = None,
+    having: Sequence[tuple[Mapping[str, coll.Predicate], int]] = (),
+) -> DataFrame:
+    """:func:`collisions` with what leptons are defined by; :func:`with_collections` adds the other collections later.
+
+    With ``having``, pairs of conditions by collection and a least number, only events that for one of the pairs have so
+    many items that fulfil the condition of their collection. It must not read ``idx`` or cross references: it is tested on
+    the lines, before they are nested.
+    """
+    enough = [(_matches(conditions), least) for conditions, least in having]
+    return with_collections(nested(spark, sf_dir, without, enough), "Muon", "Electron", "Jet")
+
+
+def _matches(conditions: Mapping[str, coll.Predicate]) -> Column:
+    """How many items of the collections a line makes that fulfil the condition of their collection."""
+    line = {f: F.col(f) for f in ITEM_FIELDS}  # a struct would be repeated in the plan with every use
+
+    def holds(name: str, pred: coll.Predicate) -> Column:
+        make, keep = COLLECTIONS[name]
+        found = pred(make(line, F.lit(0)))
+        return ops.passed(found if keep is None else keep(line) & found).cast("int")
+
+    first, *more = [holds(name, pred) for name, pred in conditions.items()]
+    return sum(more, first)
 
 
 def with_collections(df: DataFrame, *names: str) -> DataFrame:

@@ -230,7 +230,7 @@ SCORE_SQL = "coalesce(te0_pt / (te0_pt + 10.0), 0.0)"
 
 def promising(spark, d, *names):
     """Events that can be in the last selections of the channels, stored once."""
-    df = fx.leptons_first(spark, d, without=fx.crowded_orders(spark, d))
+    df = fx.leptons_first(spark, d, without=fx.crowded_orders(spark, d), having=analysis.candidates(names))
     return analysis.promising(df, names, stored=lambda kept: fx.with_collections(kept, "Tau", "FatJet", "SubJet").drop("items"))
 
 

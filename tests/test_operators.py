@@ -38,6 +38,17 @@ def test_items_alone(spark):
     assert [[i["a"] for i in r["items"]] for r in out] == [[0, 1]]
 
 
+def test_only_keys_with_enough_items_are_nested(spark):
+    """A kept key keeps all its items, whichever of the sums it reaches."""
+    items = spark.createDataFrame([(1, 1), (1, 9), (2, 5), (2, 6), (3, 1), (4, None), (4, 7)], "k long, a int").repartition(3)
+    above = lambda low: F.coalesce((F.col("a") > low).cast("int"), F.lit(0))
+    having = [(above(4), 2), (above(8), 1)]
+    out = nest.nest_items(items, "k", ["a"], ["a"], having).collect()
+    assert {r["k"]: [i["a"] for i in r["items"]] for r in out} == {1: [1, 9], 2: [5, 6]}
+    heads = spark.createDataFrame([(1,), (3,), (5,)], "h long")
+    assert [r["h"] for r in nest.nest(heads, "h", items, "k", ["a"], ["a"], having).collect()] == [1]
+
+
 # --- events ----------------------------------------------------------------------------------------------------
 
 
