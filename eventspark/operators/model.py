@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventspark.operators.checkpoints import ensure_checkpoint_dir
+from eventspark.operators.checkpoints import ensure_checkpoint_dir, pinned
 
 
 def train(
@@ -30,7 +30,9 @@ def train(
 
     ``gbt`` stops early on the rows flagged by ``validation`` and keeps the best number of trees; ``logistic`` is a
     regularised linear model (its intercept is not), iterated until it changes by less than ``tol``. Normalisation is fitted on the training rows only.
+    The columns it needs are stored once: every fit reads its rows several times.
     """
+    df = pinned(df.select(*dict.fromkeys([*features, label, weight, *([] if validation is None else [validation])])))
     assemble = VectorAssembler(inputCols=list(features), outputCol="raw_features", handleInvalid="error")
     scale = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
     common = {"featuresCol": "features", "labelCol": label, "weightCol": weight}

@@ -142,3 +142,16 @@ def test_spark_models_score_as_columns(spark, kind, capsys):
 def test_size_of_a_compiled_model_is_bounded():
     with pytest.raises(ValueError, match="too many"):
         scoring.logit([F.lit(1.0)], [0.0], [1.0], [([[0.0] * 150_000], [0.0] * 150_000)])
+
+
+def test_training_reads_its_rows_once(spark):
+    """Normalisation and every fit work on stored rows; what made the rows runs once."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(i):
+        read.add(1)
+        return (float(i % 7), float(i % 5), float(i % 3 == 0), 1.0)
+
+    rows = spark.createDataFrame(spark.sparkContext.range(60, numSlices=2).map(counted), "a double, b double, y double, w double")
+    model.train(rows, ["a", "b"], "y", "w", kind="logistic", iterations=5)
+    assert read.value == 60
