@@ -171,14 +171,7 @@ def _balanced(rows: DataFrame, network: Network, rounds: int = 12) -> Network:
     """The network with the last offset at which the scored weight of ``rows`` is the weight of their class 1 (Newton)."""
     z = scoring.logit([F.get("x", F.lit(i)) for i in range(len(network.features))], network.mean.tolist(),
                       network.deviation.tolist(), [(w.tolist(), b.tolist()) for w, b in network.layers])
-    known = pinned(rows.select("y", "w", z.alias("z")))
-    shift = 0.0
-    for _ in range(rounds):
-        p = 1 / (1 + F.exp(-(F.col("z") + shift)))
-        gap, slope = known.agg(F.sum(F.col("w") * (p - F.col("y"))), F.sum(F.col("w") * p * (1 - p))).first()
-        if not slope or abs(gap) <= 1e-9 * slope:
-            break
-        shift -= float(np.clip(gap / slope, -2, 2))
+    shift = scoring.balancing(rows, z, F.col("y"), F.col("w"), rounds)
     layers = [*network.layers[:-1], (network.layers[-1][0], network.layers[-1][1] + shift)]
     return replace(network, layers=layers)
 

@@ -9,10 +9,11 @@ import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventspark.functions.ops import bound
+from eventspark.operators.checkpoints import pinned
 
 Rows = list[list[float]]
 #: Parameters of a model that is compiled at most.
@@ -104,14 +105,34 @@ def trees(x: Column, forest: Sequence[tuple[float, dict[str, list]]], depth: int
     return bound(x, lambda values: F.aggregate(found, F.lit(0.0), lambda acc, tree: acc + tree["w"] * walked(tree, values)))
 
 
-def of_pipeline(model: PipelineModel, columns: Mapping[str, Column] | None = None) -> Column:
-    """Probability of class 1 of a model of :func:`model.train`, over its features (or ``columns`` by feature name)."""
+def margin(model: PipelineModel, columns: Mapping[str, Column] | None = None) -> Column:
+    """What a model of :func:`model.train` takes the sigmoid of, over its features (or ``columns`` by feature name)."""
     assemble, scale, last = model.stages
     names = assemble.getInputCols()
     inputs = [columns[n] if columns else F.col(n) for n in names]
     mean, deviation = scale.mean.toArray().tolist(), scale.std.toArray().tolist()
     if hasattr(last, "coefficients"):
-        return dense(inputs, mean, deviation, [([[c] for c in last.coefficients.toArray().tolist()], [last.intercept])])
+        return logit(inputs, mean, deviation, [([[c] for c in last.coefficients.toArray().tolist()], [last.intercept])])
     forest = [(float(w), _tree(t)) for w, t in zip(last.treeWeights, last.trees, strict=True)]
-    total = trees(_normalised(inputs, mean, deviation), forest, max(t.depth for t in last.trees))
-    return probability(2 * total)
+    return 2 * trees(_normalised(inputs, mean, deviation), forest, max(t.depth for t in last.trees))
+
+
+def of_pipeline(model: PipelineModel, columns: Mapping[str, Column] | None = None, shift: float = 0.0) -> Column:
+    """Probability of class 1 of a model of :func:`model.train`, its :func:`margin` moved by ``shift``."""
+    return probability(margin(model, columns) + shift)
+
+
+def balancing(rows: DataFrame, z: Column, label: Column, weight: Column, rounds: int = 12) -> float:
+    """What to add to the margin ``z`` so that the scored weight of ``rows`` is the weight of their class 1 (Newton).
+
+    An optimiser that compares losses finds a free intercept only to about the root of their precision.
+    """
+    known = pinned(rows.select(label.alias("y"), weight.alias("w"), z.alias("z")))
+    shift = 0.0
+    for _ in range(rounds):
+        p = probability(F.col("z") + shift)
+        gap, slope = known.agg(F.sum(F.col("w") * (p - F.col("y"))), F.sum(F.col("w") * p * (1 - p))).first()
+        if not slope or abs(gap) <= 1e-9 * slope:
+            break
+        shift -= min(max(gap / slope, -2.0), 2.0)
+    return shift

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventspark.operators import events, hist, mlprep, model, report, scoring, syst, weights
+from eventspark.operators.checkpoints import pinned
 from eventspark.operators.selection import with_flags
 from eventspark.plans import analysis
 from eventspark.plans import fixture as fx
@@ -183,14 +184,14 @@ _SCORED = "sel_SL_resolved_e AND weight > 0"
 )
 def scored_channel(spark, d):
     """Skim, train, score inside the analysis and categorise: a converged linear model with a free intercept gives the skimmed
-    events their weight in the class, and an event is in one category at most."""
+    events their weight in the class, and an event is in one category at most. The intercept is converged on its own."""
     sl = sl_channel(spark, d, promising(spark, d, "SL"))
     table = sl.skim(F.col("weight")).withColumn("label", F.col("sample").contains("HH").cast("double"))
     features = list(skim.sl_features())
-    fitted = model.train(
-        mlprep.drop_nonpositive(table), features, "label", "weight", kind="logistic", iterations=300, tol=1e-12, l2=1e-3
-    )
-    df = sl.events.withColumn("score", scoring.of_pipeline(fitted, skim.sl_features()))
+    skimmed = pinned(mlprep.drop_nonpositive(table))
+    fitted = model.train(skimmed, features, "label", "weight", kind="logistic", iterations=300, tol=1e-12, l2=1e-3)
+    shift = scoring.balancing(skimmed, scoring.margin(fitted), F.col("label"), F.col("weight"))
+    df = sl.events.withColumn("score", scoring.of_pipeline(fitted, skim.sl_features(), shift))
     parent = next(s for s in sl.selections if s.name == "SL_resolved_e")
     chosen = analysis.categories(parent, F.col("score"))
     df = with_flags(df, chosen)

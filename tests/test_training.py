@@ -155,3 +155,16 @@ def test_training_reads_its_rows_once(spark):
     rows = spark.createDataFrame(spark.sparkContext.range(60, numSlices=2).map(counted), "a double, b double, y double, w double")
     model.train(rows, ["a", "b"], "y", "w", kind="logistic", iterations=5)
     assert read.value == 60
+
+
+def test_balanced_linear_model_gives_its_rows_their_weight(spark):
+    """Also where the optimiser has stopped early."""
+    df, _ = rows(spark, 200)
+    made = model.train(df, ["a", "b", "c"], "y", "w", kind="logistic", iterations=1)
+    shift = scoring.balancing(df, scoring.margin(made), F.col("y"), F.col("w"))
+    true, left, scored = df.agg(
+        F.sum(F.col("w") * F.col("y")),
+        F.sum(F.col("w") * scoring.of_pipeline(made)),
+        F.sum(F.col("w") * scoring.of_pipeline(made, shift=shift)),
+    ).first()
+    assert abs(left - true) > 1e-6 * true and scored == pytest.approx(true, rel=1e-9)
